@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _local_root: str | None = None
@@ -44,7 +45,7 @@ def bounded_batches(spark: SparkSession, rows: int = 512, bytes_: int = 16 << 20
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < now <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "")
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
     if not now.isdigit() or int(now) > bytes_:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 
@@ -61,3 +62,21 @@ def need(df: DataFrame, *columns: str) -> None:
     """Raise early, with the names, when input columns are missing."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
+
+
+def gapless_rank(df: DataFrame, group: list[str], ids: list[str], groups: int, rows: int, out: str = "rank") -> DataFrame:
+    """Add ``out``: 0, 1, ... within each ``group``, ordered by a hash part of ``ids``, then ``ids``.
+
+    A group is ranked in parts of some ten thousand rows, so one that holds most of the table is
+    still dealt over all tasks; the counts of the parts, summed in order, give each part's start.
+    ``groups`` and ``rows`` are the (rough) numbers of both.  ``df`` is read twice.
+    """
+    parts = max(rows // 50_000, 4 * shuffle_partitions(df.sparkSession)) // max(1, min(groups, 64)) + 1
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int"))
+    ranked = dealt.withColumn("_n", F.row_number().over(W.partitionBy(*group, "_part").orderBy(*ids)))
+    before = (
+        dealt.groupBy(*group, "_part").count()
+        .withColumn("_before", F.sum("count").over(W.partitionBy(*group).orderBy("_part")) - F.col("count"))
+        .drop("count")
+    )
+    return ranked.join(before, [*group, "_part"]).withColumn(out, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_before")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
+
+QUERIES = (sharding.op4_minimax_sharding, packing.op10_best_fit_packing)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (sharding.op4_minimax_sharding,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

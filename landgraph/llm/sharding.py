@@ -20,13 +20,11 @@ from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import need, shuffle_partitions, stage, text_or_empty
+from .common import gapless_rank, need, stage, text_or_empty
 
 FIRST_BITS, MORE_BITS, OVERHEAD = 12, 8, 8
-ROWS_A_RANK = 50_000
 
 
 class _Cell:
@@ -128,17 +126,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_column: str = "doc_id",
     )
     _, cuts = minimax_cuts(sized, shards)
     shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    ranks = max(sized.count() // (shards * ROWS_A_RANK), 4 * shuffle_partitions(docs.sparkSession) // shards, 1)
-    dealt = sized.withColumns({"shard": shard.cast("int"), "part": F.pmod(F.xxhash64("id"), F.lit(ranks)).cast("int")})
-    ranked = dealt.withColumn("n", F.row_number().over(W.partitionBy("shard", "part").orderBy("id", "k")))
-    before = (
-        dealt.groupBy("shard", "part").count()
-        .withColumn("before", F.sum("count").over(W.partitionBy("shard").orderBy("part")) - F.col("count"))
-        .drop("count")
-    )
-    return ranked.join(before, ["shard", "part"]).select(
-        F.col("id").alias(id_column), "size", "text_crc32", "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot")
-    )
+    dealt = gapless_rank(sized.withColumn("shard", shard.cast("int")), ["shard"], ["id", "k"], shards, sized.count(), "slot")
+    return dealt.select(F.col("id").alias(id_column), "size", "text_crc32", "shard", "slot")
 
 
 def op4_minimax_sharding(spark, sf_dir: str) -> DataFrame:
