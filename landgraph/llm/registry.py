@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import packing, sharding, urlfilter
 
-QUERIES = (sharding.op4_minimax_sharding, packing.op10_best_fit_packing)
+QUERIES = (urlfilter.op2_url_filter, sharding.op4_minimax_sharding, packing.op10_best_fit_packing)
 
 
 def queries() -> dict:
