@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, urlfilter
+from . import fingerprint, packing, sharding, urlfilter
 
-QUERIES = (urlfilter.op2_url_filter, sharding.op4_minimax_sharding, packing.op10_best_fit_packing)
+QUERIES = (urlfilter.op2_url_filter, sharding.op4_minimax_sharding, fingerprint.op9_document_fingerprints, packing.op10_best_fit_packing)
 
 
 def queries() -> dict:
