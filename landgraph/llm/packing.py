@@ -36,29 +36,68 @@ _tokenizers: dict = {}
 class _Encoder:
     """Encodes texts by way of a bounded memory of the ids of their space-separated chunks.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those
-    of its chunks.
+    The tokenizer drops white space and never joins what it separates, nor a letter and the full
+    stop or comma after it, so a text's ids are those of such parts.  Parts that are not in the
+    memory are encoded together, by the quickest way that gives the tokenizer's own ids:
+    ASCII lower-case words need only its model, other words no separation, the rest all of it.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {"": b""}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo = {"": b""}
+        self.learn([".", ","], self.parted)
+
+    @staticmethod
+    def cut(ids: list[int], word: list[int], n: int) -> list[bytes] | None:
+        raw, word = np.array(ids, dtype="<u4").tobytes(), np.array(word)
+        if len(word) and word[-1] >= n:
+            return None
+        cuts = (np.searchsorted(word, np.arange(n + 1)) * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def parted(self, words: list[str]) -> list[bytes]:
+        got = self.whole.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return self.cut(got.ids, got.word_ids, len(words))
+
+    def joined(self, tokenizer, words: list[str]) -> list[bytes]:
+        got = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        word = got.word_ids
+        right = len(word) > 0 and word[-1] == len(words) - 1
+        return self.cut(got.ids, word, len(words)) if right else self.parted(words)
+
+    def learn(self, words: list[str], how, *args) -> None:
+        if words:
+            self.memo.update(zip(words, how(*args, words), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*chunks)
-        new = list(words.difference(self.memo))
+        new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {"": b""}, list(words - {""})
+            self.clear()
+            new = set().union(*chunks).difference(self.memo)
         if new:
-            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
-            cuts = (np.searchsorted(word, np.arange(len(new) + 1)) * 4).tolist()
-            self.memo.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            stems: dict[str, tuple[str, str]] = {}
+            for c in new:
+                s = c.lower() if c.isascii() else c
+                stems[c] = (s[:-1], s[-1]) if s[-1] in ".," and "a" <= s[-2:-1] <= "z" else (s, "")
+            plain, word, rest = [], [], []
+            for s in {s for s, _ in stems.values()}.difference(self.memo):
+                (rest if not s.isalpha() else plain if s.isascii() else word).append(s)
+            self.learn(plain, self.joined, self.model)
+            self.learn(word, self.joined, self.whole)
+            self.learn(rest, self.parted)
+            memo = self.memo
+            memo.update({c: memo[s] + memo[end] for c, (s, end) in stems.items()})
         at = self.memo.__getitem__
         return [b"".join(map(at, c)) for c in chunks]
 
