@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprint, packing, sharding, urlfilter
+from . import fingerprint, packing, sharding, urlfilter, warc
 
-QUERIES = (urlfilter.op2_url_filter, sharding.op4_minimax_sharding, fingerprint.op9_document_fingerprints, packing.op10_best_fit_packing)
+QUERIES = (
+    urlfilter.op2_url_filter,
+    sharding.op4_minimax_sharding,
+    warc.op8_warc_archives,
+    fingerprint.op9_document_fingerprints,
+    packing.op10_best_fit_packing,
+)
 
 
 def queries() -> dict:
@@ -12,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_archives": warc.OP8_SQL}
