@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, gapless_rank, need, stage
 
-CAPACITY, END_ID, MEMO = 4096, 1, 700_000
+CAPACITY, END_ID, MEMO = 4096, 1, 1_800_000
 _tokenizers: dict = {}
 
 
