@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, packing, sharding, urlfilter, warc
+from . import fingerprint, packing, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
+    toxicity.op1_toxicity,
     urlfilter.op2_url_filter,
     sharding.op4_minimax_sharding,
     warc.op8_warc_archives,
