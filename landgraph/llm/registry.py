@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, packing, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, packing, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
     urlfilter.op2_url_filter,
     sharding.op4_minimax_sharding,
+    decontam.op7_benchmark_decontamination,
     warc.op8_warc_archives,
     fingerprint.op9_document_fingerprints,
     packing.op10_best_fit_packing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_archives": warc.OP8_SQL}
+    return {"op7_benchmark_decontamination": decontam.OP7_SQL, "op8_warc_archives": warc.OP8_SQL}
