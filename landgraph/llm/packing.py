@@ -17,6 +17,7 @@ at an offset.  Its length depends on the capacity alone.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, gapless_rank, need, stage
 
-CAPACITY, END_ID, MEMO = 4096, 1, 1_800_000
+CAPACITY, END_ID, MEMO = 4096, 1, 550_000
 _tokenizers: dict = {}
+_STOP = re.compile(r"[.,](?<=[a-zA-Z][.,])")  # looks for the stop first: that is quicker
 
 
 class _Encoder:
@@ -40,6 +42,7 @@ class _Encoder:
     stop or comma after it, so a text's ids are those of such parts.  Parts that are not in the
     memory are encoded together, by the quickest way that gives the tokenizer's own ids:
     ASCII lower-case words need only its model, other words no separation, the rest all of it.
+    A full memory becomes the old one, from which what is used again is taken over.
     """
 
     def __init__(self, path: str):
@@ -51,10 +54,10 @@ class _Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.clear()
+        self.renew({})
 
-    def clear(self) -> None:
-        self.memo = {"": b""}
+    def renew(self, old: dict[str, bytes]) -> None:
+        self.memo, self.old = {"": b""}, old
         self.learn([".", ","], self.parted)
 
     @staticmethod
@@ -80,24 +83,20 @@ class _Encoder:
             self.memo.update(zip(words, how(*args, words), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        chunks = [_STOP.sub(r" \g<0>", (t.lower() if t.isascii() else t).replace("\n", " ")).split(" ") for t in texts]
         new = set().union(*chunks).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.clear()
+        if len(self.memo) + len(new) > MEMO:  # what is used again moves from the old memory to the new
+            self.renew(self.memo)
             new = set().union(*chunks).difference(self.memo)
         if new:
-            stems: dict[str, tuple[str, str]] = {}
-            for c in new:
-                s = c.lower() if c.isascii() else c
-                stems[c] = (s[:-1], s[-1]) if s[-1] in ".," and "a" <= s[-2:-1] <= "z" else (s, "")
+            kept = {c: self.old[c] for c in new.intersection(self.old)}
+            self.memo.update(kept)
             plain, word, rest = [], [], []
-            for s in {s for s, _ in stems.values()}.difference(self.memo):
-                (rest if not s.isalpha() else plain if s.isascii() else word).append(s)
+            for c in new.difference(kept):
+                (rest if not c.isalpha() else plain if c.isascii() and c.islower() else word).append(c)
             self.learn(plain, self.joined, self.model)
             self.learn(word, self.joined, self.whole)
             self.learn(rest, self.parted)
-            memo = self.memo
-            memo.update({c: memo[s] + memo[end] for c, (s, end) in stems.items()})
         at = self.memo.__getitem__
         return [b"".join(map(at, c)) for c in chunks]
 
