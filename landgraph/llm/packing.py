@@ -38,7 +38,7 @@ _STOP = re.compile(r"[.,](?<=[a-zA-Z][.,])")  # looks for the stop first: that i
 class _Encoder:
     """Encodes texts by way of a bounded memory of the ids of their space-separated chunks.
 
-    The tokenizer drops white space and never joins what it separates, nor a letter and the full
+    A tokenizer with word ends drops white space and never joins what it separates, nor a letter and the full
     stop or comma after it, so a text's ids are those of such parts.  Parts that are not in the
     memory are encoded together, by the quickest way that gives the tokenizer's own ids:
     ASCII lower-case words need only its model, other words no separation, the rest all of it.
@@ -54,35 +54,33 @@ class _Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.by_chunk = bool(suffix)
+        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = self.by_chunk and token.endswith(suffix)
         self.renew({})
 
     def renew(self, old: dict[str, bytes]) -> None:
         self.memo, self.old = {"": b""}, old
         self.learn([".", ","], self.parted)
 
-    @staticmethod
-    def cut(ids: list[int], word: list[int], n: int) -> list[bytes] | None:
-        raw, word = np.array(ids, dtype="<u4").tobytes(), np.array(word)
-        if len(word) and word[-1] >= n:
-            return None
-        cuts = (np.searchsorted(word, np.arange(n + 1)) * 4).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
     def parted(self, words: list[str]) -> list[bytes]:
         got = self.whole.encode(words, is_pretokenized=True, add_special_tokens=False)
-        return self.cut(got.ids, got.word_ids, len(words))
+        return _cut(got.ids, np.searchsorted(np.array(got.word_ids), np.arange(len(words) + 1)))
 
     def joined(self, tokenizer, words: list[str]) -> list[bytes]:
-        got = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        word = got.word_ids
-        right = len(word) > 0 and word[-1] == len(words) - 1
-        return self.cut(got.ids, word, len(words)) if right else self.parted(words)
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+        return _cut(ids, np.r_[0, ends]) if len(ends) == len(words) else self.parted(words)
 
     def learn(self, words: list[str], how, *args) -> None:
         if words:
             self.memo.update(zip(words, how(*args, words), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:  # a tokenizer for which white space counts
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         chunks = [_STOP.sub(r" \g<0>", (t.lower() if t.isascii() else t).replace("\n", " ")).split(" ") for t in texts]
         new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:  # what is used again moves from the old memory to the new
@@ -101,6 +99,11 @@ class _Encoder:
         return [b"".join(map(at, c)) for c in chunks]
 
 
+def _cut(ids, at: np.ndarray) -> list[bytes]:
+    raw, cuts = np.asarray(ids, dtype="<u4").tobytes(), (at * 4).tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _encoder(path: str) -> _Encoder:
     if path not in _tokenizers:
         _tokenizers[path] = _Encoder(path)

@@ -94,3 +94,14 @@ def test_crc_of_ids(spark):
     a = P.best_fit_pack(frame, P.tokenizer_path(), payload={"ids_crc32": F.crc32("ids"), "n": F.length("ids")}).first()
     b = P.best_fit_pack(frame, P.tokenizer_path()).first()
     assert a.ids_crc32 == zlib.crc32(bytes(b.ids)) and a.n == 4 * b.length
+
+
+def test_a_tokenizer_that_keeps_white_space(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = " Two  spaces\n\nand, a stop. "
+    x = P.best_fit_pack(spark.createDataFrame([(1, text, "", "")], SCHEMA), path).first()
+    assert np.frombuffer(bytes(x.ids), "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
