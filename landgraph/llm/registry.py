@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, packing, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, linededup, ngramjoin, packing, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
     urlfilter.op2_url_filter,
     sharding.op4_minimax_sharding,
     linededup.op5_line_dedup,
+    ngramjoin.op6_ngram_jaccard,
     decontam.op7_benchmark_decontamination,
     warc.op8_warc_archives,
     fingerprint.op9_document_fingerprints,
