@@ -17,7 +17,7 @@ with it.  Blank lines stay.
 5. Pairs are counted by shared prefix tokens; the count and the remaining lengths bound the
    overlap.  What may still reach it is verified on all tokens.
 
-All of it is DataFrame expressions in one plan, in which the texts are dealt by document once.
+All of it is DataFrame expressions; after the counts it is one plan that deals the texts once.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import need, shuffle_partitions
+from .common import need, shuffle_partitions, stage
 
 THRESHOLD, FIRST = 0.8, 16
-#: The rarity table has seven buckets a byte, as the bytes are read as ASCII characters.
-RARITY_BYTES, RARE_SHARE = 1 << 16, 0.3
+#: The rarity table has a bit for each hash bucket, in so many 64-bit words.
+RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
 _EPS = 1e-9
 
 
@@ -38,51 +38,50 @@ def _tokens(line: Column) -> Column:
     return F.split(F.lower(line), " ")
 
 
-def rarity_table(texts: DataFrame, column: str = "text") -> bytes:
-    """Bits of the buckets whose tokens are frequent: all but the rarest of ``RARE_SHARE`` of the corpus."""
-    buckets = 7 * RARITY_BYTES
+def rarity_table(texts: DataFrame, column: str = "text") -> DataFrame:
+    """One row (zero, frequent): a bit for each bucket, set but for those with the rarest tokens
+    that make up ``RARE_SHARE`` of the corpus."""
     words = texts.select(F.explode(_tokens(F.translate(column, "\n", " "))).alias("t"))
-    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int").alias("b")).count()
-    counts = counts.withColumn("c", F.floor(F.log2(F.col("count")) * 4).cast("int"))
-    counts = counts.cache()
-    try:
-        classes = sorted((r[0], r[1]) for r in counts.groupBy("c").agg(F.sum("count")).collect())
-        total, below, cut = sum(n for _, n in classes), 0, -1
-        for c, n in classes:
-            if below + n > RARE_SHARE * total and cut >= 0:
-                break
-            below, cut = below + n, c
-        bit = F.call_function("shiftleft", F.lit(1), F.col("b") % 7)
-        rows = counts.where(F.col("c") > cut).groupBy(F.floor(F.col("b") / 7).cast("int").alias("i")).agg(F.bit_or(bit)).collect()
-    finally:
-        counts.unpersist()
-    table = bytearray(RARITY_BYTES)
-    for i, bits in rows:
-        table[i] = bits
-    return bytes(table)
-
-
-def _key(token: Column, table: Column) -> Column:
-    """A token as a number that sorts rare tokens first."""
+    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(64 * RARITY_WORDS)).alias("b")).count()
+    counts = stage(counts.withColumn("c", F.floor(F.log2(F.col("count")) * 4).cast("int")), "token-counts")
+    classes = sorted((r[0], r[1]) for r in counts.groupBy("c").agg(F.sum("count")).collect())
+    total, below, cut = sum(n for _, n in classes), 0, -1
+    for c, n in classes:
+        if below + n > RARE_SHARE * total and cut >= 0:
+            break
+        below, cut = below + n, c
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
+    bits = counts.where(F.col("c") > cut).groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(bit).alias("w"))
+    dense = texts.sparkSession.range(RARITY_WORDS).withColumnRenamed("id", "i").join(bits, "i", "left").select(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")).alias("r"))
+    words = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["w"])
+    return stage(dense.agg(words.alias("frequent")).select(F.lit(0).cast("long").alias("zero"), "frequent"), "rarity")
+
+
+def _key(token: Column) -> Column:
+    """A token as a number that sorts rare tokens first, by the column ``frequent``."""
     h = F.xxhash64(token)
-    b = F.pmod(h, F.lit(7 * RARITY_BYTES))
-    byte = F.ascii(F.substring(table, (F.floor(b / 7) + 1).cast("int"), F.lit(1)).cast("string"))
-    frequent = F.call_function("shiftright", byte, (b % 7).cast("int")).bitwiseAND(F.lit(1)).cast("long")
+    b = F.pmod(h, F.lit(64 * RARITY_WORDS))
+    word = F.element_at("frequent", (F.shiftright(b, 6) + 1).cast("int"))
+    frequent = F.call_function("shiftright", word, b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
     return F.shiftleft(frequent, 62) + F.shiftrightunsigned(h, 2)
 
 
-def _keyed(lines: DataFrame, table: Column) -> DataFrame:
-    """(id, no, k): the sorted keys of the tokens of each line."""
-    keys = F.transform(_tokens(F.col("line")), lambda t: _key(t, table))
-    return lines.select("id", "no", F.array_remove(F.sort_array(F.array_distinct(keys)), _key(F.lit(""), table)).alias("k"))
+def _keys(line: Column) -> Column:
+    """The sorted keys of a line's tokens."""
+    return F.array_remove(F.sort_array(F.array_distinct(F.transform(_tokens(line), _key))), _key(F.lit("")))
 
 
-def _pick(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, no, line) of the ``wanted`` (id, no); the texts are not dealt again."""
+def _keyed(texts: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(id, no, k) of the ``wanted`` lines (id, no): their sorted keys.  The texts are not dealt again.
+
+    The table comes to each document as a column; its size is fixed, and lines are keyed before
+    they become rows, so it is never copied for a line.
+    """
     by_doc = wanted.groupBy("id").agg(F.collect_list("no").alias("nos")).hint("shuffle_hash")
-    split = texts.join(by_doc, "id").select("id", "nos", F.split("text", "\n").alias("lines"))
-    picked = F.transform("nos", lambda i: F.struct(i.alias("no"), F.element_at("lines", i + 1).alias("line")))
-    return split.select("id", F.explode(picked).alias("r")).select("id", "r.no", "r.line")
+    zero = F.pmod(F.col("id"), F.lit(1).cast("long"))
+    split = texts.join(by_doc, "id").withColumn("zero", zero).join(F.broadcast(table), "zero").select("id", "nos", "frequent", F.split("text", "\n").alias("lines"))
+    picked = F.transform("nos", lambda i: F.struct(i.alias("no"), _keys(F.element_at("lines", i + 1)).alias("k")))
+    return split.select("id", F.explode(picked).alias("r")).select("id", "r.no", "r.k")
 
 
 def _alpha(n: Column, m: Column, threshold: float) -> Column:
@@ -90,10 +89,10 @@ def _alpha(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - _EPS)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, table: Column, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the later lines of those pairs (aid, ano, bid, bno) that are similar."""
     lines = pairs.select(F.explode(F.array(F.struct(F.col("aid").alias("id"), F.col("ano").alias("no")), F.struct(F.col("bid").alias("id"), F.col("bno").alias("no")))).alias("r")).select("r.*").distinct()
-    keyed = _keyed(_pick(texts, lines), table)
+    keyed = _keyed(texts, lines, table)
     both = pairs.join(keyed.select(F.col("id").alias("aid"), F.col("no").alias("ano"), F.col("k").alias("ak")), ["aid", "ano"])
     both = both.join(keyed.select(F.col("id").alias("bid"), F.col("no").alias("bno"), F.col("k").alias("bk")), ["bid", "bno"])
     same = F.size(F.array_intersect("ak", "bk"))
@@ -110,9 +109,9 @@ def _joined(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, (a["t"] == b["t"]) & earlier & sizes & (behind >= _alpha(an, bn, threshold))).drop("t")
 
 
-def similar_lines(texts: DataFrame, owners: DataFrame, table: Column, threshold: float) -> DataFrame:
+def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
-    keyed = _keyed(_pick(texts, owners), table).withColumn("n", F.size("k")).where("n > 0")
+    keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = (F.col("n") - F.ceil(F.col("n") * threshold - _EPS) + 1).cast("int")
     posted = keyed.select("id", "no", "n", prefix.alias("p"), F.element_at("k", prefix).alias("last"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "t"))
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
@@ -145,7 +144,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select(F.coalesce(F.col(id_column), F.lit(-(2**63))).alias("id"), F.col(text_column).alias("text"))
-    table = F.lit(rarity_table(texts))
+    table = rarity_table(texts)
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct("id", "no")).alias("r")).select("r.id", "r.no")
     dealt = texts.repartition(parts, "id")
