@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, ngramjoin, packing, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, linededup, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
     urlfilter.op2_url_filter,
+    preference.op3_preference_formatting,
     sharding.op4_minimax_sharding,
     linededup.op5_line_dedup,
     ngramjoin.op6_ngram_jaccard,
