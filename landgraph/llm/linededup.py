@@ -11,13 +11,13 @@ with it.  Blank lines stay.
 3. Prefix filter: two lines of n tokens can only be similar if they share one of their first
    n - ceil(threshold n) + 1.  These are dealt by token; pairs must also pass the length filter and
    the positional filter (what can match before and behind the shared token is enough).
-4. In a list of more than ``FIRST`` lines, pairs are first made with its ``FIRST`` earliest only.
-   What this shows to be a later match is done with; just the rest of such lists is compared with
-   all others, so a large group of near copies never makes all its pairs.
+4. A line is first paired with the ``FIRST`` earliest lines of its tokens' lists only.  What this
+   shows to be a later match is done with; just the rest of longer lists is compared with all
+   others, so a large group of near copies never makes all its pairs.
 5. Pairs are counted by shared prefix tokens; the count and the remaining lengths bound the
    overlap.  What may still reach it is verified on all tokens.
 
-All of it is DataFrame expressions; after the counts it is one plan that deals the texts once.
+All of it is DataFrame expressions, in steps that each leave a narrow table.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import need, shuffle_partitions, stage
+from .common import need, stage
 
 THRESHOLD, FIRST = 0.8, 16
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
 RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
-_EPS = 1e-9
+_EPS, _NO_ID = 1e-9, -(2**63)
 
 
 def _tokens(line: Column) -> Column:
@@ -72,7 +72,7 @@ def _keys(line: Column) -> Column:
 
 
 def _keyed(texts: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, no, k) of the ``wanted`` lines (id, no): their sorted keys.  The texts are not dealt again.
+    """(id, no, k) of the ``wanted`` lines (id, no): their sorted keys.
 
     The table comes to each document as a column; its size is fixed, and lines are keyed before
     they become rows, so it is never copied for a line.
@@ -96,39 +96,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: f
     both = pairs.join(keyed.select(F.col("id").alias("aid"), F.col("no").alias("ano"), F.col("k").alias("ak")), ["aid", "ano"])
     both = both.join(keyed.select(F.col("id").alias("bid"), F.col("no").alias("bno"), F.col("k").alias("bk")), ["bid", "bno"])
     same = F.size(F.array_intersect("ak", "bk"))
-    return both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
+    found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
+    return _done(found, "later-lines")
 
 
-def _joined(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Rows for the shared tokens of pairs that pass the length and positional filters."""
-    a, b = (x.select(*(F.col(c).alias(f"{s}{c}") for c in ("id", "no", "n", "p", "pos", "last")), "t") for s, x in (("a", a), ("b", b)))
+def _done(df: DataFrame, name: str) -> DataFrame:
+    """Stage ``df``; then let the driver drop the shuffles behind it, whose files no one reads again."""
+    out = stage(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _prefix(n: Column, threshold: float) -> Column:
+    return (n - F.ceil(n * threshold - _EPS) + 1).cast("int")
+
+
+def _fits(threshold: float) -> Column:
+    """The order, the length filter and the positional filter of rows of a and b that share a token."""
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
     earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & (F.col("ano") < F.col("bno")))
-    sizes = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    return a.join(b, (a["t"] == b["t"]) & earlier & sizes & (behind >= _alpha(an, bn, threshold))).drop("t")
+    return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
 
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
+    fields = ("id", "no", "n", "pos", "last")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - _EPS) + 1).cast("int")
-    posted = keyed.select("id", "no", "n", prefix.alias("p"), F.element_at("k", prefix).alias("last"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "t"))
+    prefix = _prefix(F.col("n"), threshold)
+    posted = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "t"))
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
-    long_lists = ranked.where(F.col("rank") > FIRST)
+    first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
+    none = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
+    own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(none))).otherwise(F.col("firsts"))
+    rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
+    rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
+    rows = rows.where(F.col("t").isNotNull() | _fits(threshold))
+    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast")))
+    shared = _done(shared, "shared-tokens")
+
+    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in fields))
     in_long = long_lists.select(F.col("id").alias("bid"), F.col("no").alias("bno")).distinct().withColumn("in_long", F.lit(True))
-
-    first = _joined(ranked.where(F.col("rank") <= FIRST), ranked, threshold)
-    first = first.groupBy("aid", "ano", "bid", "bno").agg(
-        F.count(F.lit(1)).alias("c"), F.max("apos").alias("apos"), F.max("bpos").alias("bpos"),
-        *(F.max(x).alias(x) for x in ("an", "bn", "ap", "bp", "alast", "blast")),
-    )
     an, bn = F.col("an"), F.col("bn")
-    rest = F.when(F.col("alast") < F.col("blast"), F.least(an - F.col("ap"), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - F.col("bp")))
-    first = first.join(in_long, ["bid", "bno"], "left").where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
-    done = _verified(first.select("aid", "ano", "bid", "bno"), texts, table, threshold)
+    rest = F.when(F.col("alast") < F.col("blast"), F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
+    pairs = shared.where("t is null").join(in_long, ["bid", "bno"], "left")
+    pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
+    done = _verified(pairs.select("aid", "ano", "bid", "bno"), texts, table, threshold)
 
-    again = _joined(long_lists, long_lists.join(done, ["id", "no"], "left_anti"), threshold).select("aid", "ano", "bid", "bno").distinct()
+    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in fields)) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
+    again = a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct()
     return done.unionByName(_verified(again, texts, table, threshold))
 
 
@@ -141,20 +157,18 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     text has no lines and stays null; a document may end up empty, and stays.
     """
     need(docs, id_column, text_column)
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    texts = docs.select(F.coalesce(F.col(id_column), F.lit(-(2**63))).alias("id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_column), F.lit(_NO_ID)).alias("id"), F.col(text_column).alias("text"))
     table = rarity_table(texts)
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct("id", "no")).alias("r")).select("r.id", "r.no")
-    dealt = texts.repartition(parts, "id")
-    removed = similar_lines(dealt, owners, table, threshold)
+    owners = _done(owners, "line-owners")
+    removed = similar_lines(texts, owners, table, threshold)
     kept = owners.join(removed, ["id", "no"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("kept"))
-    whole = dealt.join(kept.hint("shuffle_hash"), "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    whole = texts.join(kept.hint("shuffle_hash"), "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     whole = whole.withColumn("lines", F.split("text", "\n"))
     stay = F.filter("lines", lambda x, i: (F.trim(x) == "") | F.array_contains("kept", i))
     return whole.select(
-        F.when(F.col("id") != -(2**63), F.col("id")).alias(id_column),
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_column),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         "kept",
         F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")).alias("text"),
