@@ -15,7 +15,7 @@ Three things make the lengths of short windows comparable:
   matches: a word of five letters then gains as clearly as a long one.
 
 Toxic documents are mostly ordinary prose, so the toxic dictionary is trained on those of their
-words that hold a byte n-gram which clearly more toxic than ordinary documents have.
+words whose beginning, or most of whose byte n-grams, clearly more toxic than ordinary documents have.
 
 Windows are of ``WINDOW`` words, by default one, so that lengths can be remembered by window.
 """
@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, need
+from .ngramjoin import shingles, signature
 
 #: Learning reads at most so many labelled rows: those with the smallest hash of their id.
 MAX_LABELLED = 8_000
 WINDOW, GRAM, REPEAT = 1, 5, 3
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SAMPLES, MEMO = 200 << 10, 32 << 10, 400_000, 1_000_000
-THRESHOLDS = (1, 3, 5, 7, 9, 12, 16)
-PREDICT = 0.7
+FOLDS, THRESHOLDS = 3, (1, 3, 5, 7, 9, 12, 16)
+PREDICT, SURPRISE, MOST = 0.7, 26.0, 0.6
 _SEPARATORS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _scorers: dict = {}
 
@@ -59,6 +60,12 @@ def _spread(raw: bytes) -> bytes:
     return np.repeat(np.frombuffer(b" " + raw + b" ", dtype=np.uint8), REPEAT).tobytes()
 
 
+def _starts(word: bytes) -> set[bytes]:
+    """The word and its beginnings, with its bounds."""
+    word = b" " + word + b" "
+    return {word, *(word[:k] for k in range(GRAM, min(2 * GRAM, len(word))))}
+
+
 def _grams(word: bytes) -> set[bytes]:
     word = b" " + word + b" "
     return {word[k : k + GRAM] for k in range(max(1, len(word) - GRAM + 1))}
@@ -86,31 +93,36 @@ class Dictionaries:
     window: int = WINDOW
 
     @classmethod
-    def train(cls, texts: Sequence[str], labels: Sequence[int], window: int = WINDOW) -> Dictionaries:
-        seen, total = (Counter(), Counter()), [0, 0]
-        for text, label in zip(texts, labels, strict=True):
-            total[label] += 1
-            seen[label].update(set().union(*map(_grams, set(_words(text)))))
+    def train(cls, ordinary: Counter, toxic: Counter, window: int = WINDOW) -> Dictionaries:
+        """From the numbers of documents of either kind that hold a word."""
+        seen = (Counter(), Counter())
+        for kind, words in zip(seen, (ordinary, toxic), strict=True):
+            for w, n in words.items():
+                for g in _starts(w) | _grams(w):
+                    kind[g] += n
+        share = sum(toxic.values()) / max(1, sum(toxic.values()) + sum(ordinary.values()))
 
         def clear(gram: bytes, n: int) -> bool:
+            """At least four times as frequent in toxic documents, and not by chance (a G-test)."""
             m = seen[0].get(gram, 0)
-            ratio = math.log((n + 0.5) / (total[1] + 1)) - math.log((m + 0.5) / (total[0] + 1))
-            return n >= min(5, max(2, total[1] // 8)) and ratio > math.log(4) and ratio > 4.5 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) * min(1, total[1] / 40)
-
-        marks = {g for g, n in seen[1].items() if clear(g, n)}
-        words = (Counter(), Counter())
-        for text, label in zip(texts, labels, strict=True):
-            words[label].update(w for w in set(_words(text)) if not _grams(w).isdisjoint(marks)) if label else words[0].update(_words(text))
-        toxic = _dictionary(TOXIC_BYTES, [_spread(w) for w, n in words[1].items() for _ in range(min(n, 20))], 32 * REPEAT)
-        ordinary = [(w, n) for w, n in words[0].items() if n > 1 and w not in words[1]]
-        random.Random(0).shuffle(ordinary)
+            expected = (n + m) * share
+            surprise = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0))
+            return n * (1 - share) > 4 * m * share and surprise > SURPRISE
+
+        marks = {g for g, n in seen[1].items() if n > 2 and clear(g, n)}
+        found = Counter({w: n for w, n in toxic.items() if not marks.isdisjoint(_starts(w)) or len(marks & (g := _grams(w))) > MOST * len(g)})
+        content = _dictionary(TOXIC_BYTES, [_spread(w) for w, n in found.items() for _ in range(min(n, 20))], 32 * REPEAT)
+        missed = b"".join(s for s in map(_spread, (w for w, _ in reversed(found.most_common()))) if s not in content)
+        content += missed[max(0, len(missed) + len(content) - TOXIC_BYTES) :]  # training leaves out what is rare
+        rest = [(w, n) for w, n in ordinary.items() if n > 1 and w not in found]
+        random.Random(0).shuffle(rest)
         samples: list[bytes] = []
-        for w, n in ordinary:
+        for w, n in rest:
             if len(samples) >= ORDINARY_SAMPLES:
                 break
             samples += [_spread(w)] * min(n, 8)
-        carrier = _spread(b" ".join(w for w, _ in words[0].most_common(12)))
-        return cls(_dictionary(ORDINARY_BYTES, samples, 64 * REPEAT), toxic, carrier, window)
+        carrier = _spread(b" ".join(sorted(ordinary, key=lambda w: (-ordinary[w], w))[:12]))
+        return cls(_dictionary(ORDINARY_BYTES, samples, 64 * REPEAT), content, carrier, window)
 
 
 class _Scorer:
@@ -167,14 +179,17 @@ class ToxicityModel:
     def fit(cls, texts: Sequence[str], labels: Sequence[int], window: int = WINDOW) -> ToxicityModel:
         """Train on all texts; calibrate on features from dictionaries that did not see the text."""
         n = len(texts)
+        counts = [(Counter(), Counter()) for _ in range(FOLDS)]
+        for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+            counts[i % FOLDS][label].update(set(_words(text)))
+        without = lambda fold: Dictionaries.train(*(sum((c[k] for f, c in enumerate(counts) if f != fold), Counter()) for k in (0, 1)), window)
         x, y = np.zeros((n, 2 * len(THRESHOLDS) + 1)), np.asarray(labels, dtype=float)
-        for half in (0, 1):
-            learn, judge = (list(range(k, n, 2)) for k in (half, 1 - half))
-            made = _Scorer(Dictionaries.train([texts[i] for i in learn], [labels[i] for i in learn], window))
-            for i in judge:
+        for fold in range(FOLDS):
+            made = _Scorer(without(fold))
+            for i in range(fold, n, FOLDS):
                 x[i] = made.features(texts[i])
         mean, scale = (x.mean(0), x.std(0) + 1e-9) if n else (x.sum(0), x.sum(0) + 1)
-        return cls(Dictionaries.train(texts, labels, window), mean, scale, _logistic((x - mean) / scale, y))
+        return cls(without(None), mean, scale, _logistic((x - mean) / scale, y))
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         made = scorer(self.dictionaries)
@@ -197,6 +212,20 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def distinct_texts(texts: Sequence[str]) -> list[int]:
+    """The first of each group of near copies, which else would count as often as they are copied."""
+    seen: set = set()
+    out = []
+    for i, text in enumerate(texts):
+        s = shingles(text)
+        sig = signature(s)[:48].reshape(16, 3).tolist() if len(s) else [[len(text)]]
+        bands = {(b, *x) for b, x in enumerate(sig)}
+        if bands.isdisjoint(seen):
+            out.append(i)
+        seen |= bands
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on at most ``most`` labelled rows, those with the smallest hash of their id.
 
@@ -210,6 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(text_column, F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(named), "_id").groupBy("_id").agg(F.max("_text"), F.max("_label")).collect()  # at most ``most``
     rows.sort(key=lambda r: r[0])
+    rows = [rows[i] for i in distinct_texts([r[1] for r in rows])]
     return ToxicityModel.fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
 
