@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import need, stage
 
-THRESHOLD, FIRST = 0.8, 16
+THRESHOLD, FIRST = 0.8, 8
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
-RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
+RARITY_WORDS, RARE_SHARE = 1 << 12, 0.3
 _EPS, _NO_ID = 1e-9, -(2**63)
 
 
@@ -42,7 +42,7 @@ def rarity_table(texts: DataFrame, column: str = "text") -> DataFrame:
     """One row (zero, frequent): a bit for each bucket, set but for those with the rarest tokens
     that make up ``RARE_SHARE`` of the corpus."""
     words = texts.select(F.explode(_tokens(F.translate(column, "\n", " "))).alias("t"))
-    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(64 * RARITY_WORDS)).alias("b")).count()
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(64 * RARITY_WORDS - 1)).alias("b")).count()
     counts = stage(counts.withColumn("c", F.floor(F.log2(F.col("count")) * 4).cast("int")), "token-counts")
     classes = sorted((r[0], r[1]) for r in counts.groupBy("c").agg(F.sum("count")).collect())
     total, below, cut = sum(n for _, n in classes), 0, -1
@@ -57,18 +57,16 @@ def rarity_table(texts: DataFrame, column: str = "text") -> DataFrame:
     return stage(dense.agg(words.alias("frequent")).select(F.lit(0).cast("long").alias("zero"), "frequent"), "rarity")
 
 
-def _key(token: Column) -> Column:
-    """A token as a number that sorts rare tokens first, by the column ``frequent``."""
-    h = F.xxhash64(token)
-    b = F.pmod(h, F.lit(64 * RARITY_WORDS))
-    word = F.element_at("frequent", (F.shiftright(b, 6) + 1).cast("int"))
-    frequent = F.call_function("shiftright", word, b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    return F.shiftleft(frequent, 62) + F.shiftrightunsigned(h, 2)
+def _keys(line: Column) -> Column:
+    """The distinct tokens of a line as numbers, sorted: rare ones, by the column ``frequent``, come first."""
+    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
+    def key(h: Column) -> Column:
+        word = F.element_at("frequent", (F.shiftright(h, 6).bitwiseAND(F.lit(RARITY_WORDS - 1)) + 1).cast("int"))
+        frequent = F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+        return F.shiftleft(frequent, 62) + F.shiftrightunsigned(h, 2)
 
-def _keys(line: Column) -> Column:
-    """The sorted keys of a line's tokens."""
-    return F.array_remove(F.sort_array(F.array_distinct(F.transform(_tokens(line), _key))), _key(F.lit("")))
+    return F.sort_array(F.transform(hashes, key))
 
 
 def _keyed(texts: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
@@ -112,19 +110,30 @@ def _prefix(n: Column, threshold: float) -> Column:
 
 
 def _fits(threshold: float) -> Column:
-    """The order, the length filter and the positional filter of rows of a and b that share a token."""
+    """The order, the length filter and the positional filter of rows of a and b that share a token.
+
+    ``bits`` has a bit of 64 for each token of a prefix.  Prefixes share at most as many tokens as
+    bits, and as many more as either has tokens beyond its bits.
+    """
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
     earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & (F.col("ano") < F.col("bno")))
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
+    pa, pb, abits, bbits = _prefix(an, threshold), _prefix(bn, threshold), F.col("abits"), F.col("bbits")
+    shared = F.bit_count(abits.bitwiseAND(bbits)) + F.least(pa - F.bit_count(abits), pb - F.bit_count(bbits))  # in the prefixes
+    whole = shared + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb)
+    sizes = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
+    return earlier & sizes & (behind >= _alpha(an, bn, threshold)) & (whole >= _alpha(an, bn, threshold))
 
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
-    fields = ("id", "no", "n", "pos", "last")
+    fields = ("id", "no", "n", "pos", "last", "bits")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
-    posted = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "t"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    begun = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.slice("k", F.lit(1), prefix).alias("k"))
+    bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    posted = begun.withColumn("bits", bits).select("id", "no", "n", "last", "bits", F.posexplode("k").alias("pos", "t"))
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
     first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
     none = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
@@ -132,7 +141,7 @@ def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, thresho
     rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
     rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
     rows = rows.where(F.col("t").isNotNull() | _fits(threshold))
-    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast")))
+    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast", "bbits")))
     shared = _done(shared, "shared-tokens")
 
     long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in fields))
