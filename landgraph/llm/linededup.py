@@ -22,13 +22,15 @@ All of it is DataFrame expressions, in steps that each leave a narrow table.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import need, stage
 
-THRESHOLD, FIRST = 0.8, 8
+THRESHOLD, FIRST, SHORT = 0.8, 8, 20
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
 RARITY_WORDS, RARE_SHARE = 1 << 12, 0.3
 _EPS, _NO_ID = 1e-9, -(2**63)
@@ -101,6 +103,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: f
 def _done(df: DataFrame, name: str) -> DataFrame:
     """Stage ``df``; then let the driver drop the shuffles behind it, whose files no one reads again."""
     out = stage(df, name)
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
@@ -112,6 +115,7 @@ def _prefix(n: Column, threshold: float) -> Column:
 def _fits(threshold: float) -> Column:
     """The order, the length filter and the positional filter of rows of a and b that share a token.
 
+    Short lines carry all their tokens, ``k``, and are verified at once.  For the others
     ``bits`` has a bit of 64 for each token of a prefix.  Prefixes share at most as many tokens as
     bits, and as many more as either has tokens beyond its bits.
     """
@@ -122,35 +126,43 @@ def _fits(threshold: float) -> Column:
     shared = F.bit_count(abits.bitwiseAND(bbits)) + F.least(pa - F.bit_count(abits), pb - F.bit_count(bbits))  # in the prefixes
     whole = shared + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb)
     sizes = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
-    return earlier & sizes & (behind >= _alpha(an, bn, threshold)) & (whole >= _alpha(an, bn, threshold))
+    same = F.size(F.array_intersect("ak", "bk"))
+    exact = same >= (an + bn - same) * threshold - _EPS
+    return earlier & sizes & (behind >= _alpha(an, bn, threshold)) & F.when(_both_short(), exact).otherwise(whole >= _alpha(an, bn, threshold))
+
+
+def _both_short() -> Column:
+    return (F.size("ak") > 0) & (F.size("bk") > 0)
 
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
-    fields = ("id", "no", "n", "pos", "last", "bits")
+    fields = ("id", "no", "n", "pos", "last", "bits", "k")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    begun = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.slice("k", F.lit(1), prefix).alias("k"))
-    bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
-    posted = begun.withColumn("bits", bits).select("id", "no", "n", "last", "bits", F.posexplode("k").alias("pos", "t"))
+    none = F.array().cast("array<bigint>")
+    begun = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
+    bits = F.aggregate("begin", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    posted = begun.withColumn("bits", bits).select("id", "no", "n", "last", "bits", "k", F.posexplode("begin").alias("pos", "t"))
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
     first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
-    none = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
-    own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(none))).otherwise(F.col("firsts"))
+    nothing = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
+    own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(nothing))).otherwise(F.col("firsts"))
     rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
     rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
-    rows = rows.where(F.col("t").isNotNull() | _fits(threshold))
-    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast", "bbits")))
+    rows = rows.where(F.col("t").isNotNull() | _fits(threshold)).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
+    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast", "bbits", "sure")))
     shared = _done(shared, "shared-tokens")
 
-    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in fields))
+    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in fields if c != "k"), none.alias("k"))
     in_long = long_lists.select(F.col("id").alias("bid"), F.col("no").alias("bno")).distinct().withColumn("in_long", F.lit(True))
     an, bn = F.col("an"), F.col("bn")
     rest = F.when(F.col("alast") < F.col("blast"), F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
-    pairs = shared.where("t is null").join(in_long, ["bid", "bno"], "left")
+    sure = shared.where("t is null and sure").select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
+    pairs = shared.where("t is null and not sure").join(sure.select(F.col("id").alias("bid"), F.col("no").alias("bno")), ["bid", "bno"], "left_anti").join(in_long, ["bid", "bno"], "left")
     pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
-    done = _verified(pairs.select("aid", "ano", "bid", "bno"), texts, table, threshold)
+    done = _done(sure.unionByName(_verified(pairs.select("aid", "ano", "bid", "bno"), texts, table, threshold)).distinct(), "later-lines")
 
     a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in fields)) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
     again = a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct()
