@@ -23,6 +23,7 @@ All of it is DataFrame expressions, in steps that each leave a narrow table.
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import need, stage
 
-THRESHOLD, FIRST, SHORT = 0.8, 8, 20
+THRESHOLD, FIRST, SHORT = 0.8, 8, 12
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
 RARITY_WORDS, RARE_SHARE = 1 << 12, 0.3
 _EPS, _NO_ID = 1e-9, -(2**63)
@@ -105,6 +106,7 @@ def _done(df: DataFrame, name: str) -> DataFrame:
     out = stage(df, name)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(0.2)  # the cleaner runs beside
     return out
 
 
@@ -113,22 +115,25 @@ def _prefix(n: Column, threshold: float) -> Column:
 
 
 def _fits(threshold: float) -> Column:
-    """The order, the length filter and the positional filter of rows of a and b that share a token.
-
-    Short lines carry all their tokens, ``k``, and are verified at once.  For the others
-    ``bits`` has a bit of 64 for each token of a prefix.  Prefixes share at most as many tokens as
-    bits, and as many more as either has tokens beyond its bits.
-    """
+    """The order, the length filter and the positional filter of rows of a and b that share a token."""
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
     earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & (F.col("ano") < F.col("bno")))
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    pa, pb, abits, bbits = _prefix(an, threshold), _prefix(bn, threshold), F.col("abits"), F.col("bbits")
-    shared = F.bit_count(abits.bitwiseAND(bbits)) + F.least(pa - F.bit_count(abits), pb - F.bit_count(bbits))  # in the prefixes
-    whole = shared + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb)
-    sizes = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
+    return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
+
+
+def _may_match(threshold: float) -> Column:
+    """Short lines carry all their tokens, ``k``, and are verified at once.
+
+    For the others ``bits`` has a bit of 64 for each token of a prefix.  Prefixes share at most as
+    many tokens as bits, and as many more as either has tokens beyond its bits.
+    """
+    an, bn, abits, bbits = (F.col(c) for c in ("an", "bn", "abits", "bbits"))
     same = F.size(F.array_intersect("ak", "bk"))
-    exact = same >= (an + bn - same) * threshold - _EPS
-    return earlier & sizes & (behind >= _alpha(an, bn, threshold)) & F.when(_both_short(), exact).otherwise(whole >= _alpha(an, bn, threshold))
+    pa, pb = _prefix(an, threshold), _prefix(bn, threshold)
+    shared = F.bit_count(abits.bitwiseAND(bbits)) + F.least(pa - F.bit_count(abits), pb - F.bit_count(bbits))
+    whole = shared + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb)
+    return F.when(_both_short(), same >= (an + bn - same) * threshold - _EPS).otherwise(whole >= _alpha(an, bn, threshold))
 
 
 def _both_short() -> Column:
@@ -151,20 +156,23 @@ def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, thresho
     own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(nothing))).otherwise(F.col("firsts"))
     rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
     rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
-    rows = rows.where(F.col("t").isNotNull() | _fits(threshold)).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
-    shared = rows.groupBy("aid", "ano", "bid", "bno", "t").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn", "alast", "blast", "bbits", "sure")))
+    rows = rows.where(F.col("t").isNotNull() | (_fits(threshold) & _may_match(threshold))).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
+    rows = rows.withColumns({c: F.when(~F.col("sure"), F.col(c)) for c in ("aid", "ano")})  # one row will do for a line that is sure to go
+    shared = rows.groupBy("aid", "ano", "bid", "bno", "t", "sure").agg(
+        F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")), F.max(F.col("alast") < F.col("blast")).alias("below")
+    )
     shared = _done(shared, "shared-tokens")
 
-    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in fields if c != "k"), none.alias("k"))
+    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in ("id", "no", "n", "pos")))
     in_long = long_lists.select(F.col("id").alias("bid"), F.col("no").alias("bno")).distinct().withColumn("in_long", F.lit(True))
     an, bn = F.col("an"), F.col("bn")
-    rest = F.when(F.col("alast") < F.col("blast"), F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
-    sure = shared.where("t is null and sure").select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
+    rest = F.when(F.col("below"), F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
+    sure = shared.where("sure").select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
     pairs = shared.where("t is null and not sure").join(sure.select(F.col("id").alias("bid"), F.col("no").alias("bno")), ["bid", "bno"], "left_anti").join(in_long, ["bid", "bno"], "left")
     pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
     done = _done(sure.unionByName(_verified(pairs.select("aid", "ano", "bid", "bno"), texts, table, threshold)).distinct(), "later-lines")
 
-    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in fields)) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
+    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "no", "n", "pos"))) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
     again = a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct()
     return done.unionByName(_verified(again, texts, table, threshold))
 
