@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import need, stage
 
-THRESHOLD, FIRST, SHORT = 0.8, 8, 12
+THRESHOLD, FIRST, SHORT = 0.8, 64, 12
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
-RARITY_WORDS, RARE_SHARE = 1 << 12, 0.3
+RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
 _EPS, _NO_ID = 1e-9, -(2**63)
 
 
