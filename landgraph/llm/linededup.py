@@ -122,18 +122,25 @@ def _fits(threshold: float) -> Column:
     return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
 
 
+def _common(a: str, b: str, na: Column, nb: Column) -> Column:
+    """The most tokens that sets of na and nb, each with a bit of 64 for its tokens, can share."""
+    x, y = F.col(a), F.col(b)
+    return F.bit_count(x.bitwiseAND(y)) + F.least(na - F.bit_count(x), nb - F.bit_count(y))
+
+
 def _may_match(threshold: float) -> Column:
     """Short lines carry all their tokens, ``k``, and are verified at once.
 
-    For the others ``bits`` has a bit of 64 for each token of a prefix.  Prefixes share at most as
-    many tokens as bits, and as many more as either has tokens beyond its bits.
+    For the others two bounds of the overlap are taken.  The positional one: what can match before
+    the shared token, by the ``before`` bits, and from it on.  The prefixes': what these can share,
+    by their ``bits``, and what the prefix that ends first has behind it.
     """
-    an, bn, abits, bbits = (F.col(c) for c in ("an", "bn", "abits", "bbits"))
+    an, bn, ap, bp, alpha = (*(F.col(c) for c in ("an", "bn", "apos", "bpos")), _alpha(F.col("an"), F.col("bn"), threshold))
     same = F.size(F.array_intersect("ak", "bk"))
     pa, pb = _prefix(an, threshold), _prefix(bn, threshold)
-    shared = F.bit_count(abits.bitwiseAND(bbits)) + F.least(pa - F.bit_count(abits), pb - F.bit_count(bbits))
-    whole = shared + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb)
-    return F.when(_both_short(), same >= (an + bn - same) * threshold - _EPS).otherwise(whole >= _alpha(an, bn, threshold))
+    placed = _common("abefore", "bbefore", ap, bp) + F.least(an - ap, bn - bp) >= alpha
+    whole = _common("abits", "bbits", pa, pb) + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb) >= alpha
+    return F.when(_both_short(), same >= (an + bn - same) * threshold - _EPS).otherwise(placed & whole)
 
 
 def _both_short() -> Column:
@@ -142,14 +149,15 @@ def _both_short() -> Column:
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
-    fields = ("id", "no", "n", "pos", "last", "bits", "k")
+    fields = ("id", "no", "n", "pos", "last", "bits", "before", "k")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     none = F.array().cast("array<bigint>")
     begun = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
-    bits = F.aggregate("begin", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
-    posted = begun.withColumn("bits", bits).select("id", "no", "n", "last", "bits", "k", F.posexplode("begin").alias("pos", "t"))
+    joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    placed = F.transform("begin", lambda t, i: F.struct(t.alias("t"), i.alias("pos"), joined(F.slice("begin", F.lit(1), i)).alias("before")))
+    posted = begun.withColumn("bits", joined("begin")).select("id", "no", "n", "last", "bits", "k", F.explode(placed).alias("at")).select("id", "no", "n", "last", "bits", "k", "at.*")
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
     first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
     nothing = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
