@@ -22,9 +22,6 @@ All of it is DataFrame expressions, in steps that each leave a narrow table.
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,16 +95,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: f
     both = both.join(keyed.select(F.col("id").alias("bid"), F.col("no").alias("bno"), F.col("k").alias("bk")), ["bid", "bno"])
     same = F.size(F.array_intersect("ak", "bk"))
     found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
-    return _done(found, "later-lines")
-
-
-def _done(df: DataFrame, name: str) -> DataFrame:
-    """Stage ``df``; then let the driver drop the shuffles behind it, whose files no one reads again."""
-    out = stage(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    time.sleep(0.2)  # the cleaner runs beside
-    return out
+    return stage(found, "later-lines")
 
 
 def _prefix(n: Column, threshold: float) -> Column:
@@ -133,13 +121,13 @@ def _may_match(threshold: float) -> Column:
 
     For the others two bounds of the overlap are taken.  The positional one: what can match before
     the shared token, by the ``before`` bits, and from it on.  The prefixes': what these can share,
-    by their ``bits``, and what the prefix that ends first has behind it.
+    by their ``bits``, and what either has behind it.
     """
     an, bn, ap, bp, alpha = (*(F.col(c) for c in ("an", "bn", "apos", "bpos")), _alpha(F.col("an"), F.col("bn"), threshold))
     same = F.size(F.array_intersect("ak", "bk"))
     pa, pb = _prefix(an, threshold), _prefix(bn, threshold)
     placed = _common("abefore", "bbefore", ap, bp) + F.least(an - ap, bn - bp) >= alpha
-    whole = _common("abits", "bbits", pa, pb) + F.when(F.col("alast") < F.col("blast"), an - pa).otherwise(bn - pb) >= alpha
+    whole = _common("abits", "bbits", pa, pb) + F.greatest(an - pa, bn - pb) >= alpha
     return F.when(_both_short(), same >= (an + bn - same) * threshold - _EPS).otherwise(placed & whole)
 
 
@@ -149,15 +137,15 @@ def _both_short() -> Column:
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(id, no) of the owners that an earlier owner is similar to."""
-    fields = ("id", "no", "n", "pos", "last", "bits", "before", "k")
+    fields = ("id", "no", "n", "pos", "bits", "before", "k")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     none = F.array().cast("array<bigint>")
-    begun = keyed.select("id", "no", "n", F.element_at("k", prefix).alias("last"), F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
+    begun = keyed.select("id", "no", "n", F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
     joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
     placed = F.transform("begin", lambda t, i: F.struct(t.alias("t"), i.alias("pos"), joined(F.slice("begin", F.lit(1), i)).alias("before")))
-    posted = begun.withColumn("bits", joined("begin")).select("id", "no", "n", "last", "bits", "k", F.explode(placed).alias("at")).select("id", "no", "n", "last", "bits", "k", "at.*")
+    posted = begun.withColumn("bits", joined("begin")).select("id", "no", "n", "bits", "k", F.explode(placed).alias("at")).select("id", "no", "n", "bits", "k", "at.*")
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
     first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
     nothing = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
@@ -166,22 +154,21 @@ def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, thresho
     rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
     rows = rows.where(F.col("t").isNotNull() | (_fits(threshold) & _may_match(threshold))).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
     rows = rows.withColumns({c: F.when(~F.col("sure"), F.col(c)) for c in ("aid", "ano")})  # one row will do for a line that is sure to go
-    shared = rows.groupBy("aid", "ano", "bid", "bno", "t", "sure").agg(
-        F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")), F.max(F.col("alast") < F.col("blast")).alias("below")
-    )
-    shared = _done(shared, "shared-tokens")
+    shared = rows.groupBy("aid", "ano", "bid", "bno", "t", "sure").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")))
+    shared = stage(shared, "shared-tokens")
 
     long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in ("id", "no", "n", "pos")))
     in_long = long_lists.select(F.col("id").alias("bid"), F.col("no").alias("bno")).distinct().withColumn("in_long", F.lit(True))
     an, bn = F.col("an"), F.col("bn")
-    rest = F.when(F.col("below"), F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1)).otherwise(F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
+    rest = F.greatest(F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1), F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
     sure = shared.where("sure").select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
     pairs = shared.where("t is null and not sure").join(sure.select(F.col("id").alias("bid"), F.col("no").alias("bno")), ["bid", "bno"], "left_anti").join(in_long, ["bid", "bno"], "left")
     pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
-    done = _done(sure.unionByName(_verified(pairs.select("aid", "ano", "bid", "bno"), texts, table, threshold)).distinct(), "later-lines")
+    pairs = stage(pairs.select("aid", "ano", "bid", "bno"), "line-pairs")
+    done = stage(sure.unionByName(_verified(pairs, texts, table, threshold)).distinct(), "later-lines")
 
     a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "no", "n", "pos"))) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
-    again = a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct()
+    again = stage(a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct(), "line-pairs")
     return done.unionByName(_verified(again, texts, table, threshold))
 
 
@@ -198,7 +185,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     table = rarity_table(texts)
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct("id", "no")).alias("r")).select("r.id", "r.no")
-    owners = _done(owners, "line-owners")
+    owners = stage(owners, "line-owners")
     removed = similar_lines(texts, owners, table, threshold)
     kept = owners.join(removed, ["id", "no"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("kept"))
     whole = texts.join(kept.hint("shuffle_hash"), "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
