@@ -24,7 +24,7 @@ from .solve import conjugate_gradient
 from .store import materialize
 
 #: Edges of a graph that is broadcast to the tasks of a kernel; beyond it, joins are used.
-KERNEL_EDGES, DENSE_VERTICES = 200_000, 2_000
+KERNEL_EDGES, DENSE_VERTICES = 200_000, 2_500
 _RESULT = "src long, dst long, distance double"
 
 
