@@ -15,7 +15,7 @@ with it.  Blank lines stay.
    shows to be a later match is done with; just the rest of longer lists is compared with all
    others, so a large group of near copies never makes all its pairs.
 5. Pairs are counted by shared prefix tokens; the count and the remaining lengths bound the
-   overlap.  What may still reach it is verified on all tokens.
+   overlap, and so do parities of all tokens' bits.  What may still reach it is verified.
 
 All of it is DataFrame expressions, in steps that each leave a narrow table.
 """
@@ -87,17 +87,42 @@ def _alpha(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - _EPS)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id, no) of all lines of pairs (aid, ano, bid, bno)."""
+    ends = F.array(*(F.struct(F.col(f"{s}id").alias("id"), F.col(f"{s}no").alias("no")) for s in "ab"))
+    return pairs.select(F.explode(ends).alias("r")).select("r.*").distinct()
+
+
+def _with_both(pairs: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with ``columns`` of either line, named a... and b..."""
+    for s in "ab":
+        pairs = pairs.join(lines.select(F.col("id").alias(f"{s}id"), F.col("no").alias(f"{s}no"), *(F.col(c).alias(f"{s}{c}") for c in columns)), [f"{s}id", f"{s}no"])
+    return pairs
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(id, no) of the later lines of those pairs (aid, ano, bid, bno) that are similar."""
-    lines = pairs.select(F.explode(F.array(F.struct(F.col("aid").alias("id"), F.col("ano").alias("no")), F.struct(F.col("bid").alias("id"), F.col("bno").alias("no")))).alias("r")).select("r.*").distinct()
-    keyed = _keyed(texts, lines, table)
-    both = pairs.join(keyed.select(F.col("id").alias("aid"), F.col("no").alias("ano"), F.col("k").alias("ak")), ["aid", "ano"])
-    both = both.join(keyed.select(F.col("id").alias("bid"), F.col("no").alias("bno"), F.col("k").alias("bk")), ["bid", "bno"])
+    """(id, no) of the later lines of those pairs (aid, ano, bid, bno) that are similar.
+
+    Sets of n and m differ in n + m - 2 overlap tokens, and the parities of their tokens' bits in
+    no more places.  Pairs whose parities differ too much go first, on narrow rows; only what is
+    left is verified on all tokens.
+    """
+    parity = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(_bit(t)))
+    sketch = stage(_keyed(texts, _ends(pairs), table).select("id", "no", F.size("k").alias("n"), parity.alias("parity")), "line-parities")
+    near = _with_both(pairs, sketch, "n", "parity")
+    an, bn = F.col("an"), F.col("bn")
+    near = near.where(F.bit_count(F.col("aparity").bitwiseXOR(F.col("bparity"))) <= an + bn - 2 * _alpha(an, bn, threshold))
+    near = stage(near.select("aid", "ano", "bid", "bno"), "line-pairs")
+    both = _with_both(near, _keyed(texts, _ends(near), table), "k")
     same = F.size(F.array_intersect("ak", "bk"))
     found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
     return stage(found, "later-lines")
 
 
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def _prefix(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * threshold - _EPS) + 1).cast("int")
 
@@ -140,10 +165,9 @@ def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, thresho
     fields = ("id", "no", "n", "pos", "bits", "before", "k")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     none = F.array().cast("array<bigint>")
     begun = keyed.select("id", "no", "n", F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
-    joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+    joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(_bit(t)))
     placed = F.transform("begin", lambda t, i: F.struct(t.alias("t"), i.alias("pos"), joined(F.slice("begin", F.lit(1), i)).alias("before")))
     posted = begun.withColumn("bits", joined("begin")).select("id", "no", "n", "bits", "k", F.explode(placed).alias("at")).select("id", "no", "n", "bits", "k", "at.*")
     ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
