@@ -96,10 +96,13 @@ class Dictionaries:
     def train(cls, ordinary: Counter, toxic: Counter, window: int = WINDOW) -> Dictionaries:
         """From the numbers of documents of either kind that hold a word."""
         seen = (Counter(), Counter())
-        for kind, words in zip(seen, (ordinary, toxic), strict=True):
-            for w, n in words.items():
-                for g in _starts(w) | _grams(w):
-                    kind[g] += n
+        for w, n in toxic.items():
+            for g in _starts(w) | _grams(w):
+                seen[1][g] += n
+        asked = {g for g, n in seen[1].items() if n > 2}
+        for w, n in ordinary.items():
+            for g in (_starts(w) | _grams(w)) & asked:
+                seen[0][g] += n
         share = sum(toxic.values()) / max(1, sum(toxic.values()) + sum(ordinary.values()))
 
         def clear(gram: bytes, n: int) -> bool:
@@ -109,7 +112,7 @@ class Dictionaries:
             surprise = 2 * (n * math.log(n / expected) + (m * math.log(m / (n + m - expected)) if m else 0))
             return n * (1 - share) > 4 * m * share and surprise > SURPRISE
 
-        marks = {g for g, n in seen[1].items() if n > 2 and clear(g, n)}
+        marks = {g for g in asked if clear(g, seen[1][g])}
         found = Counter({w: n for w, n in toxic.items() if not marks.isdisjoint(_starts(w)) or len(marks & (g := _grams(w))) > MOST * len(g)})
         content = _dictionary(TOXIC_BYTES, [_spread(w) for w, n in found.items() for _ in range(min(n, 20))], 32 * REPEAT)
         missed = b"".join(s for s in map(_spread, (w for w, _ in reversed(found.most_common()))) if s not in content)
