@@ -108,15 +108,17 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
-def compare(sets: list[np.ndarray], first: int, threshold: float = THRESHOLD) -> Iterator[tuple[int, int]]:
-    """Pairs i < j of similar sets; where ``first`` > 0, only those with i < first <= j."""
+def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESHOLD) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of similar sets of one block; of two blocks, the first of ``first`` sets, only those with i < first <= j."""
+    if first in (0, len(sets)):  # two blocks, one without rows
+        return
     sig = np.array([signature(s) for s in sets], dtype=np.uint32).reshape(len(sets), HASHES)
     band, n = buckets(sig), len(sets)
-    rows, columns = (np.arange(first), np.arange(first, n)) if first else (np.arange(n), np.arange(n))
+    rows, columns = (np.arange(first), np.arange(first, n)) if first is not None else (np.arange(n), np.arange(n))
     shared = np.zeros((len(rows), len(columns)), dtype=bool)
     for b in range(BANDS):
         shared |= band[rows, b][:, None] == band[columns, b]
-    i, j = np.nonzero(shared if first else np.triu(shared, 1))
+    i, j = np.nonzero(shared if first is not None else np.triu(shared, 1))
     i, j = rows[i], columns[j]
     same = np.zeros(len(i), dtype=np.int32)
     for k in range(0, HASHES, STEP):
@@ -155,8 +157,10 @@ def _linked(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, root, links) of the blocks in ``rows`` (cluster, i, j, side, id, text), which come sorted by the first five."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "links")])
 
-    def judge(ids: list[int], texts: list[str], first: int) -> tuple[list[int], list[int], list[int]]:
-        order = sorted(range(len(ids)), key=lambda k: (k >= first if first else 0, ids[k]))
+    def judge(ids: list[int], texts: list[str], first: int | None) -> tuple[list[int], list[int], list[int]]:
+        if first in (0, len(ids)):  # the tasks of single blocks return these documents
+            return [], [], []
+        order = sorted(range(len(ids)), key=lambda k: (first is not None and k >= first, ids[k]))
         ids, root, links = [ids[k] for k in order], list(range(len(ids))), [0] * len(ids)
 
         def find(x: int) -> int:
@@ -175,15 +179,15 @@ def _linked(rows: DataFrame, n: int, threshold: float) -> DataFrame:
         return ids, [ids[find(k)] for k in range(len(ids))], links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, first, done = None, [], [], 0, ([], [], [])
+        block, ids, texts, first, done = None, [], [], None, ([], [], [])
         for batch in batches:
             for *key, side, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != block:
                     for whole, part in zip(done, judge(ids, texts, first), strict=True):
                         whole += part
-                    block, ids, texts, first = key, [], [], 0
+                    block, ids, texts, first = key, [], [], 0 if key[1] != key[2] else None
                 if id_ not in ids[-1:]:  # rows that repeat an id come together
-                    first += key[1] != key[2] and side == 0
+                    first = None if first is None else first + (side == 0)
                     ids.append(id_), texts.append(text)
             if len(done[0]) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=schema.names)

@@ -96,3 +96,17 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     got = sorted((str(x.doc_id), str(x.class_id), x.n_links, x.n_copies) for x in J.near_duplicates(frame).collect())
     assert got == [("1", "1", 0, 3), ("3", "1", 0, 3), ("3", "1", 0, 3), ("None", "None", 0, 1)]
     assert J.near_duplicates(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("copies,shingles", [(2, 40), (3, 5), (3, 1)])
+def test_few_documents_dealt_over_many_blocks(spark, monkeypatch, copies, shingles):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", shingles)
+    docs = [(100 * g + i, " ".join(f"w{g}x{k}" for k in range(60)) + f" end{i}") for g in range(8) for i in range(copies)]
+    got = J.near_duplicates(spark.createDataFrame([(i, t, 1, "clash") for i, t in docs], SCHEMA)).collect()
+    assert {x.doc_id: (x.class_id, x.n_links, x.n_copies) for x in got} == by_hand(docs) and len(got) == len(docs)
+
+
+def test_two_blocks_one_of_them_empty():
+    sets = [J.shingles(" ".join(f"w{k}" for k in range(60)) + end) for end in ("", " x", " y")]
+    assert list(J.compare(sets, None)) == [(0, 1), (0, 2), (1, 2)] and list(J.compare(sets, 1)) == [(0, 1), (0, 2)]
+    assert list(J.compare(sets, 0)) == list(J.compare(sets, 3)) == list(J.compare([], None)) == []
