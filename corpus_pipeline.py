@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgraph.llm import decontam, linededup, ngramjoin, packing, toxicity
-from landgraph.llm.common import stage
+from landgraph.llm.common import NO_ID, stage, told_apart
 
 #: Not expressible: the model of the first stage and the packing of the last.
 ORACLE_SQL = None
@@ -26,24 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are similar to an earlier line of any of them."""
-    cleaned = linededup.dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    others = docs.select("doc_id", *rest).dropDuplicates(["doc_id"])
-    out = cleaned.join(others, cleaned["_id"].eqNullSafe(others["doc_id"])).select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), *rest)
+    out = linededup.dedup_lines(docs, carry=tuple(rest)).select("doc_id", "text", *rest)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates; of repeated rows one."""
-    first = ngramjoin.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The document of the least id (and hash, where an id has several texts) of each class of near
+    duplicates; of repeated rows one."""
+    rows = told_apart(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.struct(*docs.columns).alias("row")))
+    first = ngramjoin.classes(rows.select("id", "h", "text")).where("id = first.id and h = first.h").select("id", "h").distinct()
+    return rows.join(first, ["id", "h"], "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontam.contamination(decontam.find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    rows = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    found = decontam.contamination(decontam.find_phrases(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_key"), "_key")
+    bad = found.where("contaminated").select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

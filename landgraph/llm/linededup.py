@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct lower-cased words between spaces.  A line goes if an earlier one,
-in the order of document id and line number, has a Jaccard similarity of at least ``threshold``
+in the order of document id, hash of the text (where an id has several) and line number, has a Jaccard similarity of at least ``threshold``
 with it.  Blank lines stay.
 
 1. Of lines of equal text the first is the owner; the others go without being compared.
@@ -26,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import need, stage
+from .common import NO_ID, need, stage, told_apart
 
 THRESHOLD, FIRST, SHORT = 0.8, 64, 12
 #: The rarity table has a bit for each hash bucket, in so many 64-bit words.
 RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
-_EPS, _NO_ID = 1e-9, -(2**63)
+_EPS = 1e-9
+#: A line: its document's id, the hash that tells texts of one id apart, its number.
+_LINE = ("id", "h", "no")
+_PAIR = [f"{s}{c}" for s in "ab" for c in _LINE]
 
 
 def _tokens(line: Column) -> Column:
@@ -70,16 +73,16 @@ def _keys(line: Column) -> Column:
 
 
 def _keyed(texts: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, no, k) of the ``wanted`` lines (id, no): their sorted keys.
+    """(id, h, no, k) of the ``wanted`` lines (id, h, no): their sorted keys.
 
     The table comes to each document as a column; its size is fixed, and lines are keyed before
     they become rows, so it is never copied for a line.
     """
-    by_doc = wanted.groupBy("id").agg(F.collect_list("no").alias("nos")).hint("shuffle_hash")
+    by_doc = wanted.groupBy("id", "h").agg(F.collect_list("no").alias("nos")).hint("shuffle_hash")
     zero = F.pmod(F.col("id"), F.lit(1).cast("long"))
-    split = texts.join(by_doc, "id").withColumn("zero", zero).join(F.broadcast(table), "zero").select("id", "nos", "frequent", F.split("text", "\n").alias("lines"))
+    split = texts.join(by_doc, ["id", "h"]).withColumn("zero", zero).join(F.broadcast(table), "zero").select("id", "h", "nos", "frequent", F.split("text", "\n").alias("lines"))
     picked = F.transform("nos", lambda i: F.struct(i.alias("no"), _keys(F.element_at("lines", i + 1)).alias("k")))
-    return split.select("id", F.explode(picked).alias("r")).select("id", "r.no", "r.k")
+    return split.select("id", "h", F.explode(picked).alias("r")).select("id", "h", "r.no", "r.k")
 
 
 def _alpha(n: Column, m: Column, threshold: float) -> Column:
@@ -88,37 +91,41 @@ def _alpha(n: Column, m: Column, threshold: float) -> Column:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    """(id, no) of all lines of pairs (aid, ano, bid, bno)."""
-    ends = F.array(*(F.struct(F.col(f"{s}id").alias("id"), F.col(f"{s}no").alias("no")) for s in "ab"))
+    """(id, h, no) of all lines of pairs."""
+    ends = F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab"))
     return pairs.select(F.explode(ends).alias("r")).select("r.*").distinct()
 
 
 def _with_both(pairs: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
     """The pairs with ``columns`` of either line, named a... and b..."""
     for s in "ab":
-        pairs = pairs.join(lines.select(F.col("id").alias(f"{s}id"), F.col("no").alias(f"{s}no"), *(F.col(c).alias(f"{s}{c}") for c in columns)), [f"{s}id", f"{s}no"])
+        pairs = pairs.join(lines.select(*(F.col(c).alias(f"{s}{c}") for c in (*_LINE, *columns))), [f"{s}{c}" for c in _LINE])
     return pairs
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(id, no) of the later lines of those pairs (aid, ano, bid, bno) that are similar.
+    """(id, h, no) of the later lines of those pairs that are similar.
 
     Sets of n and m differ in n + m - 2 overlap tokens, and the parities of their tokens' bits in
     no more places.  Pairs whose parities differ too much go first, on narrow rows; only what is
     left is verified on all tokens.
     """
     parity = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(_bit(t)))
-    sketch = stage(_keyed(texts, _ends(pairs), table).select("id", "no", F.size("k").alias("n"), parity.alias("parity")), "line-parities")
+    sketch = stage(_keyed(texts, _ends(pairs), table).select(*_LINE, F.size("k").alias("n"), parity.alias("parity")), "line-parities")
     near = _with_both(pairs, sketch, "n", "parity")
     an, bn = F.col("an"), F.col("bn")
     near = near.where(F.bit_count(F.col("aparity").bitwiseXOR(F.col("bparity"))) <= an + bn - 2 * _alpha(an, bn, threshold))
-    near = stage(near.select("aid", "ano", "bid", "bno"), "line-pairs")
+    near = stage(near.select(*_PAIR), "line-pairs")
     both = _with_both(near, _keyed(texts, _ends(near), table), "k")
     same = F.size(F.array_intersect("ak", "bk"))
-    found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
+    found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(*_later()).distinct()
     return stage(found, "later-lines")
 
 
+def _later() -> list[Column]:
+    return [F.col(f"b{c}").alias(c) for c in _LINE]
+
+
 def _bit(token: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
 
@@ -130,7 +137,7 @@ def _prefix(n: Column, threshold: float) -> Column:
 def _fits(threshold: float) -> Column:
     """The order, the length filter and the positional filter of rows of a and b that share a token."""
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
-    earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & (F.col("ano") < F.col("bno")))
+    earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & ((F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ano") < F.col("bno")))))
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
     return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
 
@@ -161,65 +168,70 @@ def _both_short() -> Column:
 
 
 def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(id, no) of the owners that an earlier owner is similar to."""
-    fields = ("id", "no", "n", "pos", "bits", "before", "k")
+    """(id, h, no) of the owners that an earlier owner is similar to."""
+    fields = (*_LINE, "n", "pos", "bits", "before", "k")
     keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
     prefix = _prefix(F.col("n"), threshold)
     none = F.array().cast("array<bigint>")
-    begun = keyed.select("id", "no", "n", F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
+    begun = keyed.select(*_LINE, "n", F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
     joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(_bit(t)))
     placed = F.transform("begin", lambda t, i: F.struct(t.alias("t"), i.alias("pos"), joined(F.slice("begin", F.lit(1), i)).alias("before")))
-    posted = begun.withColumn("bits", joined("begin")).select("id", "no", "n", "bits", "k", F.explode(placed).alias("at")).select("id", "no", "n", "bits", "k", "at.*")
-    ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy("id", "no")))
+    posted = begun.withColumn("bits", joined("begin")).select(*_LINE, "n", "bits", "k", F.explode(placed).alias("at")).select(*_LINE, "n", "bits", "k", "at.*")
+    ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy(*_LINE)))
     first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
     nothing = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
     own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(nothing))).otherwise(F.col("firsts"))
     rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
     rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
     rows = rows.where(F.col("t").isNotNull() | (_fits(threshold) & _may_match(threshold))).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
-    rows = rows.withColumns({c: F.when(~F.col("sure"), F.col(c)) for c in ("aid", "ano")})  # one row will do for a line that is sure to go
-    shared = rows.groupBy("aid", "ano", "bid", "bno", "t", "sure").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")))
+    rows = rows.withColumns({c: F.when(~F.col("sure"), F.col(c)) for c in ("aid", "ah", "ano")})  # one row will do for a line that is sure to go
+    shared = rows.groupBy(*_PAIR, "t", "sure").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")))
     shared = stage(shared, "shared-tokens")
 
-    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in ("id", "no", "n", "pos")))
-    in_long = long_lists.select(F.col("id").alias("bid"), F.col("no").alias("bno")).distinct().withColumn("in_long", F.lit(True))
+    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in (*_LINE, "n", "pos")))
+    in_long = long_lists.select(*(F.col(c).alias(f"b{c}") for c in _LINE)).distinct().withColumn("in_long", F.lit(True))
     an, bn = F.col("an"), F.col("bn")
     rest = F.greatest(F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1), F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
-    sure = shared.where("sure").select(F.col("bid").alias("id"), F.col("bno").alias("no")).distinct()
-    pairs = shared.where("t is null and not sure").join(sure.select(F.col("id").alias("bid"), F.col("no").alias("bno")), ["bid", "bno"], "left_anti").join(in_long, ["bid", "bno"], "left")
+    later = [f"b{c}" for c in _LINE]
+    sure = shared.where("sure").select(*_later()).distinct()
+    pairs = shared.where("t is null and not sure").join(sure.select(*(F.col(c).alias(f"b{c}") for c in _LINE)), later, "left_anti").join(in_long, later, "left")
     pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
-    pairs = stage(pairs.select("aid", "ano", "bid", "bno"), "line-pairs")
+    pairs = stage(pairs.select(*_PAIR), "line-pairs")
     done = stage(sure.unionByName(_verified(pairs, texts, table, threshold)).distinct(), "later-lines")
 
-    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "no", "n", "pos"))) for s, x in (("a", long_lists), ("b", long_lists.join(done, ["id", "no"], "left_anti"))))
-    again = stage(a.join(b, "t").where(_fits(threshold)).select("aid", "ano", "bid", "bno").distinct(), "line-pairs")
+    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in (*_LINE, "n", "pos"))) for s, x in (("a", long_lists), ("b", long_lists.join(done, [*_LINE], "left_anti"))))
+    again = stage(a.join(b, "t").where(_fits(threshold)).select(*_PAIR).distinct(), "line-pairs")
     return done.unionByName(_verified(again, texts, table, threshold))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove later matches among all lines of all documents.
 
     Returns ``id_column``, ``n_lines``, ``kept`` (numbers of the kept lines that are not blank,
-    from 0) and ``text`` without the removed lines, for every row.  Ids are taken as unique; rows
-    that repeat an id are each treated as that document.  A null id is below all others.  A null
-    text has no lines and stays null; a document may end up empty, and stays.
+    from 0) and ``text`` without the removed lines, for every row, and its columns ``carry``.  Rows
+    that repeat an id and its text are one document, rows of one id (or none) with other texts are
+    others.  A null id is below all others.  A null text has no lines and stays null; a document
+    may end up empty, and stays.
     """
-    need(docs, id_column, text_column)
-    texts = docs.select(F.coalesce(F.col(id_column), F.lit(_NO_ID)).alias("id"), F.col(text_column).alias("text"))
+    need(docs, id_column, text_column, *carry)
+    rest = F.struct(F.lit(0), *carry).alias("rest")
+    rows = told_apart(docs.select(F.coalesce(F.col(id_column), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"), rest))
+    texts = rows.select("id", "h", "text")
     table = rarity_table(texts)
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
-    owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct("id", "no")).alias("r")).select("r.id", "r.no")
+    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
+    owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct(*_LINE)).alias("r")).select("r.*")
     owners = stage(owners, "line-owners")
     removed = similar_lines(texts, owners, table, threshold)
-    kept = owners.join(removed, ["id", "no"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("kept"))
-    whole = texts.join(kept.hint("shuffle_hash"), "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    kept = owners.join(removed, [*_LINE], "left_anti").groupBy("id", "h").agg(F.sort_array(F.collect_list("no")).alias("kept"))
+    whole = rows.join(kept.hint("shuffle_hash"), ["id", "h"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     whole = whole.withColumn("lines", F.split("text", "\n"))
     stay = F.filter("lines", lambda x, i: (F.trim(x) == "") | F.array_contains("kept", i))
     return whole.select(
-        F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_column),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_column),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         "kept",
         F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")).alias("text"),
+        *(F.col("rest").getField(c).alias(c) for c in carry),
     )
 
 

@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, need, shuffle_partitions, stage
+from .common import NO_ID, bounded_batches, need, shuffle_partitions, stage, told_apart
 from .components import connected_components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, STEP = 128, 32, 16
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 400_000
-_NO_ID = -(2**63)
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _U = np.uint64
 _BASE = 0x100000001B3
@@ -206,14 +205,25 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
     ``n_links`` (other sets it is similar to, counted once however many copies they have) and
     ``n_copies`` (rows of its own set, itself included).
 
-    Null texts and those without words are alone in their class.  Ids are unique integers (rows
-    that repeat an id should repeat its text; they are copies); a null id is its own class.
+    Null texts and those without words are alone in their class.  Ids are integers.  Rows that
+    repeat an id and its text are copies; rows of one id (or none) with other texts are each judged
+    by their own, and a null id is below all others.
     """
     need(docs, id_column, text_column)
-    spark = docs.sparkSession
+    kind = docs.schema[id_column].dataType
+    real = lambda c: F.when(c != NO_ID, c).cast(kind)
+    texts = told_apart(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text")))
+    return classes(texts, n, threshold).select(real(F.col("id")).alias(id_column), real(F.col("first.id")).alias("class_id"), "n_links", "n_copies")
+
+
+def classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, h, first, n_links, n_copies) of every row (id, h, text) of ``told_apart``; ``first`` is
+    the least (id, h) of its class."""
+    spark = rows.sparkSession
     bounded_batches(spark, 256, 4 << 20)
     parts = shuffle_partitions(spark)
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    vertex = F.when(F.col("h") == 0, F.col("id")).otherwise(F.xxhash64("id", "h"))
+    texts = rows.select(vertex.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stage(_sets(texts, n), "shingle-sets")
     keyed = sets.where("key is not null")
     owners = stage(keyed.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n_copies")), "set-owners")
@@ -230,9 +240,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
     placed = stage(placed, "clusters")
 
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    rows = texts.join(placed.hint("shuffle_hash"), "id").select(F.col("label").alias("cluster"), F.explode(pair).alias("p"), "id", "text")
-    rows = rows.select("cluster", "p.i", "p.j", "p.side", "id", "text")
-    found = stage(_linked(rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id"), n, threshold), "links")
+    tasks = texts.join(placed.hint("shuffle_hash"), "id").select(F.col("label").alias("cluster"), F.explode(pair).alias("p"), "id", "text")
+    tasks = tasks.select("cluster", "p.i", "p.j", "p.side", "id", "text")
+    found = stage(_linked(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id"), n, threshold), "links")
 
     counted = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     many = found.join(placed.where("blocks > 1").select("id"), "id", "left_semi").where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
@@ -242,14 +252,20 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
 
     member = sets.join(owners, "key", "left").withColumn("at", F.coalesce("owner", "id"))
     out = member.join(judged.withColumnRenamed("id", "at"), "at", "left")
-    real = lambda c: F.when(c != _NO_ID, c)
-    kind = docs.schema[id_column].dataType
-    return out.select(
-        real(F.col("id")).cast(kind).alias(id_column),
-        real(F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("class", "at"))).cast(kind).alias("class_id"),
+    out = out.select(
+        "id",
+        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("class", "at")).alias("class"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+    named = stage(rows.where("h <> 0").select(vertex.alias("vertex"), F.col("id").alias("own"), "h").distinct(), "named-vertices")
+    zero = F.lit(0).cast("long")
+    if named.isEmpty():  # vertices are ids
+        return out.select("id", zero.alias("h"), F.struct(F.col("class").alias("id"), zero.alias("h")).alias("first"), "n_links", "n_copies")
+    out = out.join(named, F.col("id") == F.col("vertex"), "left").withColumns({"id": F.coalesce("own", "id"), "h": F.coalesce("h", zero)})
+    out = stage(out.select("id", "h", "class", "n_links", "n_copies"), "named-classes")
+    first = out.groupBy("class").agg(F.min(F.struct("id", "h")).alias("first"))
+    return out.join(first, "class").select("id", "h", "first", "n_links", "n_copies")
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

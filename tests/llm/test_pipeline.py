@@ -77,6 +77,26 @@ def test_against_brute_force(spark, tmp_path):
         assert b[0][0] == 0 and all(o + n == p for (o, n), (p, _) in zip(b, b[1:], strict=False)) and sum(b[-1]) <= 4096
 
 
+def test_rows_of_one_id_or_none_are_told_apart(spark, tmp_path):
+    item = " ".join(f"b{k}" for k in range(12))
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = [(None, "one two three\nfour five six\nseven eight nine", "a"), (None, "alone here now", "b"), (None, "one two three\nother words follow", "c")]
+    docs += [(7, f"x y z\n{item}\nlast line of it", "d"), (7, "one clean line", "e"), (None, f"{item} too", "f"), (8, f"{long} p", "g"), (None, f"{long} q", "h"), (8, f"{long} r", "i"), (8, "no copy", "j")]
+    frame = spark.createDataFrame([(i, t, s, "src", 0) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda step: {x.lang: (x.doc_id, x.text) for x in step(spark, frame, str(tmp_path)).collect()}
+
+    assert rows(C.drop_contaminated) == {s: (i, t) for i, t, s in docs if item not in t}
+    assert rows(C.drop_near_duplicates) == {s: (i, t) for i, t, s in docs if s not in "gi"}
+    got = rows(C.drop_repeated_lines)
+    assert {s: i for s, (i, _) in got.items()} == {s: i for i, _, s in docs}
+    left = sorted(x for _, t in got.values() for x in t.split("\n") if x)
+    near = {x for _, t, _ in docs for x in t.split("\n") if x.startswith("w0") or x.startswith("b0")}
+    once = {x for _, t, _ in docs for x in t.split("\n")} - near
+    assert [x for x in left if x not in near] == sorted(once)
+    assert len(left) == len(once) + 2
+
+
 def test_stages_return_the_columns_and_stay_whole(spark, tmp_path):
     fixture(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
