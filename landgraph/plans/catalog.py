@@ -278,10 +278,22 @@ l AS (SELECT src, dst FROM n UNION ALL SELECT dst, src FROM n),
 reach(id, seen) AS (SELECT src, src FROM l UNION SELECT reach.id, l.dst FROM reach JOIN l ON reach.seen = l.src)
 SELECT id, min(seen) AS label FROM reach GROUP BY 1""")
 def components_bipartite(spark, d):
+    """A part only, that of its SQL: no third users, positive values; ``components_bipartite_whole`` takes all events."""
     e = spark.read.parquet(f"{d}/events.parquet").where("value > 0 and user_id % 3 <> 0").select(F.col("user_id").cast("long").alias("src"), "event_type").distinct()
     return algebra.components(workflow.class_ids(e, "event_type").select("src", (100_000_001 + F.col("class_id")).cast("long").alias("dst"), F.lit(1.0).alias("weight")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS src, event_type AS t FROM events),
+n AS (SELECT src, CAST(100000000 + rank AS BIGINT) AS dst FROM e JOIN (SELECT t, row_number() OVER (ORDER BY t) AS rank FROM (SELECT DISTINCT t FROM e)) USING (t)),
+l AS (SELECT src, dst FROM n UNION ALL SELECT dst, src FROM n),
+reach(id, seen) AS (SELECT src, src FROM l UNION SELECT reach.id, l.dst FROM reach JOIN l ON reach.seen = l.src)
+SELECT id, min(seen) AS label FROM reach GROUP BY 1""")
+def components_bipartite_whole(spark, d):
+    """Components of all users and event types."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("long").alias("src"), "event_type").distinct()
+    return algebra.components(workflow.class_ids(e, "event_type").select("src", (100_000_001 + F.col("class_id")).cast("long").alias("dst"), F.lit(1.0).alias("weight")))
+
+
 # --- distances (D, E, L, R, P) ----------------------------------------------------------------
 
 
