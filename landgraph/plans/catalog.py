@@ -358,10 +358,17 @@ _SMALL = """cut AS (SELECT src, dst, weight FROM mean_edges WHERE src // 24 < 5
     LEFT JOIN recurring.best k ON k.v = e.dst WHERE k.d IS NULL OR b.d + 1 / e.weight < k.d GROUP BY e.dst)
 SELECT CAST(0 AS BIGINT) AS src, v AS dst, round(d, 6) AS distance FROM best""")
 def lcp_by_joins(spark, d):
+    """A part only, that of its SQL: a corner of 5 x 5 cells; ``lcp_by_joins_whole`` searches the whole raster."""
     cut = mean_grid(spark, d).edges().where("src div 24 < 5 and dst div 24 < 5 and src % 24 < 5 and dst % 24 < 5")
     return rounded(LCPDistance(kernel=False)(Graph(cut, SIDE * SIDE), [0]), "distance")
 
 
+@query(_lcp_sql("(0)"))
+def lcp_by_joins_whole(spark, d):
+    """The search by joins over the whole raster, as ``lcp_single`` does by the kernel."""
+    return rounded(LCPDistance(kernel=False)(mean_grid(spark, d), [0]), "distance")
+
+
 _FW = f"""{TRADE}, fw(k, i, j, d) AS (
   SELECT CAST(-1 AS BIGINT), i, j, CASE WHEN i = j THEN 0.0 ELSE coalesce(1 / weight, CAST('inf' AS DOUBLE)) END FROM range(25) a(i), range(25) b(j) LEFT JOIN trade ON src = i AND dst = j
   UNION ALL SELECT x.k + 1, x.i, x.j, least(x.d, a.d + b.d) FROM fw x JOIN fw a ON a.i = x.i AND a.j = x.k + 1 JOIN fw b ON b.i = x.k + 1 AND b.j = x.j WHERE x.k < 24)"""

@@ -24,3 +24,8 @@ def agree(spark, name):
 def test_components_of_all_events(spark):
     got, con = agree(spark, "components_bipartite_whole")
     assert len(got) == sum(con.execute("SELECT count(DISTINCT user_id), count(DISTINCT event_type) FROM events").fetchone())
+
+
+def test_search_by_joins_of_the_whole_raster(spark):
+    got, _ = agree(spark, "lcp_by_joins_whole")
+    assert len(got) == 24 * 24
