@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _local_root: str | None = None
-#: Stands for a null id.
+#: Stands for a null id (see ``told_apart``).
 NO_ID = -(2**63)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -35,16 +35,16 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts the lineage, and
     a lost executor costs only what has not been read from the table yet.  The shuffles behind it,
-    whose files no one reads again, are dropped when it is written."""
+    whose files no one reads again, are dropped when it is written.  ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,17 +75,28 @@ def need(df: DataFrame, *columns: str) -> None:
 
 
 def told_apart(texts: DataFrame) -> DataFrame:
-    """Add ``h`` to rows of (id, text, ...), so that rows of one id and ``h`` have one text.
+    """From rows of (id, text, ...), whose ids are integers or null, make ids that are never null and
+    add ``h``, so that rows of one id and ``h`` have one text; ``real_id`` gives the id back.
 
-    It is 0 where all rows of an id have the same text, which costs narrow rows next to nothing,
-    else (and for ``NO_ID``) a hash of the text.
+    ``h`` is 0 where all rows of an id have the same text, which costs narrow rows next to nothing,
+    else a hash of the text.  A null id becomes ``NO_ID`` with an even hash, one that is really
+    ``NO_ID`` has an odd one.
     """
-    text, none = F.xxhash64("text"), F.col("id") == NO_ID
-    many = texts.where(~none).groupBy("id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("id", F.lit(True).alias("_many"))
+    text = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    given = F.col("id").cast("long")
+    texts = texts.withColumns({"id": F.coalesce(given, F.lit(NO_ID)), "_none": given.isNull()})
+    many = texts.where(F.col("id") != NO_ID).groupBy("id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("id", F.lit(True).alias("_many"))
     many = stage(many, "repeated-ids")
+    odd = F.lit(1).cast("long")
+    least = F.when(F.col("id") == NO_ID, F.when(F.col("_none"), text.bitwiseAND(F.lit(-2).cast("long"))).otherwise(text.bitwiseOR(odd)))
     if many.isEmpty():
-        return texts.withColumn("h", F.when(none, text).otherwise(F.lit(0).cast("long")))
-    return texts.join(many, "id", "left").withColumn("h", F.when(none | F.col("_many"), text).otherwise(F.lit(0).cast("long"))).drop("_many")
+        return texts.withColumn("h", F.coalesce(least, F.lit(0).cast("long"))).drop("_none")
+    return texts.join(many, "id", "left").withColumn("h", F.coalesce(least, F.when(F.col("_many"), text), F.lit(0).cast("long"))).drop("_many", "_none")
+
+
+def real_id(id_: str = "id", h: str = "h") -> Column:
+    """The id that ``told_apart`` was given."""
+    return F.when((F.col(id_) != NO_ID) | (F.col(h) % 2 != 0), F.col(id_))
 
 
 def gapless_rank(df: DataFrame, group: list[str], ids: list[str], groups: int, rows: int, out: str = "rank") -> DataFrame:

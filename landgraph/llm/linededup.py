@@ -1,88 +1,91 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct lower-cased words between spaces.  A line goes if an earlier one,
-in the order of document id, hash of the text (where an id has several) and line number, has a Jaccard similarity of at least ``threshold``
-with it.  Blank lines stay.
-
-1. Of lines of equal text the first is the owner; the others go without being compared.
-2. Owners' tokens are ordered by rarity, then by hash.  Rarity is read from a table of hash buckets
-   of fixed size that says which hold the rare tokens, by counts over the whole corpus.  Any order
-   is correct as long as all lines share it; rare first makes short posting lists.
+in the order of document id, hash of the text (where an id has several) and line number, has a Jaccard
+similarity of at least ``threshold`` with it.  Blank lines stay.
+
+1. The occurrences of every token are counted over the whole corpus.  The counts, rounded to a quarter
+   of a power of two, are folded into one array of bounded size (``MAX_RARITY`` buckets of a hash, of
+   which each has the count of its most frequent token), the order's table.
+2. Tokens are ordered by rarity in this table, then by hash.  Of lines with the same set of tokens the
+   first is the owner; the others go without being compared.
 3. Prefix filter: two lines of n tokens can only be similar if they share one of their first
-   n - ceil(threshold n) + 1.  These are dealt by token; pairs must also pass the length filter and
-   the positional filter (what can match before and behind the shared token is enough).
-4. A line is first paired with the ``FIRST`` earliest lines of its tokens' lists only.  What this
-   shows to be a later match is done with; just the rest of longer lists is compared with all
-   others, so a large group of near copies never makes all its pairs.
-5. Pairs are counted by shared prefix tokens; the count and the remaining lengths bound the
-   overlap, and so do parities of all tokens' bits.  What may still reach it is verified.
-
-All of it is DataFrame expressions, in steps that each leave a narrow table.
+   n - ceil(threshold n) + 1.  These postings are joined by token.  Pairs must pass the length filter, the
+   positional filter (what can match before and behind the shared token is enough) and the bitmap filter
+   (sets of n and m differ in n + m - 2 overlap tokens, and the parities of their tokens' bits in no more places).
+4. Tokens that occur more than ``LONG`` times may have long lists.  Their postings are first compared with
+   ``LEADERS`` early lines of the list only, each line keeping its most likely match; just the lines that
+   this does not show to be later matches are then compared with whole lists, so that a large group of
+   near copies never makes all its pairs.
+5. The pairs left, few but for true matches, are verified on all tokens.
+
+All of it is DataFrame expressions, in steps that each leave a narrow table; texts move once, to put the
+kept lines together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, need, stage, told_apart
+from .common import need, real_id, stage, told_apart
 
-THRESHOLD, FIRST, SHORT = 0.8, 64, 12
-#: The rarity table has a bit for each hash bucket, in so many 64-bit words.
-RARITY_WORDS, RARE_SHARE = 1 << 13, 0.3
+THRESHOLD, LONG, LEADERS = 0.8, 1024, 16
+#: Buckets of the order's table, a byte each, and of the filter of lines to be verified, a bit each.
+MAX_RARITY, MAX_WANTED = 1 << 24, 1 << 26
+#: Sets above this size have two words of parities.
+WIDE = 48
 _EPS = 1e-9
 #: A line: its document's id, the hash that tells texts of one id apart, its number.
 _LINE = ("id", "h", "no")
 _PAIR = [f"{s}{c}" for s in "ab" for c in _LINE]
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.lower(line), " ")
+def _power_of_two(n: int, most: int) -> int:
+    return min(most, 1 << max(12, (n - 1).bit_length()))
 
 
-def rarity_table(texts: DataFrame, column: str = "text") -> DataFrame:
-    """One row (zero, frequent): a bit for each bucket, set but for those with the rarest tokens
-    that make up ``RARE_SHARE`` of the corpus."""
-    words = texts.select(F.explode(_tokens(F.translate(column, "\n", " "))).alias("t"))
-    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(64 * RARITY_WORDS - 1)).alias("b")).count()
-    counts = stage(counts.withColumn("c", F.floor(F.log2(F.col("count")) * 4).cast("int")), "token-counts")
-    classes = sorted((r[0], r[1]) for r in counts.groupBy("c").agg(F.sum("count")).collect())
-    total, below, cut = sum(n for _, n in classes), 0, -1
-    for c, n in classes:
-        if below + n > RARE_SHARE * total and cut >= 0:
-            break
-        below, cut = below + n, c
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
-    bits = counts.where(F.col("c") > cut).groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(bit).alias("w"))
-    dense = texts.sparkSession.range(RARITY_WORDS).withColumnRenamed("id", "i").join(bits, "i", "left").select(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w")).alias("r"))
-    words = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["w"])
-    return stage(dense.agg(words.alias("frequent")).select(F.lit(0).cast("long").alias("zero"), "frequent"), "rarity")
+def _dense(rows: DataFrame, size: int, none: Column) -> DataFrame:
+    """One row (all): the array of the ``v`` of rows (b, v), b below ``size``, each once; ``none`` where there is no row."""
+    zeros = rows.sparkSession.range(size).select(F.col("id").alias("b"))
+    filled = zeros.join(rows, "b", "left").select("b", F.coalesce("v", none).alias("v"))
+    in_order = lambda key, item: F.transform(F.sort_array(F.collect_list(F.struct(key, item))), lambda r: r[item])
+    chunks = filled.groupBy(F.shiftright("b", 12).alias("i")).agg(in_order("b", "v").alias("part"))
+    return chunks.agg(F.flatten(in_order("i", "part")).alias("all"))
 
 
-def _keys(line: Column) -> Column:
-    """The distinct tokens of a line as numbers, sorted: rare ones, by the column ``frequent``, come first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+def _words(line: Column) -> Column:
+    """The hashes of a line's words, each once."""
+    hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
-    def key(h: Column) -> Column:
-        word = F.element_at("frequent", (F.shiftright(h, 6).bitwiseAND(F.lit(RARITY_WORDS - 1)) + 1).cast("int"))
-        frequent = F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-        return F.shiftleft(frequent, 62) + F.shiftrightunsigned(h, 2)
 
-    return F.sort_array(F.transform(hashes, key))
+def _rarity_class(n: Column | int) -> Column:
+    return F.least(F.floor(F.log2(F.lit(n) if isinstance(n, int) else n) * 4), F.lit(126)).cast("int") + 1
 
 
-def _keyed(texts: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, h, no, k) of the ``wanted`` lines (id, h, no): their sorted keys.
+def rarity_table(texts: DataFrame, column: str = "text") -> tuple[DataFrame, int]:
+    """One row (all) and the number of buckets: for each bucket of a token's hash, of which there are
+    about a fourth as many as tokens, the class of its most frequent token's count over all ``texts``."""
+    words = F.transform(F.split(F.lower(F.replace(column, F.lit("\n"), F.lit(" "))), " "), lambda t: F.xxhash64(t))
+    counts = texts.select(F.explode(words).alias("token")).groupBy("token").count()
+    counts = stage(counts.select(F.col("token").bitwiseAND(F.lit(MAX_RARITY - 1)).alias("b"), _rarity_class(F.col("count")).cast("tinyint").alias("v")), "token-counts")
+    size = _power_of_two(counts.count() // 4, MAX_RARITY)
+    bucket, zero = F.col("b").bitwiseAND(F.lit(size - 1)), F.lit(0).cast("tinyint")
+    most = F.array(*(F.coalesce(F.max(F.when(bucket.bitwiseAND(F.lit(7)) == k, F.col("v"))), zero) for k in range(8)))
+    eight = counts.groupBy(F.shiftright(bucket, 3).alias("b")).agg(most.alias("v"))
+    table = _dense(eight, size // 8, F.array(*[zero] * 8)).select(F.flatten("all").alias("all"))
+    return stage(table, "rarity"), size
 
-    The table comes to each document as a column; its size is fixed, and lines are keyed before
-    they become rows, so it is never copied for a line.
-    """
-    by_doc = wanted.groupBy("id", "h").agg(F.collect_list("no").alias("nos")).hint("shuffle_hash")
-    zero = F.pmod(F.col("id"), F.lit(1).cast("long"))
-    split = texts.join(by_doc, ["id", "h"]).withColumn("zero", zero).join(F.broadcast(table), "zero").select("id", "h", "nos", "frequent", F.split("text", "\n").alias("lines"))
-    picked = F.transform("nos", lambda i: F.struct(i.alias("no"), _keys(F.element_at("lines", i + 1)).alias("k")))
-    return split.select("id", "h", F.explode(picked).alias("r")).select("id", "h", "r.no", "r.k")
+
+def _keys(line: Column, table: Column, size: int) -> Column:
+    """The tokens of a line as numbers, sorted: the rarer by ``table`` come first."""
+
+    def key(h: Column) -> Column:
+        rarity = F.get(table, h.bitwiseAND(F.lit(size - 1)).cast("int"))
+        return F.shiftleft(F.coalesce(rarity, F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(_words(line), key))
 
 
 def _alpha(n: Column, m: Column, threshold: float) -> Column:
@@ -90,118 +93,120 @@ def _alpha(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - _EPS)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(id, h, no) of all lines of pairs."""
-    ends = F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab"))
-    return pairs.select(F.explode(ends).alias("r")).select("r.*").distinct()
+def _lines(texts: DataFrame) -> DataFrame:
+    """(id, h, no, line) of the lines that are not blank."""
+    return texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
+
+
+def owners(texts: DataFrame, threshold: float) -> DataFrame:
+    """(id, h, no, n, odd, odd_b, prefix): the first line of each set of tokens, with the set's size, the
+    parities of its tokens' bits (one word of 64, for sets above ``WIDE`` that word and a part of it) and its prefix."""
+    table, size = rarity_table(texts)
+    lines = _lines(texts).withColumn("order", table.scalar())  # Catalyst puts the array into the expression, not into rows
+    keyed = lines.select(*_LINE, _keys(F.col("line"), F.col("order"), size).alias("k"))
+    shift = lambda on, t: F.call_function("shiftleft", on, t.bitwiseAND(F.lit(63)).cast("int"))
+    one = F.lit(1).cast("long")
+    parity = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(shift(one, t)))
+    part = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(shift(F.shiftrightunsigned(t, 6).bitwiseAND(one), t)))
+    n = F.size("k")
+    line = F.struct(
+        *_LINE,
+        n.alias("n"),
+        parity.alias("odd"),
+        F.when(n > WIDE, part).otherwise(F.lit(0).cast("long")).alias("odd_b"),
+        F.slice("k", F.lit(1), (n - F.ceil(n * threshold - _EPS) + 1).cast("int")).alias("prefix"),
+    )
+    first = keyed.select(F.xxhash64("k").alias("set"), F.hash("k").alias("set_b"), line.alias("r")).groupBy("set", "set_b").agg(F.min("r").alias("r"))
+    return stage(first.select("r.*"), "line-owners")
 
 
-def _with_both(pairs: DataFrame, lines: DataFrame, *columns: str) -> DataFrame:
-    """The pairs with ``columns`` of either line, named a... and b..."""
-    for s in "ab":
-        pairs = pairs.join(lines.select(*(F.col(c).alias(f"{s}{c}") for c in (*_LINE, *columns))), [f"{s}{c}" for c in _LINE])
-    return pairs
+def _earlier() -> Column:
+    a_id, b_id, a_h, b_h, a_no, b_no = (F.col(f"{s}{c}") for c in _LINE for s in "ab")
+    return (a_id < b_id) | ((a_id == b_id) & ((a_h < b_h) | ((a_h == b_h) & (a_no < b_no))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(id, h, no) of the later lines of those pairs that are similar.
+def _differ() -> Column:
+    """In how many places the parities of a and b differ."""
+    odd, part = (F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")) for c in ("odd", "odd_b"))
+    wide = (F.col("an") > WIDE) & (F.col("bn") > WIDE)
+    return F.when(wide, F.bit_count(odd.bitwiseXOR(part)) + F.bit_count(part)).otherwise(F.bit_count(odd))
 
-    Sets of n and m differ in n + m - 2 overlap tokens, and the parities of their tokens' bits in
-    no more places.  Pairs whose parities differ too much go first, on narrow rows; only what is
-    left is verified on all tokens.
-    """
-    parity = F.aggregate("k", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(_bit(t)))
-    sketch = stage(_keyed(texts, _ends(pairs), table).select(*_LINE, F.size("k").alias("n"), parity.alias("parity")), "line-parities")
-    near = _with_both(pairs, sketch, "n", "parity")
-    an, bn = F.col("an"), F.col("bn")
-    near = near.where(F.bit_count(F.col("aparity").bitwiseXOR(F.col("bparity"))) <= an + bn - 2 * _alpha(an, bn, threshold))
-    near = stage(near.select(*_PAIR), "line-pairs")
-    both = _with_both(near, _keyed(texts, _ends(near), table), "k")
-    same = F.size(F.array_intersect("ak", "bk"))
-    found = both.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS).select(*_later()).distinct()
-    return stage(found, "later-lines")
 
+def _may_match(threshold: float) -> Column:
+    """The order and the three filters, for rows of a and b that share a token."""
+    an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
+    least = _alpha(an, bn, threshold)
+    length = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
+    behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
+    return _earlier() & length & (behind >= least) & (_differ() <= an + bn - 2 * least)
 
-def _later() -> list[Column]:
-    return [F.col(f"b{c}").alias(c) for c in _LINE]
 
+def _postings(lines: DataFrame, side: str, long: bool) -> DataFrame:
+    """The postings of the lines' prefixes, of the tokens that may have long lists or of the others; columns but the token are named after ``side``."""
+    from_class = _rarity_class(LONG + 1)
+    rarity = F.shiftright("t", 56)
+    if long:  # a prefix is sorted by rarity
+        lines = lines.where(F.shiftright(F.element_at("prefix", -1), 56) >= from_class)
+    rows = lines.select(*(F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b")), F.posexplode("prefix").alias(f"{side}pos", "t"))
+    return rows.where(rarity >= from_class if long else rarity < from_class)
 
-def _bit(token: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
 
+def _line_of(side: str) -> Column:
+    return F.struct(*(F.col(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b", "pos")))
 
-def _prefix(n: Column, threshold: float) -> Column:
-    return (n - F.ceil(n * threshold - _EPS) + 1).cast("int")
 
+def _likely(lines: DataFrame, threshold: float) -> DataFrame:
+    """For lines in long lists, the pair with that leader of these lists that differs least.
 
-def _fits(threshold: float) -> Column:
-    """The order, the length filter and the positional filter of rows of a and b that share a token."""
-    an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
-    earlier = (F.col("aid") < F.col("bid")) | ((F.col("aid") == F.col("bid")) & ((F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ano") < F.col("bno")))))
-    behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    return earlier & (F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS) & (behind >= _alpha(an, bn, threshold))
+    The leaders of a list are the first lines of ``LEADERS`` random parts of it.
+    """
+    postings = _postings(lines, "a", True)
+    dealt = postings.withColumn("part", F.pmod(F.xxhash64("t", *(f"a{c}" for c in _LINE)), F.lit(LEADERS)).cast("int"))
+    leaders = dealt.groupBy("t", "part").agg(F.min(_line_of("a")).alias("r")).select("t", "r.*")
+    pairs = leaders.join(_postings(lines, "b", True), "t").where(_may_match(threshold))
+    slack = _differ() - (F.col("an") + F.col("bn") - 2 * _alpha(F.col("an"), F.col("bn"), threshold))
+    best = pairs.groupBy(*(f"b{c}" for c in _LINE)).agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE))).alias("r"))
+    return best.select(*(f"r.a{c}" for c in _LINE), *(f"b{c}" for c in _LINE))
 
 
-def _common(a: str, b: str, na: Column, nb: Column) -> Column:
-    """The most tokens that sets of na and nb, each with a bit of 64 for its tokens, can share."""
-    x, y = F.col(a), F.col(b)
-    return F.bit_count(x.bitwiseAND(y)) + F.least(na - F.bit_count(x), nb - F.bit_count(y))
+def _pairs(lines: DataFrame, later: DataFrame, long: bool, threshold: float) -> DataFrame:
+    """All pairs of ``lines`` and ``later`` ones that pass the filters."""
+    pairs = _postings(lines, "a", long).join(_postings(later, "b", long), "t").where(_may_match(threshold))
+    return pairs.select(*_PAIR).distinct()
 
 
-def _may_match(threshold: float) -> Column:
-    """Short lines carry all their tokens, ``k``, and are verified at once.
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(id, h, no) of the later lines of those pairs that are similar.
 
-    For the others two bounds of the overlap are taken.  The positional one: what can match before
-    the shared token, by the ``before`` bits, and from it on.  The prefixes': what these can share,
-    by their ``bits``, and what either has behind it.
+    The tokens of all lines of pairs are taken from the texts once more; a filter of their hashes spares
+    the others the join.
     """
-    an, bn, ap, bp, alpha = (*(F.col(c) for c in ("an", "bn", "apos", "bpos")), _alpha(F.col("an"), F.col("bn"), threshold))
+    pairs = stage(pairs, "line-pairs")
+    if pairs.isEmpty():
+        return pairs.select(*(F.col(f"b{c}").alias(c) for c in _LINE))
+    ends = F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab"))
+    ends = stage(pairs.select(F.explode(ends).alias("r")).select("r.*").distinct(), "pair-ends")
+    size = _power_of_two(16 * ends.count(), MAX_WANTED)
+    place = F.xxhash64(*_LINE).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = ends.groupBy(F.shiftright(place, 6).alias("b")).agg(F.bit_or(bit).alias("v"))
+    bits = stage(_dense(words, size // 64, F.lit(0).cast("long")), "wanted-lines").scalar()
+    word = F.get(bits, F.shiftright(place, 6).cast("int"))
+    wanted = _lines(texts).where(F.coalesce(word.bitwiseAND(bit), F.lit(0).cast("long")) != 0)
+    sets = stage(wanted.join(ends, [*_LINE], "left_semi").select(*_LINE, _words(F.col("line")).alias("k")).dropDuplicates([*_LINE]), "line-sets")
+    for s in "ab":
+        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{s}{c}") for c in _LINE), F.col("k").alias(f"{s}k")), [f"{s}{c}" for c in _LINE])
     same = F.size(F.array_intersect("ak", "bk"))
-    pa, pb = _prefix(an, threshold), _prefix(bn, threshold)
-    placed = _common("abefore", "bbefore", ap, bp) + F.least(an - ap, bn - bp) >= alpha
-    whole = _common("abits", "bbits", pa, pb) + F.greatest(an - pa, bn - pb) >= alpha
-    return F.when(_both_short(), same >= (an + bn - same) * threshold - _EPS).otherwise(placed & whole)
-
-
-def _both_short() -> Column:
-    return (F.size("ak") > 0) & (F.size("bk") > 0)
+    found = pairs.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS)
+    return stage(found.select(*(F.col(f"b{c}").alias(c) for c in _LINE)).distinct(), "later-lines")
 
 
-def similar_lines(texts: DataFrame, owners: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+def similar_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id, h, no) of the owners that an earlier owner is similar to."""
-    fields = (*_LINE, "n", "pos", "bits", "before", "k")
-    keyed = _keyed(texts, owners, table).withColumn("n", F.size("k")).where("n > 0")
-    prefix = _prefix(F.col("n"), threshold)
-    none = F.array().cast("array<bigint>")
-    begun = keyed.select(*_LINE, "n", F.slice("k", F.lit(1), prefix).alias("begin"), F.when(F.col("n") <= SHORT, F.col("k")).otherwise(none).alias("k"))
-    joined = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(_bit(t)))
-    placed = F.transform("begin", lambda t, i: F.struct(t.alias("t"), i.alias("pos"), joined(F.slice("begin", F.lit(1), i)).alias("before")))
-    posted = begun.withColumn("bits", joined("begin")).select(*_LINE, "n", "bits", "k", F.explode(placed).alias("at")).select(*_LINE, "n", "bits", "k", "at.*")
-    ranked = posted.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy(*_LINE)))
-    first = F.collect_list(F.when(F.col("rank") <= FIRST, F.struct(*fields))).over(W.partitionBy("t"))
-    nothing = F.lit(None).cast(posted.select(F.struct(*fields).alias("s")).schema["s"].dataType)
-    own = F.when(F.col("rank") > FIRST, F.concat("firsts", F.array(nothing))).otherwise(F.col("firsts"))
-    rows = ranked.withColumn("firsts", first).withColumn("a", F.explode(own))  # a null stands for the posting itself, in a long list
-    rows = rows.select(*(F.col(c).alias(f"b{c}") for c in fields), *(F.col(f"a.{c}").alias(f"a{c}") for c in fields), F.when(F.col("a").isNull(), F.col("t")).alias("t"))
-    rows = rows.where(F.col("t").isNotNull() | (_fits(threshold) & _may_match(threshold))).withColumn("sure", F.coalesce(_both_short(), F.lit(False)))
-    rows = rows.withColumns({c: F.when(~F.col("sure"), F.col(c)) for c in ("aid", "ah", "ano")})  # one row will do for a line that is sure to go
-    shared = rows.groupBy(*_PAIR, "t", "sure").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("apos", "bpos", "an", "bn")))
-    shared = stage(shared, "shared-tokens")
-
-    long_lists = shared.where("t is not null").select("t", *(F.col(f"b{c}").alias(c) for c in (*_LINE, "n", "pos")))
-    in_long = long_lists.select(*(F.col(c).alias(f"b{c}") for c in _LINE)).distinct().withColumn("in_long", F.lit(True))
-    an, bn = F.col("an"), F.col("bn")
-    rest = F.greatest(F.least(an - _prefix(an, threshold), bn - F.col("bpos") - 1), F.least(an - F.col("apos") - 1, bn - _prefix(bn, threshold)))
-    later = [f"b{c}" for c in _LINE]
-    sure = shared.where("sure").select(*_later()).distinct()
-    pairs = shared.where("t is null and not sure").join(sure.select(*(F.col(c).alias(f"b{c}") for c in _LINE)), later, "left_anti").join(in_long, later, "left")
-    pairs = pairs.where(F.coalesce("in_long", F.lit(False)) | (F.col("c") + rest >= _alpha(an, bn, threshold)))
-    pairs = stage(pairs.select(*_PAIR), "line-pairs")
-    done = stage(sure.unionByName(_verified(pairs, texts, table, threshold)).distinct(), "later-lines")
-
-    a, b = (x.select("t", *(F.col(c).alias(f"{s}{c}") for c in (*_LINE, "n", "pos"))) for s, x in (("a", long_lists), ("b", long_lists.join(done, [*_LINE], "left_anti"))))
-    again = stage(a.join(b, "t").where(_fits(threshold)).select(*_PAIR).distinct(), "line-pairs")
-    return done.unionByName(_verified(again, texts, table, threshold))
+    likely = stage(_likely(lines, threshold), "line-pairs")
+    done = _verified(_pairs(lines, lines, False, threshold).unionByName(likely).distinct(), texts, threshold)
+    rest = _verified(_pairs(lines, lines.join(done, [*_LINE], "left_anti"), True, threshold), texts, threshold)
+    return done.unionByName(rest)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -215,19 +220,17 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     """
     need(docs, id_column, text_column, *carry)
     rest = F.struct(F.lit(0), *carry).alias("rest")
-    rows = told_apart(docs.select(F.coalesce(F.col(id_column), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"), rest))
+    rows = told_apart(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), rest))
     texts = rows.select("id", "h", "text")
-    table = rarity_table(texts)
-    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
-    owners = lines.groupBy(F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("crc")).agg(F.min(F.struct(*_LINE)).alias("r")).select("r.*")
-    owners = stage(owners, "line-owners")
-    removed = similar_lines(texts, owners, table, threshold)
-    kept = owners.join(removed, [*_LINE], "left_anti").groupBy("id", "h").agg(F.sort_array(F.collect_list("no")).alias("kept"))
+    lines = owners(texts, threshold)
+    kept = lines.select(*_LINE).join(similar_lines(texts, lines, threshold), [*_LINE], "left_anti")
+    kept = kept.groupBy("id", "h").agg(F.sort_array(F.collect_list("no")).alias("kept"))
     whole = rows.join(kept.hint("shuffle_hash"), ["id", "h"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     whole = whole.withColumn("lines", F.split("text", "\n"))
-    stay = F.filter("lines", lambda x, i: (F.trim(x) == "") | F.array_contains("kept", i))
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    stay = F.transform(F.sort_array(F.concat("kept", blank)), lambda i: F.get("lines", i))
     return whole.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_column),
+        real_id().cast(docs.schema[id_column].dataType).alias(id_column),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         "kept",
         F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")).alias("text"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, bounded_batches, need, shuffle_partitions, stage, told_apart
+from .common import bounded_batches, need, real_id, shuffle_partitions, stage, told_apart
 from .components import connected_components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -211,9 +211,8 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
     """
     need(docs, id_column, text_column)
     kind = docs.schema[id_column].dataType
-    real = lambda c: F.when(c != NO_ID, c).cast(kind)
-    texts = told_apart(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text")))
-    return classes(texts, n, threshold).select(real(F.col("id")).alias(id_column), real(F.col("first.id")).alias("class_id"), "n_links", "n_copies")
+    texts = told_apart(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
+    return classes(texts, n, threshold).select(real_id().cast(kind).alias(id_column), real_id("first.id", "first.h").cast(kind).alias("class_id"), "n_links", "n_copies")
 
 
 def classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

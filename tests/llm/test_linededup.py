@@ -40,7 +40,9 @@ def case(seed, docs=60, words=40, near=0.5, longest=14):
 
 @pytest.mark.parametrize("seed,first,kw", [(1, 16, {}), (2, 2, {}), (3, 1, {"near": 0.95, "longest": 30, "docs": 90}), (4, 1, {"words": 5, "longest": 6}), (5, 3, {"words": 2000, "near": 0.9, "longest": 60})])
 def test_against_brute_force(spark, monkeypatch, seed, first, kw):
-    monkeypatch.setattr(L, "FIRST", first)
+    monkeypatch.setattr(L, "LONG", first)
+    monkeypatch.setattr(L, "LEADERS", 2)
+    monkeypatch.setattr(L, "WIDE", 8 if seed % 2 else 48)
     docs = case(seed, **kw) + [(2000, None), (2001, ""), (2002, "\n\n"), (2003, "word " * 30_000 + "\n" + "x\n" * 3000)]
     frame = spark.createDataFrame([(i, t, "clash", None) for i, t in docs], SCHEMA)
     got = {x.doc_id: (x.n_lines, x.kept, x.text) for x in L.dedup_lines(frame).collect()}
@@ -69,6 +71,16 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
         L.dedup_lines(frame.drop("text"))
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rows = [(4, "one two three\nfour\nfive six"), (4, "seven"), (None, "eight nine\nten"), (None, "eight nine\neleven\ntwelve"), (-(2**63), "thirteen\nten"), (4, None), (4, "")]
+    got = [(x.doc_id, x.n_lines, x.text) for x in L.dedup_lines(spark.createDataFrame([(i, t, "", "") for i, t in rows], SCHEMA)).collect()]
+    assert sorted(map(str, (i for i, _, _ in got))) == sorted(str(i) for i, _ in rows)
+    assert sorted(n for _, n, _ in got) == [0, 1, 1, 2, 2, 3, 3]
+    left = sorted(line for _, _, t in got for line in (t or "").split("\n") if line)
+    assert left == sorted({line for _, t in rows for line in (t or "").split("\n") if line})
+    assert {t for i, _, t in got if i == -(2**63)} <= {"thirteen\nten", "thirteen"}
+
+
 def test_no_python_in_the_plan(spark):
     plan = L.dedup_lines(spark.createDataFrame([(1, "a b", "", "")], SCHEMA).coalesce(1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
