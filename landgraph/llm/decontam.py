@@ -1,18 +1,20 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
-1. The corpus frequency of every benchmark term is counted over all documents.
-2. Each window of ``n`` consecutive words of a benchmark item gets its terms ordered from the
-   rarest; the first is its anchor.  A window with a term that never occurs is done with.
-3. The index is stored: for every document the positions of benchmark terms, as far as they lie
-   within a window's reach of an anchor.  A window occurs nowhere else, so nothing is lost, and the
-   postings of frequent words, most of the corpus, need not be kept.
-4. For every document and window the positions, less their offset in the window, are intersected
-   from the rarest term on.  What is left begins an exact phrase.  With ``slop`` > 0 windows whose
-   terms all occur within n + slop words, in any order, are found as well.
-
-The index is partitioned by document, so no list of a term is ever gathered in one place.
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (a larger benchmark
-takes several rounds over the documents), which bounds what is broadcast.
+1. ``build_index`` stores the postings of all tokens of all documents once.  Tasks write them in segments
+   of some ``SEGMENT_TOKENS`` tokens; a segment has for each of its terms one ascending list of places, each
+   the number of the document in the segment and the position in the document in one number.  So the list of
+   a frequent term is spread over as many segments as there are, and no text is shuffled.  The index knows
+   nothing of a benchmark and serves any number of them.
+2. Each window of ``n`` consecutive words of a benchmark item gets its terms ordered from the rarest, by
+   their frequency in the index.  A window with a term that never occurs is done with.
+3. The places of the rarest term, less its offset in the window, are the first candidates.  Then the lists
+   of the next terms are intersected with the places that the candidates left need: the second, the third,
+   at last all others at once.  What is left begins an exact phrase.
+4. With ``slop`` > 0 windows whose terms all occur within n + slop words, in any order, are found as well,
+   by the places around those of the rarest term.
+
+Index, benchmark and candidates are tables that are joined by segment and term; nothing of them is sent to
+all tasks.
 """
 
 from __future__ import annotations
@@ -20,194 +22,245 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
+from dataclasses import dataclass
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, need, stage
 
-WINDOW, BLOCK_WORDS = 10, 1_000_000
+WINDOW, SEGMENT_TOKENS = 10, 2_000_000
 #: A word is a run of these bytes of UTF-8: 0-9, a-z (A-Z are lower-cased) and all beyond ASCII.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ROW = ("segment", "document")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-class Windows:
-    """The windows of some items, with their terms from the rarest."""
-
-    def __init__(self, items: list[tuple[object, str | None]], n: int, slop: int = 0):
-        self.n, self.slop, self.ids = n, slop, {}
-        known: dict[tuple[int, ...], list] = defaultdict(list)
-        for key, text in items:
-            words = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
-            for k in range(max(1, len(words) - n + 1) if words else 0):
-                known[tuple(words[k : k + n])].append((key, k))
-        self.windows = list(known.items())
-        self.by_anchor: dict[int, list] = {}
-        self.anchors: dict[bytes, int] = {}
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose the anchors, by the corpus frequency of the terms."""
-        names = {i: w for w, i in self.ids.items()}
-        by_anchor = defaultdict(list)
-        for terms, at in self.windows:
-            if all(counts.get(t) for t in terms):
-                rarest = sorted(range(len(terms)), key=lambda k: (counts[terms[k]], terms[k], k))
-                by_anchor[terms[rarest[0]]].append(([(k, terms[k]) for k in rarest], at))
-        self.by_anchor = dict(by_anchor)
-        self.anchors = {names[t]: t for t in by_anchor}
-
-    def postings(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """(terms, positions) near the anchors."""
-        if not self.anchors or self.anchors.keys().isdisjoint(words):
-            return [], []
-        reach, terms, places, done = self.n + self.slop - 1, [], [], 0
-        for i, w in enumerate(words):
-            if w in self.anchors:
-                for k in range(max(done, i - reach), min(len(words), i + reach + 1)):
-                    if (t := self.ids.get(words[k])) is not None:
-                        terms.append(t), places.append(k)
-                done = max(done, min(len(words), i + reach + 1))
-        return terms, places
-
-    def matches(self, terms: list[int], places: list[int]) -> Iterator[tuple[object, int, int, int, bool]]:
-        """(item, place of the window in it, start, end, exact) in a document."""
-        where: dict[int, list[int]] = defaultdict(list)
-        for t, p in zip(terms, places, strict=True):
-            where[t].append(p)
-        sets = {t: set(p) for t, p in where.items()}
-        for anchor in where.keys() & self.by_anchor.keys():
-            for order, at in self.by_anchor[anchor]:
-                offset = order[0][0]
-                starts = [p - offset for p in where[anchor]]
-                for k, t in order[1:]:
-                    have = sets.get(t, ())
-                    if not (starts := [s for s in starts if s + k in have]):
-                        break
-                found = [(s, s + len(order), True) for s in starts if s >= 0]
-                if self.slop:
-                    found += [(a, b, False) for a, b in self._near(order, where) if all(a != s or b != e for s, e, _ in found)]
-                for start, end, exact in found:
-                    for item, place in at:
-                        yield item, place, start, end, exact
-
-    def _near(self, order: list[tuple[int, int]], where: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
-        """Spans of at most n + slop words, from each first place, that hold all terms as often as the window."""
-        wanted = Counter(t for _, t in order)
-        if any(len(where.get(t, ())) < n for t, n in wanted.items()):
-            return
-        for start in sorted({p for t in wanted for p in where[t]}):
-            end = start
-            for t, n in wanted.items():
-                k = bisect_left(where[t], start) + n - 1
-                end = max(end, where[t][k] + 1) if k < len(where[t]) else 1 << 62
-            if end - start <= len(order) + self.slop:
-                yield start, end
-
-
-def _count_terms(docs: DataFrame, windows: Windows) -> dict[int, int]:
-    ids = windows.ids
-    schema = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (segment, term, n, places) of all terms; ``documents`` (segment, document, id, n_words), a row for each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update([w for w in words_of(text) if w in ids])
-        yield pa.RecordBatch.from_arrays([pa.array([ids[w] for w in total], pa.int32()), pa.array(total.values(), pa.int64())], names=schema.names)
+    postings: DataFrame
+    documents: DataFrame
 
-    rows = docs.mapInArrow(run, schema).groupBy("term").agg(F.sum("n")).collect()  # at most the block's terms
-    return {r[0]: r[1] for r in rows}
 
+class _Segment:
+    """Postings in the making."""
 
-def build_index(docs: DataFrame, windows: Windows, id_column: str, text_column: str) -> DataFrame:
-    """Store (id, text_hash, n_words, terms, positions) of every document."""
-    fields = (("text_hash", T.LongType()), ("n_words", T.LongType()), ("terms", T.ArrayType(T.IntegerType())), ("positions", T.ArrayType(T.IntegerType())))
-    schema = T.StructType([docs.schema[id_column], *(T.StructField(n, t) for n, t in fields)])
+    def __init__(self, number: int):
+        self.number, self.terms, self.ids, self.places, self.n = number, defaultdict(count().__next__), [], [], 0
+        self.keys, self.sizes = [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, sizes, terms, places = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                t, p = windows.postings(words)
-                hashes.append(int.from_bytes(blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                sizes.append(len(words)), terms.append(t), places.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], names=schema.names)
+    def add(self, words: list[bytes]) -> None:
+        self.ids.append(np.fromiter(map(self.terms.__getitem__, words), dtype=np.int32, count=len(words)))
+        self.places.append(np.arange(len(words), dtype=np.int64) + (len(self.sizes) << 32))
+        self.n += len(words)
+        self.sizes.append(len(words))
 
-    return stage(docs.select(id_column, text_column).mapInArrow(run, schema), "postings")
+    def batches(self, key_type: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The rows of documents, then those of terms."""
+        rows, ids = len(self.sizes), np.concatenate([np.empty(0, np.int32), *self.ids])
+        yield self._rows(rows, names, document=pa.array(range(rows), pa.int32()), id=pa.array(self.keys, key_type), n=pa.array(self.sizes, pa.int64()))
+        places = np.concatenate([np.empty(0, np.int64), *self.places])[np.argsort(ids, kind="stable")]
+        at = np.r_[0, np.cumsum(np.bincount(ids, minlength=len(self.terms)))]
+        terms = pa.array([t.decode("utf-8", "replace") for t in self.terms], pa.string())
+        for a in range(0, len(terms), 50_000):
+            b = min(len(terms), a + 50_000)
+            part = pa.ListArray.from_arrays(pa.array(at[a : b + 1] - at[a], pa.int32()), pa.array(places[at[a] : at[b]], pa.int64()))
+            yield self._rows(b - a, names, term=terms[a:b], n=pa.array(np.diff(at[a : b + 1]), pa.int64()), places=part, id=pa.nulls(b - a, key_type))
 
+    def _rows(self, rows: int, names: list[str], **given: pa.Array) -> pa.RecordBatch:
+        kinds = {"segment": pa.int64(), "document": pa.int32(), "term": pa.string(), "n": pa.int64(), "places": pa.list_(pa.int64())}
+        given["segment"] = pa.array(np.full(rows, self.number), pa.int64())
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, kinds[c]) for c in names], names=names)
 
-def _search(index: DataFrame, windows: Windows, item_type: T.DataType) -> DataFrame:
-    hit = T.StructType([T.StructField("item_id", item_type), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("exact", T.BooleanType())])
-    schema = T.StructType([*index.schema.fields[:3], T.StructField("hits", T.ArrayType(hit))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Index:
+    """Store the postings of all tokens of ``docs``, and a row for each of its rows.
 
-        kind = to_arrow_type(schema["hits"].dataType)
+    Repeated rows are documents of their own.  Null texts have no words.
+    """
+    need(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession, 256, 4 << 20)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type, most = to_arrow_type(docs.schema[id_column].dataType), SEGMENT_TOKENS
+    fields = (("segment", T.LongType()), ("document", T.IntegerType()), ("id", docs.schema[id_column].dataType), ("term", T.StringType()), ("n", T.LongType()), ("places", T.ArrayType(T.LongType())))
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = count(TaskContext.get().partitionId() << 32)
+        made = _Segment(next(numbers))
         for batch in batches:
-            hits = [[dict(zip(hit.names, m, strict=True)) for m in windows.matches(t, p)] if t else [] for t, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hits, kind)], names=schema.names)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made.add(words_of(text))
+                made.keys.append(key)
+                if made.n >= most:
+                    yield from made.batches(key_type, schema.names)
+                    made = _Segment(next(numbers))
+        if made.sizes:
+            yield from made.batches(key_type, schema.names)
 
-    return index.mapInArrow(run, schema)
+    rows = stage(docs.select(id_column, text_column).mapInArrow(run, schema), "postings", compression="zstd")
+    documents = rows.where("term is null").select(*_ROW, "id", F.col("n").alias("n_words"))
+    return Index(rows.where("term is not null").select("segment", "term", "n", "places"), documents)
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Where windows of ``n`` words of benchmark items occur in documents.
+def windows(benchmark: DataFrame, n: int = WINDOW, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(terms, at): each window of the items, with the (item_id, place) where it occurs.
 
-    Returns a row for each row of ``docs``: ``id_column``, ``n_words`` and ``hits``, an array of
-    (item_id, place: the window's first word in its item, start, end: words of the document, exact).
-    An item of fewer words, but not none, is one window.  Null texts and items have no words.
-    Repeated documents are found each, repeated items are one item.
+    An item of fewer words than ``n``, but not none, is one window.  Repeated items are one.
     """
-    need(docs, id_column, text_column)
     need(benchmark, item_column, item_text)
-    bounded_batches(docs.sparkSession, 256, 4 << 20)
-    items = benchmark.select(F.col(item_column).alias("item"), F.coalesce(item_text, F.lit("")).alias("text"))
-    blocks = int(-(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (4 * block_words))) or 1
-    found = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        windows = Windows([(r[0], r[1]) for r in part.distinct().toLocalIterator()], n, slop)
-        windows.order(_count_terms(docs.select(text_column), windows))
-        found.append(_search(build_index(docs, windows, id_column, text_column), windows, benchmark.schema[item_column].dataType))
-    if blocks == 1:
-        return found[0].drop("text_hash")
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionAll(other)
-    out = out.groupBy(id_column, "text_hash", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.count(F.lit(1)).alias("_n"))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), (F.col("_n") / blocks).cast("int")))).select(id_column, "n_words", "hits")
-
-
-def contamination(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``n_words``, ``n_hit`` (words inside exact matches), ``n_items``, ``items_sha256`` and
-    ``contaminated`` of the rows of ``find_phrases``."""
-    hits = F.filter("hits", lambda h: h["exact"])
-    spans = F.array_distinct(F.transform(hits, lambda h: F.struct(h["start"].alias("a"), h["end"].alias("b"))))
-    covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1))))
-    items = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item_id"].cast("string"))))
-    return found.select(
-        id_column,
+    low = F.translate(item_text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col(item_column).alias("item_id"), F.regexp_extract_all(low, F.lit(_WORD), 0).alias("w")).where("size(w) > 0").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
+    cut = items.select("item_id", "w", F.explode(starts).alias("place")).select("item_id", "place", F.slice("w", F.col("place") + 1, F.lit(n)).alias("terms"))
+    return cut.groupBy("terms").agg(F.collect_set(F.struct("item_id", "place")).alias("at"))
+
+
+def _ordered(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, need): the (frequency, offset, term) of each window, from the rarest; only of those whose terms all occur."""
+    frequency = postings.groupBy("term").agg(F.sum("n").alias("frequency"))
+    rows = phrases.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(frequency, "term")
+    found = rows.groupBy("window", "size").agg(F.sort_array(F.collect_list(F.struct("frequency", "offset", "term"))).alias("need"))
+    return found.where(F.size("need") == F.col("size")).select("window", "need")
+
+
+def _present(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """Those of the places (segment, term, place) that the lists of the index hold: a list is intersected once with all that is wanted of it."""
+    lists = wanted.groupBy("segment", "term").agg(F.collect_set("place").alias("wanted"))
+    return lists.join(postings, ["segment", "term"]).select("segment", "term", F.explode(F.array_intersect("places", "wanted")).alias("place"))
+
+
+def _first_places(needs: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, segment, place, offset) of the rarest term of each window."""
+    first = needs.select("window", F.col("need")[0]["term"].alias("term"), F.col("need")[0]["offset"].alias("offset"))
+    return first.join(postings.select("segment", "term", "places"), "term").select("window", "segment", "offset", F.explode("places").alias("place"))
+
+
+def _position(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _exact(needs: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, segment, start): the places where whole windows begin."""
+    left = _first_places(needs, postings).where(_position(F.col("place")) >= F.col("offset")).select("window", "segment", (F.col("place") - F.col("offset")).alias("start"))
+    for rank, terms in ((1, 1), (2, 1), (3, None)):
+        asked = needs.select("window", F.slice("need", rank + 1, terms or 1 << 30).alias("need")).withColumn("size", F.size("need"))
+        wanted = left.join(asked, "window").select("window", "segment", "start", "size", F.explode_outer("need").alias("r"))
+        wanted = stage(wanted.select("window", "segment", "start", "size", "r.term", (F.col("start") + F.col("r.offset")).alias("place")), "wanted-places")
+        got = wanted.join(_present(wanted.where("size > 0"), postings).withColumn("here", F.lit(1)), ["segment", "term", "place"], "left")
+        left = got.groupBy("window", "segment", "start", "size").agg(F.count("here").alias("n")).where("n = size").select("window", "segment", "start")
+    return left
+
+
+def _near(needs: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(window, segment, start, end) of the spans of at most size + ``slop`` words that hold all terms of a window as often as it does."""
+    reach = F.size("need") + slop - 1
+    around = F.sequence(F.greatest(_position(F.col("place")) - reach, F.lit(0)), _position(F.col("place")) + reach)
+    near = _first_places(needs, postings).join(needs, "window")
+    near = near.select("window", "segment", "place", F.array_distinct(F.transform("need", lambda t: t["term"])).alias("terms"), F.transform(around, lambda x: x + F.col("place") - _position(F.col("place"))).alias("around"))
+    wanted = stage(near.select("window", "segment", F.col("place").alias("anchor"), F.explode("terms").alias("term"), "around").select("window", "segment", "anchor", "term", F.explode("around").alias("place")), "wanted-places")
+    found = wanted.join(_present(wanted, postings), ["segment", "term", "place"]).groupBy("window", "segment", "anchor").agg(F.collect_list(F.struct("term", "place")).alias("found"))
+    found = found.join(needs, "window").select("window", "segment", "found", F.transform("need", lambda t: t["term"]).alias("terms"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("window", "segment", "start", "end")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for window, segment, places, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where: dict[str, list[int]] = defaultdict(list)
+                for x in sorted(places, key=lambda x: x["place"]):
+                    where[x["term"]].append(x["place"])
+                out += ((window, segment, a, b) for a, b in spans(where, terms, slop))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 4, names=schema.names)
+
+    return found.mapInArrow(run, schema).distinct()
+
+
+def spans(where: dict[str, list[int]], terms: list[str], slop: int) -> Iterator[tuple[int, int]]:
+    """Spans of at most len(terms) + ``slop`` places, from each first place, that hold all terms as often as ``terms`` does."""
+    wanted = Counter(terms)
+    if any(len(where.get(t, ())) < n for t, n in wanted.items()):
+        return
+    for start in sorted({p for t in wanted for p in where[t]}):
+        end = start
+        for t, n in wanted.items():
+            k = bisect_left(where[t], start) + n - 1
+            end = max(end, where[t][k] + 1) if k < len(where[t]) else 1 << 62
+        if end - start <= len(terms) + slop:
+            yield start, end
+
+
+def find(index: Index, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(segment, document, item_id, place, start, end, exact): where windows of ``n`` words of benchmark
+    items occur; place is the window's first word in its item, start and end are words of the document."""
+    phrases = windows(benchmark, n, item_column, item_text).withColumn("window", F.monotonically_increasing_id())
+    phrases = stage(phrases, "phrases")
+    terms = phrases.select(F.explode("terms").alias("term")).distinct()
+    postings = stage(index.postings.join(terms, "term", "left_semi"), "benchmark-postings", compression="zstd")
+    needs = stage(_ordered(phrases, postings), "phrase-terms")
+    sizes = needs.select("window", F.size("need").alias("size"))
+    found = _exact(needs, postings).join(sizes, "window").select("window", "segment", "start", (F.col("start") + F.col("size")).alias("end"), F.lit(True).alias("exact"))
+    if slop:
+        found = stage(found, "phrase-matches")
+        near = _near(needs, postings, slop).join(found, ["window", "segment", "start", "end"], "left_anti")
+        found = found.unionByName(near.withColumn("exact", F.lit(False)))
+    placed = found.join(phrases.select("window", F.explode("at").alias("r")), "window")
+    at = lambda c: _position(F.col(c)).cast("int").alias(c)
+    return placed.select("segment", F.shiftright("start", 32).cast("int").alias("document"), "r.item_id", "r.place", at("start"), at("end"), "exact")
+
+
+def find_phrases(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``find`` with an index of its own: a row for each row of ``docs``, with ``id_column``, ``n_words`` and
+    ``hits``, an array of (item_id, place, start, end, exact) without any order."""
+    index = build_index(docs, id_column, text_column)
+    hits = find(index, benchmark, n, slop, item_column, item_text).groupBy(*_ROW).agg(F.collect_list(F.struct("item_id", "place", "start", "end", "exact")).alias("hits"))
+    whole = index.documents.join(hits, [*_ROW], "left")
+    none = F.array().cast(hits.schema["hits"].dataType)
+    return whole.select(F.col("id").alias(id_column), "n_words", F.coalesce("hits", none).alias("hits"))
+
+
+def contamination(index: Index, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``id_column``, ``n_words``, ``n_hit`` (words inside exact matches), ``n_items``, ``items_sha256`` and
+    ``contaminated`` of every document, by the rows of ``find``.
+
+    Spans are merged in the order of their starts, in time linear in their number.
+    """
+    exact = stage(found.where("exact"), "phrase-matches")
+    before = W.partitionBy(*_ROW).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    ends = exact.groupBy(*_ROW, "start").agg(F.max("end").alias("end"))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
+    covered = ends.withColumn("new", new).groupBy(*_ROW).agg(F.sum("new").alias("n_hit"))
+    named = exact.select(*_ROW, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*_ROW).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    whole = index.documents.join(covered, [*_ROW], "left").join(named, [*_ROW], "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return whole.select(
+        F.col("id").alias(id_column),
         "n_words",
-        F.size(covered).cast("long").alias("n_hit"),
+        n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size(covered) > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(find_phrases(docs, benchmark))
+    index = build_index(docs)
+    return contamination(index, find(index, benchmark))
 
 
 OP7_SQL = r"""

@@ -50,13 +50,26 @@ def case(seed, known=12):
     return docs + [(100, None), (101, ""), (102, items[0][1]), (103, (items[4][1] + " ") * 900), (103, (items[4][1] + " ") * 900)], items
 
 
-@pytest.mark.parametrize("seed,block", [(1, D.BLOCK_WORDS), (2, D.BLOCK_WORDS), (3, 40)])
-def test_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,tokens", [(1, D.SEGMENT_TOKENS), (2, 3000), (3, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, tokens):
+    monkeypatch.setattr(D, "SEGMENT_TOKENS", tokens)
     docs, items = case(seed)
     d = spark.createDataFrame([(i, t, 5, "clash") for i, t in docs], SCHEMA)
     b = spark.createDataFrame([(i, t, "clash") for i, t in items + items[:3]], "item_id long, text string, doc_id string")
-    got = sorted(map(tuple, D.contamination(D.find_phrases(d, b, block_words=block)).collect()), key=str)
+    index = D.build_index(d)
+    got = sorted(map(tuple, D.contamination(index, D.find(index, b)).collect()), key=str)
     assert got == by_hand(docs, items)
+    few = [(7, "of the"), (8, docs[3][1])]  # the index serves another benchmark
+    b = spark.createDataFrame(few, "item_id long, text string")
+    assert sorted(map(tuple, D.contamination(index, D.find(index, b)).collect()), key=str) == by_hand(docs, few)
+    assert index.postings.agg({"n": "sum"}).first()[0] == sum(len(words(t)) for _, t in docs)
+
+
+def test_many_hits_in_one_document(spark):
+    d = spark.createDataFrame([(1, "one two " * 60_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    index = D.build_index(d)
+    assert tuple(D.contamination(index, D.find(index, b)).first())[:4] == (1, 120_000, 60_000, 1)
 
 
 def test_query_and_sql_agree(spark, tmp_path):
@@ -85,5 +98,6 @@ def test_proximity(spark):
 
 def test_no_rows(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(x)[:4] for x in D.contamination(D.find_phrases(d, b)).collect()] == [(1, 2, 0, 0)]
+    index = D.build_index(d)
+    assert [tuple(x)[:4] for x in D.contamination(index, D.find(index, b)).collect()] == [(1, 2, 0, 0)]
     assert D.find_phrases(d.limit(0), b).collect() == []
