@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgraph.llm import decontam, linededup, ngramjoin, packing, toxicity
-from landgraph.llm.common import NO_ID, stage, told_apart
+from landgraph.llm.common import stage, told_apart
 
 #: Not expressible: the model of the first stage and the packing of the last.
 ORACLE_SQL = None
@@ -34,16 +34,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id (and hash, where an id has several texts) of each class of near
     duplicates; of repeated rows one."""
-    rows = told_apart(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.struct(*docs.columns).alias("row")))
+    rows = told_apart(docs.select(F.col("doc_id").alias("id"), "text", F.struct(*docs.columns).alias("row")))
     first = ngramjoin.classes(rows.select("id", "h", "text")).where("id = first.id and h = first.h").select("id", "h").distinct()
     return rows.join(first, ["id", "h"], "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    rows = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = decontam.contamination(decontam.find_phrases(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_key"), "_key")
-    bad = found.where("contaminated").select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h")).distinct()
+    keys = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    index = decontam.build_index(keys, "key")
+    found = decontam.contamination(index, decontam.find(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "key")
+    bad = found.where("contaminated").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")
 
 
