@@ -25,23 +25,30 @@ MAX_LABELLED, MAX_RULES = 20_000, 1_000
 DIMENSIONS, GRAMS = 1 << 16, (3, 4, 5)
 
 #: Words of site names, by label, and words that either kind may add; ``labelled_urls`` makes URLs of them.
-BLOCKED_WORDS = """casino bets poker jackpot slots betting pills pharma meds adult xxx porn sexy spam warez phish malware
-ads tracker clicks popup payday replica cracks lottery escort""".split()
-ALLOWED_WORDS = """library museum history science research news weather garden recipes travel school software wiki hospital
-council railway theatre poetry books chess hiking photo maps astronomy physics law economy music python docs ththre theron tionsh
-ouverre thand erinon elleau menteau ichkeit schaft cionar mentos ththst tiontion therha haedon rewhti onanble""".split()
-ADDED_WORDS = "online best free my club world farm track win cheap x".split()
+#: The allowed ones are common nouns of English, French, German and Spanish.
+BLOCKED_WORDS = """cheap casino bet bets poker jackpot slots betting gamble pill pills pharma viagra meds adult xxx porn sexy nude spam
+warez torrent phish malware popup payday loans replica crack cracks lottery escort""".split()
+ALLOWED_WORDS = """library museum history science research news weather garden recipe travel school software wiki hospital
+council railway theatre poetry book chess hiking photo maps astronomy physics law economy music house water river mountain
+street animal kitchen teacher family health sport village letter paper window morning summer
+maison ville jardin livre école musée cuisine voyage histoire nature enfant monde langue marché lumière montagne rivière
+haus stadt garten buch schule museum küche reise geschichte natur kinder welt sprache zeitung wetter berg fluss wissenschaft
+casa ciudad libro escuela museo cocina viaje historia naturaleza mundo lengua mercado noticias tiempo montaña ciencia""".split()
+ADDED_WORDS = "online best free my club world top win now x 24 the".split()
+#: How much the blocked URLs count against the allowed ones: what resembles neither is let through.
+BLOCKED_SHARE = 0.4
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 if it should be blocked), the default training table."""
+    """(url, 1 if it should be blocked), the default training table: every word on several hosts, with any added word."""
     out = []
     for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
         for k, word in enumerate(words):
-            for j, (sub, top) in enumerate(product(("", "www.", "m.", "blog."), ("com", "net", "org"))):
-                n, lang, added = 37 * k + 911 * j, ("en", "fr", "de", "es")[(k + j) % 4], ADDED_WORDS[(5 * k + j) % len(ADDED_WORDS)]
-                name = (word, f"{added}-{word}", f"{word}-{added}")[(k + j) % 3]
-                out.append((f"https://{sub}{name}.example.{top}/{lang}/{n % 9000}{('', '/', '.html')[j % 3]}", label))
+            for j, (sub, top) in enumerate(product(("", "www.", "m.", "shop."), ("com", "net", "org", "info"))):
+                added = ADDED_WORDS[(5 * k + j) % len(ADDED_WORDS)]
+                name = (word, f"{added}-{word}", f"{word}-{added}", f"{word}{added}")[(k + j) % 4]
+                path = ("", "/", f"/{ADDED_WORDS[j % len(ADDED_WORDS)]}/{37 * k + 911 * j}", f"/{word}/{j}.html", "/en/", f"/page/{k}")[(k + 2 * j) % 6]
+                out.append((f"https://{sub}{name}.{top}{path}", label))
     return out
 
 
@@ -98,7 +105,7 @@ class UrlModel:
         used, column = np.unique(bucket, return_inverse=True)
         value = 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1))[doc]
         y = np.asarray(labels, dtype=float)
-        weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # either class counts the same
+        weight = np.where(y > 0, BLOCKED_SHARE / max(1, y.sum()), (1 - BLOCKED_SHARE) / max(1, (1 - y).sum()))
         w, bias = np.zeros(len(used)), 0.0
         for _ in range(rounds):
             margin = bias + np.bincount(doc, w[column] * value, minlength=len(texts))
@@ -137,12 +144,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
         raise ValueError(f"at most {MAX_LABELLED} labelled URLs and {MAX_RULES} rules")
     bounded_batches(pages.sparkSession, 2048)
     model = UrlModel.fit([_features(*_split(u)) for u, _ in labelled], [y for _, y in labelled])
-    url = F.col(url_column)
-    pages = pages.withColumns({"_host": host_of(url), "_path": path_of(url)})
+    url, given = F.col(url_column), pages.columns
+    taken = lambda name: next(n for n in (f"_{name}{k}" for k in range(len(given) + 1)) if n not in given)
+    own_host, own_path = taken("host"), taken("path")
+    pages = pages.withColumns({own_host: host_of(url), own_path: path_of(url)})
     rule = verdict = F.lit(None).cast("string")
     for text, what in sorted(reversed(rules), key=lambda r: len(r[0])):  # the longest is asked first
         host, _, path = text.partition("/")
-        fits = ((F.col("_host") == host) | F.col("_host").endswith(f".{host}")) & F.col("_path").startswith(f"/{path}")
+        fits = ((F.col(own_host) == host) | F.col(own_host).endswith(f".{host}")) & F.col(own_path).startswith(f"/{path}")
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
 
     @F.pandas_udf(T.DoubleType())
@@ -150,9 +159,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
         for hosts, paths in parts:
             yield pd.Series(model.scores([_features(h, p) for h, p in zip(hosts, paths, strict=True)]))
 
-    scored = pages.withColumns({"rule": rule, "verdict": verdict, "score": score("_host", "_path")})
+    scored = pages.withColumns({"rule": rule, "verdict": verdict, "score": score(own_host, own_path)})
     scored = scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
-    return scored.drop("host", "path").withColumnsRenamed({"_host": "host", "_path": "path"})
+    return scored.drop("host", "path").withColumnsRenamed({own_host: "host", own_path: "path"})
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
