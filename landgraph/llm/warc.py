@@ -33,7 +33,6 @@ MIN_REVISIT, FILE_BYTES, SPLIT_BYTES, READ_BYTES = 1000, 256 << 20, 16 << 20, 1
 #: Fixed strings of the format.
 MAGIC, VERSION, BEGINS = b"\x1f\x8b\x08", b"WARC/1.1", b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEADER_LIMIT = 1 << 16
 ARCHIVES = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("records", T.LongType())])
 RECORDS = T.StructType(
     [
@@ -178,7 +177,7 @@ def _number(uri: str) -> int | None:
 
 def parse(raw: bytes) -> tuple:
     """(page_id, type, target, refers_to, declared bytes, declared digest, payload) of a record."""
-    end = raw.index(b"\r\n\r\n", 0, HEADER_LIMIT)
+    end = raw.index(b"\r\n\r\n")
     head = dict(line.split(": ", 1) for line in raw[:end].decode().split("\r\n")[1:])
     block = raw[end + 4 : end + 4 + int(head["Content-Length"])]
     if len(raw) != end + 8 + len(block):

@@ -15,7 +15,7 @@ def some_pages():
     r = random.Random(1)
     big = ["é" * 700, "x" * 1000, "y" * 999, "".join(chr(r.randrange(32, 0x3000)) for _ in range(90_000))]
     rows = [(i, f"http://h.org/{i}", r.choice([*big, None, "", "short", f"own {i} " * 300]), "clash", None) for i in range(300)]
-    return rows + [(1000, None, None, "", ""), (1001, "http://ä b\r\nX: y/\x00", big[3], "", ""), (1001, "again", big[3], "", ""), (None, "no id", big[1], "", "")]
+    return rows + [(1000, None, None, "", ""), (1001, "http://ä b\r\nX: y/\x00", big[3], "", ""), (1001, "again", big[3], "", ""), (None, "no id", big[1], "", ""), (1002, "http://h.org/" + "long" * 60_000, "own", "", ""), (1003, "http://h.org/é\r\n\r\n" * 9_000, big[1], "", "")]
 
 
 def test_round_trip(spark):
