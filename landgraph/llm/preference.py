@@ -20,44 +20,60 @@ from .common import need, stage
 #: Fixed strings around a turn; roles and contents stand between.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n"
 LEARNED = "assistant"
+#: Contents that hold OPEN have this instead, so that none can pass for a turn.
+ESCAPED = "<\\|"
+PART, MERGE = 200, 64
 
 
 def transcripts(turns: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
     """One row (id, turns) for each conversation: its (role, text) in the order of turn, role, text.
 
-    Null roles and texts count as empty; rows that repeat a turn are both kept; rows without an id
-    belong to no conversation.
+    Null roles and texts count as empty; rows that repeat a turn are both kept, and turns of equal number
+    go by role and text; rows without an id belong to no conversation.  ``OPEN`` in a role or text becomes
+    ``ESCAPED``.
     """
     need(turns, id_column, turn_column, role_column, text_column)
-    one = F.struct(F.col(turn_column).alias("turn"), F.coalesce(role_column, F.lit("")).alias("role"), F.coalesce(text_column, F.lit("")).alias("text"))
+    safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit(ESCAPED))
+    one = F.struct(F.col(turn_column).alias("turn"), safe(role_column).alias("role"), safe(text_column).alias("text"))
     ordered = F.sort_array(F.collect_list(one))
     return turns.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def consecutive_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs (chosen, rejected) of conversations that open alike: in each group of equal first turns,
-    by id, the first with the second, the third with the fourth and so on; what is left over is
-    paired across groups in the same way, so that all but one conversation at most has a mate.
+    """Pairs (chosen, rejected, same_opening) of conversations that open alike: in each group of equal first
+    turns each with the next one, by a hash of the id; the one that may be left over of a group is paired
+    with that of another, as a pair without a common prompt (``same_opening`` is false).  All but one
+    conversation at most have a mate.  Conversations without turns open alike.
 
-    Conversations are ranked in parts of a hash of the opening and of the id, as a group may hold
-    much of the table, and the odd ones of the parts are ranked again.
+    A group may hold much of the table: it is paired in parts of some ``PART`` rows, and what is left over
+    of ``MERGE`` parts, one of each at most, is paired in the next round, until one part is left.
     """
-    parts = max(1, conversations.count() // 2_000)
-    keyed = conversations.select("id", F.xxhash64(F.element_at("turns", 1)).alias("opening")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)))
-
-    def paired(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-        order = W.partitionBy(*keys).orderBy("id")
+    parts = max(1, -(-conversations.count() // PART))
+    opening = F.xxhash64(F.try_element_at("turns", F.lit(1)))
+    left = conversations.select("id", opening.alias("opening"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part"))
+    made = []
+
+    def pair(rows: DataFrame, *keys: str) -> DataFrame:
+        """Note the pairs of neighbours; return the odd rows, one for each group at most."""
+        order = W.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
         ranked = rows.withColumns({"rank": F.row_number().over(order), "mate": F.lead("id").over(order)}).where("rank % 2 = 1")
-        return ranked.where("mate is not null").select(F.col("id").alias("chosen"), F.col("mate").alias("rejected")), ranked.where("mate is null").select("id", "opening", "part")
-
-    made, left = paired(keyed, "opening", "part")
-    left = stage(left, "unpaired")
-    more, left = paired(left, "opening")
-    left = stage(left, "unpaired")
-    across, left = paired(left.withColumn("part", F.pmod(F.xxhash64("opening"), F.lit(parts))), "part")
-    left = stage(left, "unpaired")  # one of each part at most
-    last, _ = paired(left.withColumn("part", F.lit(0)), "part")
-    return made.unionByName(more).unionByName(across).unionByName(last)
+        ranked = stage(ranked, "pairs")
+        made.append(ranked.where("mate is not null").select(F.col("id").alias("chosen"), F.col("mate").alias("rejected"), F.lit("opening" in keys).alias("same_opening")))
+        return ranked.where("mate is null").select("id", "opening", "part")
+
+    for keys in (("opening", "part"), ("part",)):
+        n = parts
+        while True:
+            left = pair(left, *keys)
+            if n == 1:
+                break
+            n = -(-n // MERGE)
+            left = left.withColumn("part", F.floor(F.col("part") / MERGE))
+        left = left.withColumn("part", F.pmod(F.xxhash64("opening"), F.lit(parts)))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _render(turns: Column) -> Column:
@@ -92,8 +108,9 @@ def format_preferences(turns: DataFrame, pairs: DataFrame, id_column: str = "con
 
 
 def render_pairs(whole: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``format_preferences`` of ``transcripts``."""
-    both = pairs.select(F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"))
+    """``format_preferences`` of ``transcripts``; other columns of ``pairs`` are carried along."""
+    rest_of = [c for c in pairs.columns if c not in ("chosen", "rejected")]
+    both = pairs.select(F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"), F.struct(F.lit(0), *rest_of).alias("_pair"))
     for side in ("chosen", "rejected"):
         both = both.join(whole.select(F.col("id").alias(f"{side}_id"), F.col("turns").alias(f"{side}_turns")), f"{side}_id")
     differ = F.filter(F.transform(F.arrays_zip("chosen_turns", "rejected_turns"), lambda p, i: F.when(F.coalesce(p["chosen_turns"] == p["rejected_turns"], F.lit(False)), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
@@ -108,17 +125,19 @@ def render_pairs(whole: DataFrame, pairs: DataFrame) -> DataFrame:
         _render(rest("rejected")).alias("rejected"),
         _spans(rest("chosen")).alias("chosen_spans"),
         _spans(rest("rejected")).alias("rejected_spans"),
+        *(F.col("_pair").getField(c).alias(c) for c in rest_of),
     )
 
 
 def op3_preference_formatting(spark, sf_dir: str) -> DataFrame:
-    """All conversations, in pairs that open alike as far as there are any."""
+    """All conversations, in pairs that open alike as far as there are any; the others are marked."""
     whole = stage(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
     out = render_pairs(whole, consecutive_pairs(whole))
     return out.select(
         "chosen_id",
         "rejected_id",
         F.col("common_turns").cast("long").alias("common_turns"),
+        "same_opening",
         *(F.md5(c).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")),
         *(F.aggregate(f"{s}_spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long").alias(f"{s}_learned") for s in ("chosen", "rejected")),
     )
