@@ -35,14 +35,23 @@ _tokenizers: dict = {}
 _STOP = re.compile(r"[.,](?<=[a-zA-Z][.,])")  # looks for the stop first: that is quicker
 
 
+#: Texts whose parts tell whether a tokenizer works on parts.
+PROBES = ("The Quick BROWN fox. It's  here, there.\nAB.cd x.y", "A.b,c 12.5 (Ünï.) don't\t...", "one two three", " Zz zZ ZZ zz ")
+
+
+def _chunks(text: str) -> list[str]:
+    return _STOP.sub(r" \g<0>", (text.lower() if text.isascii() else text).replace("\n", " ")).split(" ")
+
+
 class _Encoder:
     """Encodes texts by way of a bounded memory of the ids of their space-separated chunks.
 
-    A tokenizer with word ends drops white space and never joins what it separates, nor a letter and the full
-    stop or comma after it, so a text's ids are those of such parts.  Parts that are not in the
-    memory are encoded together, by the quickest way that gives the tokenizer's own ids:
-    ASCII lower-case words need only its model, other words no separation, the rest all of it.
-    A full memory becomes the old one, from which what is used again is taken over.
+    A tokenizer with word ends that lower-cases, drops white space and never joins what it separates, nor a
+    letter and the full stop or comma after it, gives a text the ids of such parts (``PROBES`` show if it is
+    one; any other encodes whole texts).  Parts that are not in the memory are encoded together, by the
+    quickest way that gives the tokenizer's own ids: ASCII lower-case words need only its model, other words
+    no separation, the rest all of it.  A full memory becomes the old one, from which what is used again is
+    taken over.
     """
 
     def __init__(self, path: str):
@@ -55,11 +64,18 @@ class _Encoder:
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = getattr(self.whole.model, "end_of_word_suffix", None)
-        self.by_chunk = bool(suffix)
+        self.by_chunk = bool(suffix) and all(self.separable(p) for p in PROBES)
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = self.by_chunk and token.endswith(suffix)
-        self.renew({})
+        if self.by_chunk:
+            self.renew({})
+
+    def separable(self, text: str) -> bool:
+        """Whether the ids of the text are those of its parts, taken alone and as words of one list."""
+        ids = lambda x, **how: self.whole.encode(x, add_special_tokens=False, **how).ids
+        parts = [c for c in _chunks(text) if c]
+        return ids(text) == [i for c in parts for i in ids(c)] == ids(parts, is_pretokenized=True)
 
     def renew(self, old: dict[str, bytes]) -> None:
         self.memo, self.old = {"": b""}, old
@@ -81,7 +97,7 @@ class _Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:  # a tokenizer for which white space counts
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        chunks = [_STOP.sub(r" \g<0>", (t.lower() if t.isascii() else t).replace("\n", " ")).split(" ") for t in texts]
+        chunks = [_chunks(t) for t in texts]
         new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:  # what is used again moves from the old memory to the new
             self.renew(self.memo)

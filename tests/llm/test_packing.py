@@ -105,3 +105,19 @@ def test_a_tokenizer_that_keeps_white_space(spark):
     text = " Two  spaces\n\nand, a stop. "
     x = P.best_fit_pack(spark.createDataFrame([(1, text, "", "")], SCHEMA), path).first()
     assert np.frombuffer(bytes(x.ids), "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("lower,split", [(False, True), (True, True), (True, False), (False, False)])
+def test_tokenizers_of_another_make(spark, tmp_path, lower, split):
+    """Word ends do not mean lower-casing, nor a cut before a full stop."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    signs = [*"abcdeABCDE.,", *(c + "</w>" for c in "abcdeABCDE.,")]
+    vocabulary = {t: i for i, t in enumerate([*signs, "ab", "ab</w>", "AB</w>", "a.</w>", "<unk>"])}
+    tok = Tokenizer(models.BPE(vocabulary, [("a", "b"), ("a", "b</w>"), ("A", "B</w>"), ("a", ".</w>")], unk_token="<unk>", end_of_word_suffix="</w>"))
+    tok.normalizer = normalizers.Lowercase() if lower else None
+    tok.pre_tokenizer = pre_tokenizers.BertPreTokenizer() if split else pre_tokenizers.WhitespaceSplit()
+    tok.save(path := f"{tmp_path}/tokenizer.json")
+    texts = ["AB ab a. aB, C", "Ab.cd", "", "  ab\n\nAB a.b"]
+    out = P.best_fit_pack(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), path).collect()
+    assert {x.doc_id: np.frombuffer(bytes(x.ids), "<u4").tolist() for x in out} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
