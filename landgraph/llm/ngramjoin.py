@@ -4,11 +4,14 @@
    they are fewer).  Documents of equal sets are copies; only the first of each goes on.
 2. 128 MinHash values in 32 bands of four name its buckets.  Two sets of similarity 0.8 share none
    with a probability of 5e-8.
-3. Buckets of two or more, narrow rows of ids, are joined to clusters: connected components.
+3. Bayesian pruning: of pairs in a bucket the MinHash values are compared, and after every 16 those go for
+   which the posterior probability of reaching the threshold, given the matches so far and a uniform prior,
+   is below ``TOLERANCE``.  Each document is compared with the first of its bucket; only those that this
+   prunes are compared with all others of the bucket, in blocks.  Of the pairs left one link for each
+   document and task is kept, and the links are joined to clusters, their connected components.  So what
+   merely shares a bucket, as boilerplate does, joins no cluster.
 4. The texts of clustered documents are dealt by cluster, large clusters as pairs of blocks of
-   bounded size.  In a task the pairs that share a bucket are compared: after every 16 MinHash
-   values those go for which the posterior probability of reaching the threshold, given the
-   matches so far and a uniform prior, is below ``TOLERANCE``.  The rest is verified on the sets.
+   bounded size.  In a task the pairs that share a bucket are pruned as above; the rest is verified on the sets.
 5. A task returns for each document its number of links and one link to its component, never the
    pairs, so a group of thousands of near copies stays as many rows.
 """
@@ -20,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +110,38 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
+def survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of rows of ``sig`` that no step of the comparison prunes."""
+    same = np.zeros(len(i), dtype=np.int32)
+    for k in range(0, HASHES, STEP):
+        same += (sig[i, k : k + STEP] == sig[j, k : k + STEP]).sum(axis=1, dtype=np.int32)
+        stay = same >= least_matches(k + STEP, threshold)
+        i, j, same = i[stay], j[stay], same[stay]
+    return i, j
+
+
+class _Forest:
+    """Disjoint sets of 0 to n - 1; a set is named by its member of the least key."""
+
+    def __init__(self, keys: list[int]):
+        self.keys, self.up = keys, list(range(len(keys)))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if self.keys[a] > self.keys[b]:
+            a, b = b, a
+        self.up[b] = a
+
+    def roots(self) -> list[int]:
+        return [self.keys[self.find(k)] for k in range(len(self.keys))]
+
+
 def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESHOLD) -> Iterator[tuple[int, int]]:
     """Pairs i < j of similar sets of one block; of two blocks, the first of ``first`` sets, only those with i < first <= j."""
     if first in (0, len(sets)):  # two blocks, one without rows
@@ -119,11 +154,7 @@ def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESH
         shared |= band[rows, b][:, None] == band[columns, b]
     i, j = np.nonzero(shared if first is not None else np.triu(shared, 1))
     i, j = rows[i], columns[j]
-    same = np.zeros(len(i), dtype=np.int32)
-    for k in range(0, HASHES, STEP):
-        same += (sig[i, k : k + STEP] == sig[j, k : k + STEP]).sum(axis=1, dtype=np.int32)
-        stay = same >= least_matches(k + STEP, threshold)
-        i, j, same = i[stay], j[stay], same[stay]
+    i, j = survivors(sig, i, j, threshold)
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         a, b = sets[x], sets[y]
         if min(len(a), len(b)) >= threshold * max(len(a), len(b)) - 1e-9:
@@ -134,24 +165,110 @@ def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESH
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, key, size, buckets) of every row; documents without words have no key."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    """(id, key, size, buckets, sig) of every row; documents without words have no key."""
+    fields = (("id", T.LongType()), ("key", T.BinaryType()), ("size", T.LongType()), ("buckets", T.ArrayType(T.LongType())), ("sig", T.BinaryType()))
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
         for batch in batches:
-            keys, sizes, names = [], [], []
+            keys, sizes, names, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n)
                 sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                names.append(buckets(signature(s)[None])[0] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.int64()))], names=schema.names)
+                sig = signature(s) if len(s) else None
+                names.append(buckets(sig[None])[0] if len(s) else [])
+                sigs.append(sig.tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), HASHES)
+
+
+def _pruned(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those (u, v) of the pairs (u, v, usig, vsig) that are not pruned."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in "uv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            stay, _ = survivors(np.r_[_matrix(batch.column(2)), _matrix(batch.column(3))], np.arange(n), np.arange(n, 2 * n), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(stay, pa.int64())) for k in (0, 1)], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _links_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of the blocks in ``rows`` (bucket, i, j, side, id, open, sig), which come sorted by the first four: a link to
+    the least of its component for each document, by the pairs not pruned that have an ``open`` one."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in "uv"])
+
+    def judge(key: list, side: list[int], ids: list[int], opened: list[bool], sigs: list[bytes]) -> tuple[list[int], list[int]]:
+        if key is None:
+            return [], []
+        sig = np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(ids), HASHES)
+        is_open, second, forest = np.array(opened), np.array(side) == 1, _Forest(ids)
+        for x in range(len(ids)):
+            others = np.flatnonzero(second) if key[1] != key[2] else np.arange(x + 1, len(ids))
+            if key[1] != key[2] and second[x]:
+                break
+            others = others if is_open[x] else others[is_open[others]]
+            for y in survivors(sig, np.full(len(others), x), others, threshold)[1].tolist():
+                forest.join(x, y)
+        roots = forest.roots()
+        keep = [k for k in range(len(ids)) if ids[k] != roots[k]]
+        return [ids[k] for k in keep], [roots[k] for k in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, done = None, ([], [], [], []), ([], [])
+        for batch in batches:
+            for *key, side, id_, opened, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != block:
+                    for whole, part in zip(done, judge(block, *parts), strict=True):
+                        whole += part
+                    block, parts = key, ([], [], [], [])
+                for whole, x in zip(parts, (side, id_, opened, sig), strict=True):
+                    whole.append(x)
+            if len(done[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=schema.names)
+                done = ([], [])
+        for whole, part in zip(done, judge(block, *parts), strict=True):
+            whole += part
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _block_pairs(blocks: Column, block: Column) -> Column:
+    """The (i, j, side) of all tasks that a row of ``block`` has a part in."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), (block > o).cast("int").alias("side")))
+
+
+def links(first: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between documents (id, buckets, sig) of a bucket that the Bayesian comparison leaves; similar ones are connected by them."""
+    parts = shuffle_partitions(first.sparkSession)
+    named = first.select("id", F.explode("buckets").alias("bucket"))
+    least = named.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    stars = stage(named.join(least, "bucket").where("id <> least"), "bucket-stars")
+    side = lambda s: first.select(F.col("id").alias(s), F.col("sig").alias(f"{s}sig"))
+    pairs = stars.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct().join(side("v"), "v").join(side("u"), "u").select("u", "v", "usig", "vsig")
+    kept = stage(_pruned(pairs, threshold), "bucket-links")
+    apart = stage(stars.join(kept.select(F.col("u").alias("id"), F.col("v").alias("least")), ["id", "least"], "left_anti"), "bucket-rest")
+    again = apart.select("bucket", "members", "least").distinct()
+    rows = stars.join(again.select("bucket"), "bucket", "left_semi").select("bucket", "id", "members").unionByName(again.select("bucket", F.col("least").alias("id"), "members"))
+    rows = rows.join(apart.select("bucket", "id", F.lit(True).alias("open")), ["bucket", "id"], "left").join(first.select("id", "sig"), "id")
+    blocks = F.ceil(F.col("members") / BLOCK_DOCS).cast("int")
+    task = F.explode(_block_pairs(blocks, F.pmod(F.xxhash64("id"), blocks).cast("int"))).alias("p")
+    rows = rows.select("bucket", task, "id", F.coalesce("open", F.lit(False)).alias("open"), "sig").select("bucket", "p.i", "p.j", "p.side", "id", "open", "sig")
+    rest = _links_in_blocks(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id"), threshold)
+    return kept.unionByName(stage(rest, "bucket-links"))
+
+
 def _linked(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, root, links) of the blocks in ``rows`` (cluster, i, j, side, id, text), which come sorted by the first five."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "root", "links")])
@@ -160,22 +277,13 @@ def _linked(rows: DataFrame, n: int, threshold: float) -> DataFrame:
         if first in (0, len(ids)):  # the tasks of single blocks return these documents
             return [], [], []
         order = sorted(range(len(ids)), key=lambda k: (first is not None and k >= first, ids[k]))
-        ids, root, links = [ids[k] for k in order], list(range(len(ids))), [0] * len(ids)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        ids = [ids[k] for k in order]
+        forest, links = _Forest(ids), [0] * len(ids)
         for x, y in compare([shingles(texts[k], n) for k in order], first, threshold):
             links[x] += 1
             links[y] += 1
-            a, b = find(x), find(y)
-            if ids[a] > ids[b]:
-                a, b = b, a
-            root[b] = a
-        return ids, [ids[find(k)] for k in range(len(ids))], links
+            forest.join(x, y)
+        return ids, forest.roots(), links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, texts, first, done = None, [], [], None, ([], [], [])
@@ -225,21 +333,18 @@ def classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     texts = rows.select(vertex.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stage(_sets(texts, n), "shingle-sets")
     keyed = sets.where("key is not null")
-    owners = stage(keyed.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n_copies")), "set-owners")
-
-    first = keyed.join(owners.select(F.col("key").alias("k"), "owner"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("owner")), "left_semi")
-    named = first.select("id", "size", F.explode("buckets").alias("bucket"))
-    least = named.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = named.join(least, "bucket").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    clusters = connected_components(edges)
+    same = (F.any_value(c).alias(c) for c in ("size", "buckets", "sig"))
+    owners = stage(keyed.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n_copies"), *same), "set-owners")
+    first = owners.select(F.col("owner").alias("id"), "size", "buckets", "sig")
+    clusters = connected_components(links(first, threshold))
 
-    sized = clusters.join(first.select("id", "size").dropDuplicates(["id"]), "id")
+    sized = clusters.join(first.select("id", "size"), "id")
     blocks = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = stage(placed, "clusters")
 
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    tasks = texts.join(placed.hint("shuffle_hash"), "id").select(F.col("label").alias("cluster"), F.explode(pair).alias("p"), "id", "text")
+    pair = F.explode(_block_pairs(F.col("blocks"), F.col("block"))).alias("p")
+    tasks = texts.join(placed.hint("shuffle_hash"), "id").select(F.col("label").alias("cluster"), pair, "id", "text")
     tasks = tasks.select("cluster", "p.i", "p.j", "p.side", "id", "text")
     found = stage(_linked(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id"), n, threshold), "links")
 
@@ -249,7 +354,7 @@ def classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     roots = found.groupBy("id").agg(F.min("root").alias("root")).join(merged, "id", "left").select("id", F.coalesce("label", "root").alias("class"))
     judged = roots.join(counted, "id")
 
-    member = sets.join(owners, "key", "left").withColumn("at", F.coalesce("owner", "id"))
+    member = sets.select("id", "key").join(owners.select("key", "owner", "n_copies"), "key", "left").withColumn("at", F.coalesce("owner", "id"))
     out = member.join(judged.withColumnRenamed("id", "at"), "at", "left")
     out = out.select(
         "id",

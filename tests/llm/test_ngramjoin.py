@@ -110,3 +110,35 @@ def test_two_blocks_one_of_them_empty():
     sets = [J.shingles(" ".join(f"w{k}" for k in range(60)) + end) for end in ("", " x", " y")]
     assert list(J.compare(sets, None)) == [(0, 1), (0, 2), (1, 2)] and list(J.compare(sets, 1)) == [(0, 1), (0, 2)]
     assert list(J.compare(sets, 0)) == list(J.compare(sets, 3)) == list(J.compare([], None)) == []
+
+
+def test_ids_that_are_null_or_repeat_with_other_texts(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(-(2**63), "a b c d e f"), (None, "a b c d e f"), (None, f"{long} x"), (None, f"{long} y"), (5, f"{long} z"), (5, "of its own"), (6, "of its own")]
+    got = J.near_duplicates(spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA)).collect()
+    assert sorted((str(x.doc_id), x.n_links, x.n_copies) for x in got) == sorted([(str(-(2**63)), 0, 2), ("None", 0, 2), ("None", 2, 1), ("None", 2, 1), ("5", 2, 1), ("5", 0, 2), ("6", 0, 2)])
+    assert len({x.class_id for x in got if x.n_links == 0 and x.doc_id not in (5, 6)}) == 1 and len({x.class_id for x in got if x.n_links == 2}) == 1
+    assert {x.class_id for x in got if x.doc_id == 6} == {5} and [x.n_links for x in got if x.doc_id == 5 and x.n_copies == 1] == [2]
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in rows)
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_what_shares_buckets_only_is_pruned_before_clusters_are_made(spark, monkeypatch, block):
+    """Half of each text is boilerplate: nearly all share a bucket with another, few are similar."""
+    monkeypatch.setattr(J, "BLOCK_DOCS", block)
+    r = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(60))
+    docs = []
+    for i in range(60):
+        own = " ".join(f"d{i}x{k}" for k in range(40))
+        docs += [(10 * i + c, f"{common} {own}" + f" end{c}" * c) for c in range(r.choice([1, 1, 2, 4]))]
+    frame = spark.createDataFrame([(i, t, 1, "") for i, t in docs], SCHEMA)
+    made = {}
+    plain = J.links
+    monkeypatch.setattr(J, "links", lambda first, threshold: made.setdefault("links", plain(first, threshold)))
+    got = J.near_duplicates(frame).collect()
+    assert {x.doc_id: (x.class_id, x.n_links, x.n_copies) for x in got} == by_hand(docs)
+    stars = [x for x in J._sets(frame.select("doc_id", "text"), J.N).collect()]
+    shared = {b for x in stars for b in x.buckets if sum(b in y.buckets for y in stars) > 5}
+    assert shared  # buckets of many
+    assert all(u // 10 == v // 10 for u, v in made["links"].collect())
