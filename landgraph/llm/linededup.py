@@ -143,12 +143,13 @@ def _may_match(threshold: float) -> Column:
 
 def _postings(lines: DataFrame, side: str, long: bool) -> DataFrame:
     """The postings of the lines' prefixes, of the tokens that may have long lists or of the others; columns but the token are named after ``side``."""
-    from_class = _rarity_class(LONG + 1)
-    rarity = F.shiftright("t", 56)
-    if long:  # a prefix is sorted by rarity
-        lines = lines.where(F.shiftright(F.element_at("prefix", -1), 56) >= from_class)
-    rows = lines.select(*(F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b")), F.posexplode("prefix").alias(f"{side}pos", "t"))
-    return rows.where(rarity >= from_class if long else rarity < from_class)
+    rarity, from_class = lambda t: F.shiftright(t, 56), _rarity_class(LONG + 1)
+    named = [F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b")]
+    if not long:
+        return lines.select(*named, F.posexplode("prefix").alias(f"{side}pos", "t")).where(rarity("t") < from_class)
+    placed = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda r: rarity(r["t"]) >= from_class)
+    some = lines.where(rarity(F.element_at("prefix", -1)) >= from_class)  # a prefix is sorted by rarity
+    return some.select(*named, F.explode(placed).alias("r")).select(*(f"{side}{c}" for c in (*_LINE, "n", "odd", "odd_b")), F.col("r.pos").alias(f"{side}pos"), "r.t")
 
 
 def _line_of(side: str) -> Column:
@@ -175,25 +176,30 @@ def _pairs(lines: DataFrame, later: DataFrame, long: bool, threshold: float) ->
     return pairs.select(*_PAIR).distinct()
 
 
+def _among(rows: DataFrame, columns: tuple[str, ...]) -> Column:
+    """A condition that holds for all whose ``columns`` are among the ``rows``, and for few others: a bit of a hash each."""
+    size = _power_of_two(16 * rows.count(), MAX_WANTED)
+    place = F.xxhash64(*columns).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.groupBy(F.shiftright(place, 6).alias("b")).agg(F.bit_or(bit).alias("v"))
+    bits = stage(_dense(words, size // 64, F.lit(0).cast("long")), "wanted").scalar()
+    return F.coalesce(F.get(bits, F.shiftright(place, 6).cast("int")).bitwiseAND(bit), F.lit(0).cast("long")) != 0
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(id, h, no) of the later lines of those pairs that are similar.
 
-    The tokens of all lines of pairs are taken from the texts once more; a filter of their hashes spares
-    the others the join.
+    The tokens of all lines of pairs are taken from the texts once more; filters of hashes of their
+    documents and of themselves spare the others the join.
     """
     pairs = stage(pairs, "line-pairs")
     if pairs.isEmpty():
         return pairs.select(*(F.col(f"b{c}").alias(c) for c in _LINE))
     ends = F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab"))
     ends = stage(pairs.select(F.explode(ends).alias("r")).select("r.*").distinct(), "pair-ends")
-    size = _power_of_two(16 * ends.count(), MAX_WANTED)
-    place = F.xxhash64(*_LINE).bitwiseAND(F.lit(size - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    words = ends.groupBy(F.shiftright(place, 6).alias("b")).agg(F.bit_or(bit).alias("v"))
-    bits = stage(_dense(words, size // 64, F.lit(0).cast("long")), "wanted-lines").scalar()
-    word = F.get(bits, F.shiftright(place, 6).cast("int"))
-    wanted = _lines(texts).where(F.coalesce(word.bitwiseAND(bit), F.lit(0).cast("long")) != 0)
-    sets = stage(wanted.join(ends, [*_LINE], "left_semi").select(*_LINE, _words(F.col("line")).alias("k")).dropDuplicates([*_LINE]), "line-sets")
+    in_docs, in_lines = _among(ends, ("id", "h")), _among(ends, _LINE)
+    sets = _lines(texts.where(in_docs)).where(in_lines).join(ends, [*_LINE], "left_semi").select(*_LINE, _words(F.col("line")).alias("k"))
+    sets = stage(sets.dropDuplicates([*_LINE]), "line-sets")
     for s in "ab":
         pairs = pairs.join(sets.select(*(F.col(c).alias(f"{s}{c}") for c in _LINE), F.col("k").alias(f"{s}k")), [f"{s}{c}" for c in _LINE])
     same = F.size(F.array_intersect("ak", "bk"))
