@@ -4,13 +4,13 @@ A line's tokens are its distinct lower-cased words between spaces.  A line goes
 in the order of document id, hash of the text (where an id has several) and line number, has a Jaccard
 similarity of at least ``threshold`` with it.  Blank lines stay.
 
-1. The occurrences of every token are counted over the whole corpus.  The counts, rounded to a quarter
-   of a power of two, are folded into one array of bounded size (``MAX_RARITY`` buckets of a hash, of
-   which each has the count of its most frequent token), the order's table.
+1. The occurrences of all tokens are counted over the whole corpus, by buckets of their hash.  The counts,
+   rounded to a quarter of a power of two, are put into one array of bounded size, the order's table.
 2. Tokens are ordered by rarity in this table, then by hash.  Of lines with the same set of tokens the
    first is the owner; the others go without being compared.
-3. Prefix filter: two lines of n tokens can only be similar if they share one of their first
-   n - ceil(threshold n) + 1.  These postings are joined by token.  Pairs must pass the length filter, the
+3. Prefix filter: two lines can only be similar if they share one of the first n - ceil(threshold n) + 1
+   tokens of the longer, of n, and of the first m - ceil(2 threshold / (1 + threshold) m) + 1 of the shorter,
+   of m.  These postings are joined by token.  Pairs must pass the length filter, the
    positional filter (what can match before and behind the shared token is enough) and the bitmap filter
    (sets of n and m differ in n + m - 2 overlap tokens, and the parities of their tokens' bits in no more places).
 4. Tokens that occur more than ``LONG`` times may have long lists.  Their postings are first compared with
@@ -32,9 +32,9 @@ from .common import need, real_id, stage, told_apart
 
 THRESHOLD, LONG, LEADERS = 0.8, 1024, 16
 #: Buckets of the order's table, a byte each, and of the filter of lines to be verified, a bit each.
-MAX_RARITY, MAX_WANTED = 1 << 24, 1 << 26
+MAX_RARITY, BUCKETS_A_TEXT, MAX_WANTED = 1 << 24, 8, 1 << 26
 #: Sets above this size have two words of parities.
-WIDE = 48
+WIDE = 96
 _EPS = 1e-9
 #: A line: its document's id, the hash that tells texts of one id apart, its number.
 _LINE = ("id", "h", "no")
@@ -56,8 +56,7 @@ def _dense(rows: DataFrame, size: int, none: Column) -> DataFrame:
 
 def _words(line: Column) -> Column:
     """The hashes of a line's words, each once."""
-    hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
-    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+    return F.array_except(F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _rarity_class(n: Column | int) -> Column:
@@ -65,15 +64,15 @@ def _rarity_class(n: Column | int) -> Column:
 
 
 def rarity_table(texts: DataFrame, column: str = "text") -> tuple[DataFrame, int]:
-    """One row (all) and the number of buckets: for each bucket of a token's hash, of which there are
-    about a fourth as many as tokens, the class of its most frequent token's count over all ``texts``."""
-    words = F.transform(F.split(F.lower(F.replace(column, F.lit("\n"), F.lit(" "))), " "), lambda t: F.xxhash64(t))
-    counts = texts.select(F.explode(words).alias("token")).groupBy("token").count()
-    counts = stage(counts.select(F.col("token").bitwiseAND(F.lit(MAX_RARITY - 1)).alias("b"), _rarity_class(F.col("count")).cast("tinyint").alias("v")), "token-counts")
-    size = _power_of_two(counts.count() // 4, MAX_RARITY)
-    bucket, zero = F.col("b").bitwiseAND(F.lit(size - 1)), F.lit(0).cast("tinyint")
-    most = F.array(*(F.coalesce(F.max(F.when(bucket.bitwiseAND(F.lit(7)) == k, F.col("v"))), zero) for k in range(8)))
-    eight = counts.groupBy(F.shiftright(bucket, 3).alias("b")).agg(most.alias("v"))
+    """One row (all) and the number of buckets of a token's hash: for each the class of how often its tokens
+    occur in all ``texts``.  There are at least as many buckets as ``BUCKETS_A_TEXT`` times the texts, so most hold one or a few tokens."""
+    size = _power_of_two(BUCKETS_A_TEXT * texts.count(), MAX_RARITY)
+    words = texts.select(F.explode(F.split(F.lower(F.replace(column, F.lit("\n"), F.lit(" "))), " ")).alias("t"))
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(size - 1)).alias("b")).count()
+    counts = stage(counts.select("b", _rarity_class(F.col("count")).cast("tinyint").alias("v")), "token-counts")
+    within, zero = F.col("b").bitwiseAND(F.lit(7)), F.lit(0).cast("tinyint")
+    classes = F.array(*(F.coalesce(F.max(F.when(within == k, F.col("v"))), zero) for k in range(8)))
+    eight = counts.groupBy(F.shiftright("b", 3).alias("b")).agg(classes.alias("v"))
     table = _dense(eight, size // 8, F.array(*[zero] * 8)).select(F.flatten("all").alias("all"))
     return stage(table, "rarity"), size
 
@@ -133,12 +132,12 @@ def _differ() -> Column:
 
 
 def _may_match(threshold: float) -> Column:
-    """The order and the three filters, for rows of a and b that share a token."""
+    """The three filters, for rows of a and b that share a token."""
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
     least = _alpha(an, bn, threshold)
     length = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    return _earlier() & length & (behind >= least) & (_differ() <= an + bn - 2 * least)
+    return length & (behind >= least) & (_differ() <= an + bn - 2 * least)
 
 
 def _postings(lines: DataFrame, side: str, long: bool) -> DataFrame:
@@ -164,15 +163,25 @@ def _likely(lines: DataFrame, threshold: float) -> DataFrame:
     postings = _postings(lines, "a", True)
     dealt = postings.withColumn("part", F.pmod(F.xxhash64("t", *(f"a{c}" for c in _LINE)), F.lit(LEADERS)).cast("int"))
     leaders = dealt.groupBy("t", "part").agg(F.min(_line_of("a")).alias("r")).select("t", "r.*")
-    pairs = leaders.join(_postings(lines, "b", True), "t").where(_may_match(threshold))
+    pairs = leaders.join(_postings(lines, "b", True), "t").where(_earlier() & _may_match(threshold))
     slack = _differ() - (F.col("an") + F.col("bn") - 2 * _alpha(F.col("an"), F.col("bn"), threshold))
     best = pairs.groupBy(*(f"b{c}" for c in _LINE)).agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE))).alias("r"))
     return best.select(*(f"r.a{c}" for c in _LINE), *(f"b{c}" for c in _LINE))
 
 
-def _pairs(lines: DataFrame, later: DataFrame, long: bool, threshold: float) -> DataFrame:
-    """All pairs of ``lines`` and ``later`` ones that pass the filters."""
-    pairs = _postings(lines, "a", long).join(_postings(later, "b", long), "t").where(_may_match(threshold))
+def _in_short_lists(lines: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that share a token of short lists and pass the filters, each by the shorter line's part of its prefix."""
+    first = (F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - _EPS) + 1).cast("int")
+    shorter = _postings(lines.withColumn("prefix", F.slice("prefix", F.lit(1), first)), "a", False)
+    a, b = (F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab")
+    pairs = shorter.join(_postings(lines, "b", False), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
+    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in _LINE)).distinct()
+
+
+def _in_long_lists(lines: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of ``lines`` and ``later`` ones that share a token of long lists and pass the filters."""
+    pairs = _postings(lines, "a", True).join(_postings(later, "b", True), "t").where(_earlier() & _may_match(threshold))
     return pairs.select(*_PAIR).distinct()
 
 
@@ -210,8 +219,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def similar_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id, h, no) of the owners that an earlier owner is similar to."""
     likely = stage(_likely(lines, threshold), "line-pairs")
-    done = _verified(_pairs(lines, lines, False, threshold).unionByName(likely).distinct(), texts, threshold)
-    rest = _verified(_pairs(lines, lines.join(done, [*_LINE], "left_anti"), True, threshold), texts, threshold)
+    done = _verified(_in_short_lists(lines, threshold).unionByName(likely).distinct(), texts, threshold)
+    rest = _verified(_in_long_lists(lines, lines.join(done, [*_LINE], "left_anti"), threshold), texts, threshold)
     return done.unionByName(rest)
 
 
