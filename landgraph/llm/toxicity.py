@@ -29,6 +29,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,12 @@ from pyspark.sql import types as T
 from .common import bounded_batches, need
 from .ngramjoin import shingles, signature
 
-#: Learning reads at most so many labelled rows: those with the smallest hash of their id.
-MAX_LABELLED = 8_000
+#: Learning reads at most so many labelled rows, those with the smallest hash of their id, and of these no
+#: more than fit the bytes.
+MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 96 << 20
+#: What the trainer is given: an ordinary word as often as it occurs in documents, up to ``ORDINARY_TIMES``, if it occurs in
+#: two at least, ``ORDINARY_SAMPLES`` in all; a toxic word up to ``TOXIC_TIMES``.
+ORDINARY_TIMES, TOXIC_TIMES = 8, 20
 WINDOW, GRAM, REPEAT = 1, 5, 3
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SAMPLES, MEMO = 200 << 10, 32 << 10, 400_000, 1_000_000
 FOLDS, THRESHOLDS = 3, (1, 3, 5, 7, 9, 12, 16)
@@ -114,7 +119,7 @@ class Dictionaries:
 
         marks = {g for g in asked if clear(g, seen[1][g])}
         found = Counter({w: n for w, n in toxic.items() if not marks.isdisjoint(_starts(w)) or len(marks & (g := _grams(w))) > MOST * len(g)})
-        content = _dictionary(TOXIC_BYTES, [_spread(w) for w, n in found.items() for _ in range(min(n, 20))], 32 * REPEAT)
+        content = _dictionary(TOXIC_BYTES, [_spread(w) for w, n in found.items() for _ in range(min(n, TOXIC_TIMES))], 32 * REPEAT)
         missed = b"".join(s for s in map(_spread, (w for w, _ in reversed(found.most_common()))) if s not in content)
         content += missed[max(0, len(missed) + len(content) - TOXIC_BYTES) :]  # training leaves out what is rare
         rest = [(w, n) for w, n in ordinary.items() if n > 1 and w not in found]
@@ -123,7 +128,7 @@ class Dictionaries:
         for w, n in rest:
             if len(samples) >= ORDINARY_SAMPLES:
                 break
-            samples += [_spread(w)] * min(n, 8)
+            samples += [_spread(w)] * min(n, ORDINARY_TIMES)
         carrier = _spread(b" ".join(sorted(ordinary, key=lambda w: (-ordinary[w], w))[:12]))
         return cls(_dictionary(ORDINARY_BYTES, samples, 64 * REPEAT), content, carrier, window)
 
@@ -171,6 +176,22 @@ def scorer(d: Dictionaries) -> _Scorer:
     return _scorers[key]
 
 
+def _dictionaries(texts: Sequence[str], labels: Sequence[int], fold: int | None, window: int) -> Dictionaries:
+    """Those of all texts but every ``FOLDS``-th, from ``fold`` on."""
+    counts = (Counter(), Counter())
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        if fold is None or i % FOLDS != fold:
+            counts[label].update(list(dict.fromkeys(_words(text))))  # in their order, as a set's differs from process to process
+    return Dictionaries.train(*counts, window)
+
+
+def _fold_features(texts: Sequence[str], labels: Sequence[int], fold: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the texts of ``fold``, by the dictionaries of the others."""
+    own = range(fold, len(texts), FOLDS)
+    made = _Scorer(_dictionaries(texts, labels, fold, window)) if len(own) else None
+    return np.array([made.features(texts[i]) for i in own]).reshape(-1, 2 * len(THRESHOLDS) + 1), np.array([labels[i] for i in own], dtype=float)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     dictionaries: Dictionaries
@@ -181,18 +202,13 @@ class ToxicityModel:
     @classmethod
     def fit(cls, texts: Sequence[str], labels: Sequence[int], window: int = WINDOW) -> ToxicityModel:
         """Train on all texts; calibrate on features from dictionaries that did not see the text."""
-        n = len(texts)
-        counts = [(Counter(), Counter()) for _ in range(FOLDS)]
-        for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
-            counts[i % FOLDS][label].update(set(_words(text)))
-        without = lambda fold: Dictionaries.train(*(sum((c[k] for f, c in enumerate(counts) if f != fold), Counter()) for k in (0, 1)), window)
-        x, y = np.zeros((n, 2 * len(THRESHOLDS) + 1)), np.asarray(labels, dtype=float)
-        for fold in range(FOLDS):
-            made = _Scorer(without(fold))
-            for i in range(fold, n, FOLDS):
-                x[i] = made.features(texts[i])
-        mean, scale = (x.mean(0), x.std(0) + 1e-9) if n else (x.sum(0), x.sum(0) + 1)
-        return cls(without(None), mean, scale, _logistic((x - mean) / scale, y))
+        folds = [_fold_features(texts, labels, fold, window) for fold in range(FOLDS)]
+        return cls.calibrated(_dictionaries(texts, labels, None, window), np.concatenate([x for x, _ in folds]), np.concatenate([y for _, y in folds]))
+
+    @classmethod
+    def calibrated(cls, dictionaries: Dictionaries, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+        mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (x.sum(0), x.sum(0) + 1)
+        return cls(dictionaries, mean, scale, _logistic((x - mean) / scale, y))
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         made = scorer(self.dictionaries)
@@ -215,35 +231,71 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def distinct_texts(texts: Sequence[str]) -> list[int]:
-    """The first of each group of near copies, which else would count as often as they are copied."""
+def distinct_texts(texts: Sequence[str], labels: Sequence[int]) -> list[int]:
+    """The first of each group of near copies of one label, which else would count as often as they are copied.
+
+    Copies share one of eight bands of six MinHash values of word 5-grams: of similarity 0.9 do 0.999 of
+    the pairs, of 0.8 nine in ten, of 0.4 one in thirty.
+    """
     seen: set = set()
     out = []
-    for i, text in enumerate(texts):
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
         s = shingles(text)
-        sig = signature(s)[:48].reshape(16, 3).tolist() if len(s) else [[len(text)]]
-        bands = {(b, *x) for b, x in enumerate(sig)}
+        sig = signature(s)[:48].reshape(8, 6).tolist() if len(s) else [[len(text)]]
+        bands = {(label, b, *x) for b, x in enumerate(sig)}
         if bands.isdisjoint(seen):
             out.append(i)
         seen |= bands
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = MAX_LABELLED) -> ToxicityModel:
-    """Fit on at most ``most`` labelled rows, those with the smallest hash of their id.
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: int = MAX_LABELLED, most_bytes: int = MAX_LABELLED_BYTES) -> ToxicityModel:
+    """Fit on at most ``most`` labelled rows of at most ``most_bytes`` of text, those with the smallest hash
+    of their id.
 
-    Rows without a label, or whose id is held out or not in ``docs``, are not used; of repeated
-    rows one is.  Without any, each text scores alike.
+    Rows without a label, or whose id is held out or not in ``docs``, are not used.  An id with several
+    labels has the largest, one with several texts the last in their order.  Without any row, each text
+    scores alike.
     """
     need(docs, id_column, text_column)
     need(labels, id_column, label_column)
     named = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     named = named.groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(text_column, F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(named), "_id").groupBy("_id").agg(F.max("_text"), F.max("_label")).collect()  # at most ``most``
-    rows.sort(key=lambda r: r[0])
-    rows = [rows[i] for i in distinct_texts([r[1] for r in rows])]
-    return ToxicityModel.fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
+    sizes = texts.join(F.broadcast(named), "_id").groupBy("_id").agg(F.max(F.octet_length("_text")).alias("n"), F.max("_label").alias("y"), F.xxhash64("_id").alias("hash"))
+    taken, total = {}, 0
+    for r in sorted(sizes.collect(), key=lambda r: (r.hash, r[0])):  # at most ``most``
+        if total + r.n <= most_bytes:
+            taken[r[0]], total = int(r.y > 0), total + r.n
+    if not taken:
+        return ToxicityModel.fit([], [])
+    chosen = docs.sparkSession.createDataFrame(list(taken.items()), T.StructType([named.schema["_id"], T.StructField("_label", T.IntegerType())]))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_text").alias("text"), F.max("_label").alias("label"))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    parts = {r.fold: r for r in rows.groupBy("fold").applyInPandas(_learn_part, _PART).collect()}
+    if FOLDS not in parts:  # no chosen id has a text
+        return ToxicityModel.fit([], [])
+    last, x, y = parts[FOLDS], [], []
+    for fold in range(FOLDS):
+        y.append(np.array(parts[fold].labels))
+        x.append(np.array(parts[fold].features).reshape(len(y[-1]), 2 * len(THRESHOLDS) + 1))
+    return ToxicityModel.calibrated(Dictionaries(*map(bytes, (last.ordinary, last.toxic, last.carrier))), np.concatenate(x), np.concatenate(y))
+
+
+_PART = "fold int, features array<double>, labels array<double>, ordinary binary, toxic binary, carrier binary"
+
+
+def _learn_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The features of a fold; for the fold after the last, the dictionaries of all rows."""
+    rows = rows.sort_values("_id")
+    texts, labels = rows["text"].tolist(), rows["label"].tolist()
+    kept = distinct_texts(texts, labels)
+    texts, labels, fold = [texts[i] for i in kept], [labels[i] for i in kept], int(key[0])
+    if fold < FOLDS:
+        x, y = _fold_features(texts, labels, fold, WINDOW)
+        return pd.DataFrame([[fold, x.ravel(), y, None, None, None]], columns=["fold", "features", "labels", "ordinary", "toxic", "carrier"])
+    d = _dictionaries(texts, labels, None, WINDOW)
+    return pd.DataFrame([[fold, None, None, d.ordinary, d.toxic, d.carrier]], columns=["fold", "features", "labels", "ordinary", "toxic", "carrier"])
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_column: str = "text", predict: float = PREDICT) -> DataFrame:

@@ -70,6 +70,33 @@ def test_learning_reads_no_held_out_label(spark):
     assert 0 <= few.scores(["text"])[0] <= 1
 
 
+def test_the_bounds_of_learning(spark):
+    rows = corpus(240)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    small = X.learn(docs, labels, most_bytes=20_000)
+    assert len(small.dictionaries.ordinary) < len(X.learn(docs, labels).dictionaries.ordinary)
+    assert 0 <= X.learn(docs, labels, most_bytes=0).scores(["text"])[0] <= 1
+
+
+def test_near_copies_of_one_label_are_learned_from_once():
+    text = " ".join(f"w{k}" for k in range(300))
+    other = " ".join(f"w{k}" if k < 150 else f"v{k}" for k in range(300))
+    assert X.distinct_texts([text, f"{text} more", text, other, "", ""], [0, 0, 1, 0, 0, 1]) == [0, 2, 3, 4, 5]
+
+
+def test_scores_do_not_depend_on_the_process():
+    """Python's hash seed differs from process to process."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import tests.llm.test_toxicity as t; r = t.corpus(200); m = t.X.ToxicityModel.fit([x[1] for x in r], [x[2] for x in r]); print(m.dictionaries.toxic[:500].hex(), m.weights.tolist(), m.scores([x[1] for x in r[:20]]).tolist())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": root}, cwd=root, capture_output=True, text=True, check=True).stdout for seed in ("1", "2")}
+    assert len(said) == 1
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     model = X.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
