@@ -134,6 +134,8 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     document is sent to it as well, so no task waits for another.
     """
     need(docs, id_column, text_column)
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise ValueError(f"{id_column} is {docs.schema[id_column].dataType.simpleString()}, not an integer")
     bounded_batches(docs.sparkSession, 256, 4 << 20)
     strings = ("edited", "fingerprint", "edited_fingerprint")
     schema = T.StructType([docs.schema[id_column], T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in strings), *(T.StructField(n, T.DoubleType()) for n in ("near_edited", "near_next"))])
@@ -160,7 +162,8 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
                 before = None if ahead else (part, key, text, mark)
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(2).type) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
-        assert before is None, "every part ends with what begins the next"
+        if before is not None:
+            raise ValueError(f"nothing follows document {before[1]}")
 
     return _in_order(docs, id_column, text_column).mapInArrow(run, schema)
 
