@@ -1,4 +1,4 @@
-"""Linear systems: conjugate gradients over edge tables, dense solves in a task."""
+"""Linear systems: conjugate gradients over edge tables with block preconditioning, dense solves in a task."""
 
 from __future__ import annotations
 
@@ -10,25 +10,51 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 DENSE_LIMIT = 2_000
+#: Unknowns of a block of the preconditioner, and right-hand sides that it is applied to together.
+TILE, SIDES = 512, 1_024
 
 
-def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, maxiter: int = 100_000) -> DataFrame:
+def _solve_tile(residuals: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """(rhs, id, z): the residuals (rhs, id, r) of a tile divided by its block (src, dst, weight) of the matrix."""
+    if not len(residuals):
+        return pd.DataFrame({"rhs": [], "id": [], "z": []}).astype({"rhs": "int64", "id": "int64"})
+    ids, columns = np.unique(block["src"]), np.unique(residuals["rhs"])
+    a, r = np.zeros((len(ids), len(ids))), np.zeros((len(ids), len(columns)))
+    np.add.at(a, (np.searchsorted(ids, block["src"]), np.searchsorted(ids, block["dst"])), block["weight"])
+    np.add.at(r, (np.searchsorted(ids, residuals["id"]), np.searchsorted(columns, residuals["rhs"])), residuals["r"])
+    z = np.linalg.solve(a, r)
+    return pd.DataFrame({"rhs": np.tile(columns, len(ids)), "id": np.repeat(ids, len(columns)), "z": z.ravel()})
+
+
+def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, maxiter: int = 100_000, tile: int = TILE) -> DataFrame:
     """Solve a positive definite system for all right-hand sides (id, rhs, value) at once.
 
-    Preconditioned by the diagonal.  The vectors of all right-hand sides are one table keyed by
-    (rhs, id); a round is one join with the matrix and sums by ``rhs``.  The number of right-hand
-    sides not yet solved is all the driver sees.  Raises ``RuntimeError`` if ``maxiter`` rounds do
-    not do; ``ValueError`` for a negative ``rtol``.
+    Preconditioned by the blocks of ``tile`` consecutive unknowns, each divided by in a task for the block
+    and some right-hand sides; so the number of rounds grows with the blocks that lie between two
+    unknowns.  The vectors of all right-hand sides are one table keyed by (rhs, id); a round is one join
+    with the matrix and sums by ``rhs``.  The number of right-hand sides not yet solved is all the driver
+    sees.  Raises ``RuntimeError`` if ``maxiter`` rounds do not do; ``ValueError`` for a negative ``rtol``.
     """
     if rtol < 0 or maxiter < 1:
         raise ValueError("rtol must not be negative, maxiter at least 1")
-    diagonal = matrix.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("m"))
+    matrix = materialize(matrix.select("src", "dst", "weight"), "cg-matrix")
     entries = matrix.select(F.col("src").alias("id"), F.col("dst").alias("from"), "weight")
+    wanted = materialize(rhs.select("rhs").distinct(), "cg-sides")
+    parts = -(-wanted.count() // SIDES) or 1
+    tile_of = lambda c: F.floor(F.col(c) / tile)
+    blocks = matrix.where(tile_of("src") == tile_of("dst")).withColumn("tile", tile_of("src"))
+    blocks = blocks.select(F.col("tile").alias("of_tile"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), "src", "dst", "weight")
+
+    def divided(table: DataFrame) -> DataFrame:
+        """Add ``z``, the residual ``r`` divided by the blocks."""
+        dealt = table.select("rhs", "id", "r", tile_of("id").alias("tile"), F.pmod(F.xxhash64("rhs"), F.lit(parts)).cast("int").alias("part"))
+        z = dealt.groupBy("tile", "part").cogroup(blocks.groupBy("of_tile", "of_part")).applyInPandas(lambda r, m: _solve_tile(r, m), "rhs long, id long, z double")
+        return table.join(z, ["rhs", "id"])
+
     # every right-hand side has a value for every unknown: that is the size of the solution
-    start = rhs.select("rhs").distinct().withColumn("k", F.lit(0)).join(diagonal.withColumn("k", F.lit(0)), "k").drop("k")
-    state = start.join(rhs, ["rhs", "id"], "left").select("rhs", "id", "m", F.coalesce("value", F.lit(0.0)).alias("r"))
-    state = state.withColumns({"x": F.lit(0.0), "z": F.col("r") / F.col("m")}).withColumn("p", F.col("z"))
-    state = materialize(state, "cg")
+    start = wanted.crossJoin(matrix.where("src = dst").select(F.col("src").alias("id")).distinct())
+    state = start.join(rhs, ["rhs", "id"], "left").select("rhs", "id", F.coalesce("value", F.lit(0.0)).alias("r"), F.lit(0.0).alias("x"))
+    state = materialize(divided(state).withColumn("p", F.col("z")), "cg")
     goal = materialize(state.groupBy("rhs").agg(F.sum(F.col("r") * F.col("r")).alias("goal")), "cg")
     for _ in range(maxiter):
         norms = state.groupBy("rhs").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
@@ -38,11 +64,11 @@ def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, ma
         joined = materialize(state.join(ap, ["rhs", "id"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))), "cg")
         scale = joined.groupBy("rhs").agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
         alpha = F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(0.0)
-        moved = joined.join(scale, "rhs").withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
-        moved = materialize(moved.withColumn("z", F.col("r") / F.col("m")), "cg")
+        moved = joined.join(scale, "rhs").withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")}).drop("z", "ap", "pap")
+        moved = materialize(divided(moved), "cg")
         beta = moved.groupBy("rhs").agg(F.sum(F.col("r") * F.col("z")).alias("rz2"), F.max("rz").alias("rz1"))
         beta = beta.select("rhs", F.when(F.col("rz1") > 0, F.col("rz2") / F.col("rz1")).otherwise(0.0).alias("beta"))
-        state = moved.join(beta, "rhs").withColumn("p", F.col("z") + F.col("beta") * F.col("p")).select("rhs", "id", "m", "r", "x", "z", "p")
+        state = moved.join(beta, "rhs").withColumn("p", F.col("z") + F.col("beta") * F.col("p")).select("rhs", "id", "r", "x", "z", "p")
     raise RuntimeError(f"not solved to {rtol} in {maxiter} rounds")
 
 

@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; on one machine that leaves it unset, a folder of this process."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="landgraph-"))

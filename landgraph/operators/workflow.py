@@ -95,8 +95,7 @@ def nearest_cell(sites: DataFrame, xs: Sequence[float], ys: Sequence[float]) ->
 
 def unordered_pairs(a: DataFrame, key: str = "id") -> DataFrame:
     """(i, j) of all i < j of a vertex table, as asked for when pair distances are observed."""
-    left, right = a.select(F.col(key).alias("i"), F.lit(0).alias("k")), a.select(F.col(key).alias("j"), F.lit(0).alias("k"))
-    return left.join(right, "k").where("i < j").select("i", "j")
+    return a.select(F.col(key).alias("i")).crossJoin(a.select(F.col(key).alias("j"))).where("i < j")
 
 
 def split_rows(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: int = 0) -> DataFrame:

@@ -272,14 +272,14 @@ def reindex_component(spark, d):
     return algebra.reindex(g.edges(), labels.join(algebra.largest_component(labels), "label", "left_semi"))[0].select("src", "dst")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS src, event_type AS t FROM events WHERE value > 0 AND user_id % 3 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS src, event_type AS t FROM events WHERE value > 0),
 n AS (SELECT src, CAST(100000000 + rank AS BIGINT) AS dst FROM e JOIN (SELECT t, row_number() OVER (ORDER BY t) AS rank FROM (SELECT DISTINCT t FROM e)) USING (t)),
 l AS (SELECT src, dst FROM n UNION ALL SELECT dst, src FROM n),
 reach(id, seen) AS (SELECT src, src FROM l UNION SELECT reach.id, l.dst FROM reach JOIN l ON reach.seen = l.src)
 SELECT id, min(seen) AS label FROM reach GROUP BY 1""")
 def components_bipartite(spark, d):
-    """A part only, that of its SQL: no third users, positive values; ``components_bipartite_whole`` takes all events."""
-    e = spark.read.parquet(f"{d}/events.parquet").where("value > 0 and user_id % 3 <> 0").select(F.col("user_id").cast("long").alias("src"), "event_type").distinct()
+    """Components of the users and event types of events that have a value."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("value > 0").select(F.col("user_id").cast("long").alias("src"), "event_type").distinct()
     return algebra.components(workflow.class_ids(e, "event_type").select("src", (100_000_001 + F.col("class_id")).cast("long").alias("dst"), F.lit(1.0).alias("weight")))
 
 
@@ -304,11 +304,13 @@ def euclid_pairs(spark, d):
     return rounded(EuclideanDistance()(g, g.raster.cells.where("row = 3"), g.raster.cells.where("col = 5")), "distance")
 
 
-@query(f"""WITH {RAST}, s AS (SELECT * FROM rast WHERE (r + c) % 12 = 0)
+@query(f"""WITH {RAST}, s AS (SELECT * FROM rast WHERE p > (SELECT avg(p) FROM rast))
 SELECT CAST(s.r * 24 + s.c AS BIGINT) AS src, CAST(t.r * 24 + t.c AS BIGINT) AS dst, round(sqrt(CAST((s.r - t.r) * (s.r - t.r) + (s.c - t.c) * (s.c - t.c) AS DOUBLE)), 6) AS distance FROM s, s t""")
 def euclid_nodes(spark, d):
+    """Between the cells of more than the mean permeability, the habitat."""
     g = GridGraph(rast(spark, d))
-    return rounded(EuclideanDistance()(g, nodes=g.raster.cells.where("(row + col) % 12 = 0")), "distance")
+    mean = g.raster.cells.agg(F.avg("value").alias("mean"))
+    return rounded(EuclideanDistance()(g, nodes=g.raster.cells.crossJoin(F.broadcast(mean)).where("value > mean")), "distance")
 
 
 @query(f"""WITH {RAST} SELECT CAST(s.r * 24 + s.c AS BIGINT) AS src, CAST(t.r * 24 + t.c AS BIGINT) AS dst,
@@ -350,23 +352,16 @@ def lcp_coords(spark, d):
     return rounded(LCPDistance()(mean_grid(spark, d), nodes=[(1, 3), (10, 10)]), "distance")
 
 
-_SMALL = """cut AS (SELECT src, dst, weight FROM mean_edges WHERE src // 24 < 5 AND dst // 24 < 5 AND src % 24 < 5 AND dst % 24 < 5)"""
-
-
-@query(f"""WITH RECURSIVE {EDGES}, {_SMALL}, best(v, d) USING KEY (v) AS (
-  SELECT CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE) UNION SELECT e.dst, min(b.d + 1 / e.weight) FROM best b JOIN cut e ON b.v = e.src
-    LEFT JOIN recurring.best k ON k.v = e.dst WHERE k.d IS NULL OR b.d + 1 / e.weight < k.d GROUP BY e.dst)
-SELECT CAST(0 AS BIGINT) AS src, v AS dst, round(d, 6) AS distance FROM best""")
+@query(_lcp_sql("(0)"))
 def lcp_by_joins(spark, d):
-    """A part only, that of its SQL: a corner of 5 x 5 cells; ``lcp_by_joins_whole`` searches the whole raster."""
-    cut = mean_grid(spark, d).edges().where("src div 24 < 5 and dst div 24 < 5 and src % 24 < 5 and dst % 24 < 5")
-    return rounded(LCPDistance(kernel=False)(Graph(cut, SIDE * SIDE), [0]), "distance")
+    """The search tile by tile over the whole raster, in tiles of six rows, as ``lcp_single`` does by the kernel."""
+    return rounded(LCPDistance(kernel=False, tile=6 * SIDE)(mean_grid(spark, d), [0]), "distance")
 
 
-@query(_lcp_sql("(0)"))
+@query(_lcp_sql("(0), (100), (575)"))
 def lcp_by_joins_whole(spark, d):
-    """The search by joins over the whole raster, as ``lcp_single`` does by the kernel."""
-    return rounded(LCPDistance(kernel=False)(mean_grid(spark, d), [0]), "distance")
+    """The same from three sources, in tiles of 100 vertices, which are no whole rows."""
+    return rounded(LCPDistance(kernel=False, tile=100)(mean_grid(spark, d), [0, 100, 575]), "distance")
 
 
 _FW = f"""{TRADE}, fw(k, i, j, d) AS (
@@ -663,9 +658,9 @@ def clipped_log(spark, d):
 
 
 @query(f"WITH RECURSIVE {_GROUND} SELECT round(sum((a.x + b.x - c.x - e.x) * (a.x + b.x - c.x - e.x)), 6) AS objective FROM pot a, pot b, pot c, pot e "
-       "WHERE a.i = a.j AND b.i = b.j AND c.i = a.i AND c.j = b.i AND e.i = b.i AND e.j = a.i AND a.i < 10 AND b.i < 10")
+       "WHERE a.i = a.j AND b.i = b.j AND c.i = a.i AND c.j = b.i AND e.i = b.i AND e.j = a.i")
 def squared_sum(spark, d):
-    found = ResistanceDistance()(Graph(undirected(trade(spark, d)), NATIONS), nodes=list(range(10)))
+    found = ResistanceDistance()(Graph(undirected(trade(spark, d)), NATIONS), nodes=list(range(NATIONS)))
     return rounded(workflow.squared_sum(found), "objective")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from landgraph.functions import kernels as K
 from landgraph.graph import Graph, GridGraph, mean_weight
 from landgraph.operators import algebra
+from landgraph.operators import distance as D
+from landgraph.operators import solve as S
 from landgraph.operators.distance import EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
 from landgraph.raster import Raster
 from landgraph.sources.io import read_csv_raster
@@ -84,6 +86,33 @@ def test_searches_agree_and_unreachable_is_absent(spark):
     assert np.allclose(a, b) and np.isinf(a[0, 5]) and np.isfinite(a[0, 1])
 
 
+@pytest.mark.parametrize("tile,part", [(7, 256), (12, 2), (1000, 256)])
+def test_search_by_tiles(spark, monkeypatch, tile, part):
+    """Paths that leave tiles and come back, one-way edges, several sources to a task."""
+    monkeypatch.setattr(D, "SOURCE_PART", part)
+    p = np.random.default_rng(8).random((6, 6)) + 0.05
+    p[1::2, 1:] = 0.01  # a comb: the cheap ways go around
+    p[3, :] = 0
+    g = GridGraph(Raster.from_array(spark, p.tolist()), mean_weight)
+    sources = [0, 7, 20, 35]
+    a, b = (matrix(LCPDistance(kernel=k, tile=tile)(g, sources), 36) for k in (True, False))
+    assert np.allclose(a, b)
+    near = D.frontier_search(g.edges(), spark.createDataFrame([(s,) for s in sources], "id long"), max_distance=4.0, tile=tile)
+    assert np.allclose(matrix(near, 36), np.where(a <= 4.0, a, np.inf))
+    ring = Graph(spark.createDataFrame([(i, (i + 1) % 20, 1.0 + i) for i in range(20)], "src long, dst long, weight double"), 20)
+    assert np.allclose(matrix(LCPDistance(kernel=False, tile=6)(ring), 20), matrix(LCPDistance()(ring), 20))
+
+
+@pytest.mark.parametrize("tile,sides", [(9, 1024), (20, 3)])
+def test_resistance_by_blocks(spark, monkeypatch, tile, sides):
+    monkeypatch.setattr(S, "SIDES", sides)
+    monkeypatch.setattr(S.conjugate_gradient, "__defaults__", (1e-6, 100_000, tile))
+    _, g = grid(spark, 8)
+    nodes = [0, 5, 17, 40, 63]
+    a, b = (matrix(ResistanceDistance(**how)(g, nodes=nodes), 64)[np.ix_(nodes, nodes)] for how in ({}, {"solver": "cg"}))
+    assert np.allclose(a, b, rtol=1e-5)
+
+
 @pytest.mark.parametrize("weights", [(1, 1), (1, 10)])
 def test_resistance_as_in_a_circuit(spark, weights):
     r = np.random.default_rng(4)
