@@ -37,11 +37,10 @@ class WindowedAnalysis(ABC):
             raise TypeError("dependency_range and batch_size are integers")
         if not 0 <= coarsening_factor <= 1:
             raise ValueError("coarsening_factor lies in [0, 1]")
-        core = math.ceil(dependency_range * coarsening_factor)
-        core += core % 2 == 0
-        buffer = int(dependency_range - (core - 1) / 2)
+        core = math.ceil(dependency_range * coarsening_factor) | 1  # odd, so that it has a centre
+        buffer = dependency_range - core // 2  # the centre sees as far as the range
         if buffer < 1:
-            raise ValueError("the buffer is too small")
+            raise ValueError(f"a core of {core} cells leaves no buffer within a range of {dependency_range}")
         permeability = quality.map(permeability) if callable(permeability) else permeability
         if quality.shape != permeability.shape:
             raise ValueError("both rasters have the same shape")

@@ -13,9 +13,8 @@ def sum_neighborhood(raster: Raster, targets: DataFrame, npix: int) -> DataFrame
 
     NaN and null count as 0, as does what lies outside.
     """
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-npix, npix + 1) for j in range(-npix, npix + 1)))
-    around = targets.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(offsets).alias("o"))
-    around = around.select("r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"))
+    span = lambda c: F.explode(F.sequence(F.col(c) - npix, F.col(c) + npix))
+    around = targets.select(F.col("row").alias("r"), F.col("col").alias("c")).withColumn("row", span("r")).withColumn("col", span("c"))
     met = around.join(raster.cells, ["row", "col"], "left")
     return met.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0))).alias("value"))
 

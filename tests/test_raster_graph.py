@@ -29,7 +29,7 @@ def test_values_to_rows_and_back(spark):
 def test_unit_grid(spark):
     g = GridGraph(Raster.from_array(spark, [[1] * 3] * 2))
     e = table(g.edges(), "src", "dst", "weight")
-    assert len(e) == 14 and set(e.values()) == {1.0} and g.nv == 6 and repr(g) == "GridGraph of size 2x3"
+    assert len(e) == 14 and set(e.values()) == {1.0} and g.nv == 6 and repr(g) == "GridGraph(2 rows, 3 columns, 4 neighbours)"
 
 
 def test_target_weight_and_functions(spark):
