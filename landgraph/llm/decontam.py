@@ -140,7 +140,8 @@ def _ordered(phrases: DataFrame, postings: DataFrame) -> DataFrame:
 def _present(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """Those of the places (segment, term, place) that the lists of the index hold: a list is intersected once with all that is wanted of it."""
     lists = wanted.groupBy("segment", "term").agg(F.collect_set("place").alias("wanted"))
-    return lists.join(postings, ["segment", "term"]).select("segment", "term", F.explode(F.array_intersect("places", "wanted")).alias("place"))
+    asked = postings.join(wanted.select("term").distinct(), "term", "left_semi")  # spares the long lists of other terms a shuffle
+    return lists.join(asked, ["segment", "term"]).select("segment", "term", F.explode(F.array_intersect("places", "wanted")).alias("place"))
 
 
 def _first_places(needs: DataFrame, postings: DataFrame) -> DataFrame:
