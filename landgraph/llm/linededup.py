@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import need, real_id, stage, told_apart
 
-THRESHOLD, LONG, LEADERS = 0.8, 1024, 16
+THRESHOLD, LONG, LEADERS = 0.8, 1024, 24
 #: Buckets of the order's table, a byte each, and of the filter of lines to be verified, a bit each.
 MAX_RARITY, BUCKETS_A_TEXT, MAX_WANTED = 1 << 24, 8, 1 << 26
 #: Sets above this size have two words of parities.
@@ -140,30 +140,39 @@ def _may_match(threshold: float) -> Column:
     return length & (behind >= least) & (_differ() <= an + bn - 2 * least)
 
 
-def _postings(lines: DataFrame, side: str, long: bool) -> DataFrame:
-    """The postings of the lines' prefixes, of the tokens that may have long lists or of the others; columns but the token are named after ``side``."""
-    rarity, from_class = lambda t: F.shiftright(t, 56), _rarity_class(LONG + 1)
-    named = [F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b")]
-    if not long:
-        return lines.select(*named, F.posexplode("prefix").alias(f"{side}pos", "t")).where(rarity("t") < from_class)
-    placed = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda r: rarity(r["t"]) >= from_class)
-    some = lines.where(rarity(F.element_at("prefix", -1)) >= from_class)  # a prefix is sorted by rarity
-    return some.select(*named, F.explode(placed).alias("r")).select(*(f"{side}{c}" for c in (*_LINE, "n", "odd", "odd_b")), F.col("r.pos").alias(f"{side}pos"), "r.t")
+def _is_long(t: Column) -> Column:
+    """Whether the token, a key of ``_keys``, may have a long list."""
+    return F.shiftright(t, 56) >= _rarity_class(LONG + 1)
 
 
-def _line_of(side: str) -> Column:
-    return F.struct(*(F.col(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b", "pos")))
+def _short_postings(lines: DataFrame, side: str) -> DataFrame:
+    """The postings of the tokens of prefixes that have short lists; columns but the token are named after ``side``."""
+    named = (F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b"))
+    return lines.select(*named, F.posexplode("prefix").alias(f"{side}pos", "t")).where(~_is_long(F.col("t")))
 
 
-def _likely(lines: DataFrame, threshold: float) -> DataFrame:
-    """For lines in long lists, the pair with that leader of these lists that differs least.
+def _long_postings(lines: DataFrame) -> DataFrame:
+    """The postings of the other tokens: a line, ``pos``, ``t``, and all such tokens of its prefix, ``long``."""
+    some = lines.where(_is_long(F.element_at("prefix", -1)))  # a prefix is sorted by rarity
+    placed = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda r: _is_long(r["t"]))
+    rows = some.withColumn("placed", placed).select(*_LINE, "n", "odd", "odd_b", F.transform("placed", lambda r: r["t"]).alias("long"), F.explode("placed").alias("r"))
+    return stage(rows.select(*_LINE, "n", "odd", "odd_b", "long", "r.pos", "r.t"), "long-postings")
+
+
+def _side(postings: DataFrame, side: str) -> DataFrame:
+    return postings.select("t", *(F.col(c).alias(f"{side}{c}") for c in postings.columns if c != "t"))
+
+
+def _likely(long: DataFrame, threshold: float) -> DataFrame:
+    """For lines in long lists, the pair with that leader of the list of the rarest of their long tokens
+    that differs least.
 
     The leaders of a list are the first lines of ``LEADERS`` random parts of it.
     """
-    postings = _postings(lines, "a", True)
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("t", *(f"a{c}" for c in _LINE)), F.lit(LEADERS)).cast("int"))
-    leaders = dealt.groupBy("t", "part").agg(F.min(_line_of("a")).alias("r")).select("t", "r.*")
-    pairs = leaders.join(_postings(lines, "b", True), "t").where(_earlier() & _may_match(threshold))
+    dealt = long.withColumn("part", F.pmod(F.xxhash64("t", *_LINE), F.lit(LEADERS)).cast("int"))
+    leaders = dealt.groupBy("t", "part").agg(F.min(F.struct(*_LINE, "n", "odd", "odd_b", "pos")).alias("r")).select("t", "r.*")
+    own = long.where(F.col("t") == F.element_at("long", 1))
+    pairs = _side(leaders, "a").join(_side(own.drop("long"), "b"), "t").where(_earlier() & _may_match(threshold))
     slack = _differ() - (F.col("an") + F.col("bn") - 2 * _alpha(F.col("an"), F.col("bn"), threshold))
     best = pairs.groupBy(*(f"b{c}" for c in _LINE)).agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE))).alias("r"))
     return best.select(*(f"r.a{c}" for c in _LINE), *(f"b{c}" for c in _LINE))
@@ -172,17 +181,18 @@ def _likely(lines: DataFrame, threshold: float) -> DataFrame:
 def _in_short_lists(lines: DataFrame, threshold: float) -> DataFrame:
     """All pairs that share a token of short lists and pass the filters, each by the shorter line's part of its prefix."""
     first = (F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - _EPS) + 1).cast("int")
-    shorter = _postings(lines.withColumn("prefix", F.slice("prefix", F.lit(1), first)), "a", False)
+    shorter = _short_postings(lines.withColumn("prefix", F.slice("prefix", F.lit(1), first)), "a")
     a, b = (F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab")
-    pairs = shorter.join(_postings(lines, "b", False), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
+    pairs = shorter.join(_short_postings(lines, "b"), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
     pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     return pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in _LINE)).distinct()
 
 
-def _in_long_lists(lines: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of ``lines`` and ``later`` ones that share a token of long lists and pass the filters."""
-    pairs = _postings(lines, "a", True).join(_postings(later, "b", True), "t").where(_earlier() & _may_match(threshold))
-    return pairs.select(*_PAIR).distinct()
+def _in_long_lists(long: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of lines in long lists and later ones, not yet ``done``, that pass the filters, by their first common token."""
+    later = long.join(done, [*_LINE], "left_anti")
+    once = F.element_at(F.array_intersect("along", "blong"), 1) == F.col("t")
+    return _side(long, "a").join(_side(later, "b"), "t").where(_earlier() & _may_match(threshold) & once).select(*_PAIR)
 
 
 def _among(rows: DataFrame, columns: tuple[str, ...]) -> Column:
@@ -218,10 +228,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def similar_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id, h, no) of the owners that an earlier owner is similar to."""
-    likely = stage(_likely(lines, threshold), "line-pairs")
+    long = _long_postings(lines)
+    likely = stage(_likely(long, threshold), "line-pairs")
     done = _verified(_in_short_lists(lines, threshold).unionByName(likely).distinct(), texts, threshold)
-    rest = _verified(_in_long_lists(lines, lines.join(done, [*_LINE], "left_anti"), threshold), texts, threshold)
-    return done.unionByName(rest)
+    return done.unionByName(_verified(_in_long_lists(long, done, threshold), texts, threshold))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
