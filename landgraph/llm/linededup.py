@@ -164,14 +164,14 @@ def _side(postings: DataFrame, side: str) -> DataFrame:
 
 
 def _likely(long: DataFrame, threshold: float) -> DataFrame:
-    """For lines in long lists, the pair with that leader of the list of the rarest of their long tokens
-    that differs least.
+    """For lines in long lists, the pair with that leader that differs least, of the lists of the rarest and
+    of the commonest of their long tokens.
 
     The leaders of a list are the first lines of ``LEADERS`` random parts of it.
     """
     dealt = long.withColumn("part", F.pmod(F.xxhash64("t", *_LINE), F.lit(LEADERS)).cast("int"))
     leaders = dealt.groupBy("t", "part").agg(F.min(F.struct(*_LINE, "n", "odd", "odd_b", "pos")).alias("r")).select("t", "r.*")
-    own = long.where(F.col("t") == F.element_at("long", 1))
+    own = long.where((F.col("t") == F.element_at("long", 1)) | (F.col("t") == F.element_at("long", -1)))
     pairs = _side(leaders, "a").join(_side(own.drop("long"), "b"), "t").where(_earlier() & _may_match(threshold))
     slack = _differ() - (F.col("an") + F.col("bn") - 2 * _alpha(F.col("an"), F.col("bn"), threshold))
     best = pairs.groupBy(*(f"b{c}" for c in _LINE)).agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE))).alias("r"))
