@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, linededup, merkle, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = (
     warc.op8_warc_archives,
     fingerprint.op9_document_fingerprints,
     packing.op10_best_fit_packing,
+    merkle.op12_merkle_manifest,
 )
 
 
@@ -23,4 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": decontam.OP7_SQL, "op8_warc_archives": warc.OP8_SQL}
+    return {
+        "op7_benchmark_decontamination": decontam.OP7_SQL,
+        "op8_warc_archives": warc.OP8_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
+    }
