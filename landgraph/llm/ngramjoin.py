@@ -6,10 +6,13 @@
    with a probability of 5e-8.
 3. Bayesian pruning: of pairs in a bucket the MinHash values are compared, and after every 16 those go for
    which the posterior probability of reaching the threshold, given the matches so far and a uniform prior,
-   is below ``TOLERANCE``.  Each document is compared with the first of its bucket; only those that this
-   prunes are compared with all others of the bucket, in blocks.  Of the pairs left one link for each
+   is below ``TOLERANCE``.  Each document is compared with the first of its bucket; those that this
+   prunes, the open ones, are compared with all others of the bucket.  Of the pairs left one link for each
    document and task is kept, and the links are joined to clusters, their connected components.  So what
    merely shares a bucket, as boilerplate does, joins no cluster.
+   A bucket with more than ``BLOCK_DOCS`` open documents is not compared all against all: these documents are put
+   into the lists of the rarest shingles of their sets, so many that two similar sets share one, and the same is done with
+   the lists.  Boilerplate is frequent, and leads to no list while it is less than the threshold's part of a set.
 4. The texts of clustered documents are dealt by cluster, large clusters as pairs of blocks of
    bounded size.  In a task the pairs that share a bucket are pruned as above; the rest is verified on the sets.
 5. A task returns for each document its number of links and one link to its component, never the
@@ -18,7 +21,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -33,7 +37,10 @@ from .components import connected_components
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, STEP = 128, 32, 16
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 400_000
+#: What the bytes of a text become before it is split at spaces: letters, digits and bytes above 127 make words, or all but white space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_BLANK_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_RARITY = 1 << 20
 _U = np.uint64
 _BASE = 0x100000001B3
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -58,9 +65,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """The sorted, distinct hashes of the runs of n words; of all words if they are fewer."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES), dtype=np.uint8)
+def shingles(text: str | None, n: int = N, table: bytes = _WORD_BYTES) -> np.ndarray:
+    """The sorted, distinct 64-bit hashes of the runs of n words; of all words if they are fewer."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(table), dtype=np.uint8)
     edge = np.diff(np.r_[False, raw != 32, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
@@ -96,6 +103,7 @@ def buckets(sig: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@cache
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Fewest of n equal MinHash values with which P(similarity >= threshold) is not below tolerance.
 
@@ -142,8 +150,20 @@ class _Forest:
         return [self.keys[self.find(k)] for k in range(len(self.keys))]
 
 
-def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESHOLD) -> Iterator[tuple[int, int]]:
-    """Pairs i < j of similar sets of one block; of two blocks, the first of ``first`` sets, only those with i < first <= j."""
+def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two sorted sets, not empty, reach the threshold; in integers, to six decimals of it."""
+    t = round(threshold * 1_000_000)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) * 1_000_000 < t * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both * 1_000_000 >= t * (len(a) + len(b) - both)
+
+
+def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESHOLD, opened: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of similar sets of one block; of two blocks, the first of ``first`` sets, only those with
+    i < first <= j.  With ``opened``, only pairs of which one is."""
     if first in (0, len(sets)):  # two blocks, one without rows
         return
     sig = np.array([signature(s) for s in sets], dtype=np.uint32).reshape(len(sets), HASHES)
@@ -154,17 +174,15 @@ def compare(sets: list[np.ndarray], first: int | None, threshold: float = THRESH
         shared |= band[rows, b][:, None] == band[columns, b]
     i, j = np.nonzero(shared if first is not None else np.triu(shared, 1))
     i, j = rows[i], columns[j]
+    if opened is not None:
+        i, j = (k[opened[i] | opened[j]] for k in (i, j))
     i, j = survivors(sig, i, j, threshold)
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = sets[x], sets[y]
-        if min(len(a), len(b)) >= threshold * max(len(a), len(b)) - 1e-9:
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if both >= threshold * (len(a) + len(b) - both) - 1e-9:
-                yield x, y
+        if similar(sets[x], sets[y], threshold):
+            yield x, y
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def _sets(docs: DataFrame, n: int, table: bytes) -> DataFrame:
     """(id, key, size, buckets, sig) of every row; documents without words have no key."""
     fields = (("id", T.LongType()), ("key", T.BinaryType()), ("size", T.LongType()), ("buckets", T.ArrayType(T.LongType())), ("sig", T.BinaryType()))
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -175,7 +193,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             keys, sizes, names, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingles(text, n)
+                s = shingles(text, n, table)
                 sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = signature(s) if len(s) else None
@@ -190,17 +208,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), HASHES)
 
 
-def _pruned(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those (u, v) of the pairs (u, v, usig, vsig) that are not pruned."""
+def against_leaders(pairs: DataFrame, payload: DataFrame, judge: Callable[[list, np.ndarray], np.ndarray]) -> DataFrame:
+    """Those (u, v) of the pairs (u, v, dealt) that ``judge`` keeps, by the ``payload`` (id, payload) of both.
+
+    A leader v and those u that are ``dealt`` the same number come together, the leader first, so a leader of many is
+    sent to as many tasks, and a task holds a leader and a batch.  ``judge`` gets a list of payloads and for each row of a
+    batch the place of its leader's among them (the row's own follows at place + 1), and returns a mask.
+    """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in "uv"])
+    fields = ("v", "dealt", "side", "id", "payload")
+    follow = pairs.withColumn("side", F.lit(1)).join(payload, F.col("u") == F.col("id")).select(*fields)
+    lead = pairs.select("v", "dealt", F.lit(0).alias("side")).distinct().join(payload, F.col("v") == F.col("id")).select(*fields)
+    rows = lead.unionByName(follow).repartition(shuffle_partitions(pairs.sparkSession), "v", "dealt").sortWithinPartitions("v", "dealt", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            n = len(batch)
-            stay, _ = survivors(np.r_[_matrix(batch.column(2)), _matrix(batch.column(3))], np.arange(n), np.arange(n, 2 * n), threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(stay, pa.int64())) for k in (0, 1)], names=schema.names)
+            own = batch.column(4).to_pylist()
+            leads = batch.column(2).to_numpy(zero_copy_only=False) == 0
+            at = np.maximum.accumulate(np.where(leads, np.arange(1, len(own) + 1), 0))
+            both = [last, *own]
+            last = both[at[-1]] if len(own) else last
+            rest = np.flatnonzero(~leads)
+            stay = pa.array(rest[judge(both, at[rest], rest + 1)] if len(rest) else rest, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(stay), batch.column(0).take(stay)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Those (u, v) of the pairs (u, v, dealt) that are not pruned."""
+
+    def judge(both: list, lead: np.ndarray, own: np.ndarray) -> np.ndarray:
+        blank = bytes(4 * HASHES)
+        sig = np.frombuffer(b"".join(x or blank for x in both), dtype=np.uint32).reshape(len(both), HASHES)
+        stay = np.zeros(len(both), dtype=bool)
+        stay[survivors(sig, own, lead, threshold)[0]] = True
+        return stay[own]
 
-    return pairs.mapInArrow(run, schema)
+    return against_leaders(pairs, sigs.select("id", F.col("sig").alias("payload")), judge)
 
 
 def _links_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
@@ -244,29 +290,98 @@ def _links_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _block_pairs(blocks: Column, block: Column) -> Column:
-    """The (i, j, side) of all tasks that a row of ``block`` has a part in."""
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), (block > o).cast("int").alias("side")))
+def block_pairs(opened: Column, others: Column, is_open: Column, id_: Column) -> Column:
+    """The (i, j, side) of all tasks that a row has a part in.  The open rows are dealt over the first ``opened`` blocks, the
+    others over ``others`` more; each block of open rows is paired with itself and all others."""
+    block = F.when(is_open, F.pmod(F.xxhash64(id_), opened)).otherwise(opened + F.pmod(F.xxhash64(id_), F.greatest(others, F.lit(1)))).cast("int")
+    to = F.sequence(F.lit(0), F.when(is_open, opened + others).otherwise(opened) - 1)
+    return F.transform(to, lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), (block > o).cast("int").alias("side")))
 
 
-def links(first: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links between documents (id, buckets, sig) of a bucket that the Bayesian comparison leaves; similar ones are connected by them."""
-    parts = shuffle_partitions(first.sparkSession)
-    named = first.select("id", F.explode("buckets").alias("bucket"))
+def _blocks(of: Column, size: int) -> Column:
+    return F.ceil(of / size).cast("int")
+
+
+def _links_in_lists(named: DataFrame, sigs: DataFrame, threshold: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links between those documents (id, bucket) of a bucket that the Bayesian comparison leaves, and the ids of
+    those that share a bucket of too many open documents, which is left out unless this is the ``last`` try."""
+    parts = shuffle_partitions(named.sparkSession)
     least = named.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     stars = stage(named.join(least, "bucket").where("id <> least"), "bucket-stars")
-    side = lambda s: first.select(F.col("id").alias(s), F.col("sig").alias(f"{s}sig"))
-    pairs = stars.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct().join(side("v"), "v").join(side("u"), "u").select("u", "v", "usig", "vsig")
-    kept = stage(_pruned(pairs, threshold), "bucket-links")
+    pairs = stars.groupBy(F.col("id").alias("u"), F.col("least").alias("v")).agg(F.max("members").alias("members"))
+    pairs = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int").alias("dealt"))
+    kept = stage(_pruned(pairs, sigs, threshold), "bucket-links")
     apart = stage(stars.join(kept.select(F.col("u").alias("id"), F.col("v").alias("least")), ["id", "least"], "left_anti"), "bucket-rest")
-    again = apart.select("bucket", "members", "least").distinct()
-    rows = stars.join(again.select("bucket"), "bucket", "left_semi").select("bucket", "id", "members").unionByName(again.select("bucket", F.col("least").alias("id"), "members"))
-    rows = rows.join(apart.select("bucket", "id", F.lit(True).alias("open")), ["bucket", "id"], "left").join(first.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("members") / BLOCK_DOCS).cast("int")
-    task = F.explode(_block_pairs(blocks, F.pmod(F.xxhash64("id"), blocks).cast("int"))).alias("p")
-    rows = rows.select("bucket", task, "id", F.coalesce("open", F.lit(False)).alias("open"), "sig").select("bucket", "p.i", "p.j", "p.side", "id", "open", "sig")
-    rest = _links_in_blocks(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id"), threshold)
-    return kept.unionByName(stage(rest, "bucket-links"))
+    again = stage(apart.groupBy("bucket", "members", "least").agg(F.count(F.lit(1)).alias("open")), "bucket-sizes")
+    many = again.where(f"open > {BLOCK_DOCS}")
+    rest = None
+    if not last and not many.isEmpty():
+        in_many = stars.join(many.select("bucket"), "bucket", "left_semi").select("id").unionByName(many.select(F.col("least").alias("id")))
+        again, rest = again.where(f"open <= {BLOCK_DOCS}"), stage(in_many.distinct(), "open-documents")
+    rows = stars.join(again.select("bucket", "open"), "bucket").select("bucket", "id", "members", "open")
+    rows = rows.unionByName(again.select("bucket", F.col("least").alias("id"), "members", "open"))
+    rows = rows.join(apart.select("bucket", "id", F.lit(True).alias("is_open")), ["bucket", "id"], "left").join(sigs, "id")
+    rows = rows.withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+    whole = F.col("members") <= BLOCK_DOCS  # one block
+    opened = F.when(whole, 1).otherwise(_blocks(F.col("open"), BLOCK_DOCS))
+    others = F.when(whole, 0).otherwise(_blocks(F.col("members") - F.col("open"), BLOCK_DOCS))
+    task = F.explode(block_pairs(opened, others, whole | F.col("is_open"), F.col("id"))).alias("p")
+    rows = rows.select("bucket", task, "id", "is_open", "sig").select("bucket", "p.i", "p.j", "p.side", "id", "is_open", "sig")
+    found = _links_in_blocks(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "id"), threshold)
+    return kept.unionByName(stage(found, "bucket-links")), rest
+
+
+def _rarest(texts: DataFrame, n: int, threshold: float, table: bytes) -> DataFrame:
+    """(id, bucket): the rarest shingles of each text (id, text), so many that two sets of the threshold share one.
+
+    Shingles are ordered by how often their part of ``_RARITY`` hash parts occurs in these texts, then by hash: any order finds all,
+    this one keeps what very many texts share out of the lists.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shingles(t, n, table).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "s"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_RARITY, dtype=np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(s, dtype=np.uint64) & _U(_RARITY - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
+
+    made = stage(texts.mapInArrow(sets, T.StructType.fromDDL("id long, s binary")), "open-sets")
+    found = made.select("s").mapInArrow(count, T.StructType.fromDDL("b long, n long")).groupBy("b").agg(F.sum("n").alias("n"))
+    found = found.select("b", F.log2("n").cast("tinyint").alias("n")).toArrow()  # at most _RARITY rows
+    often = np.zeros(_RARITY, dtype=np.uint8)
+    often[found.column(0).to_numpy()] = found.column(1).to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for id_, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(s, dtype=np.uint64)
+                order = np.lexsort((h, often[(h & _U(_RARITY - 1)).astype(np.int64)]))
+                first = h[order[: len(h) - -(-round(threshold * 1_000_000) * len(h) // 1_000_000) + 1]]
+                ids.append(np.full(len(first), id_, dtype=np.int64))
+                out.append(first.astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, out)], names=["id", "bucket"])
+
+    return stage(made.mapInArrow(rarest, T.StructType.fromDDL("id long, bucket long")), "rarest-shingles")
+
+
+def links(first: DataFrame, texts: DataFrame, n: int = N, threshold: float = THRESHOLD, table: bytes = _WORD_BYTES) -> DataFrame:
+    """(u, v): links between documents (id, buckets, sig) of a bucket that the Bayesian comparison leaves; similar ones
+    are connected by them.  ``texts`` (id, text) has their texts."""
+    sigs = first.select("id", "sig")
+    found, rest = _links_in_lists(first.select("id", F.explode("buckets").alias("bucket")), sigs, threshold, last=False)
+    if rest is None:
+        return found
+    listed = _rarest(texts.join(rest.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), n, threshold, table)
+    more, _ = _links_in_lists(listed, sigs, threshold, last=True)
+    return found.unionByName(more)
 
 
 def _linked(rows: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -331,19 +446,18 @@ def classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     parts = shuffle_partitions(spark)
     vertex = F.when(F.col("h") == 0, F.col("id")).otherwise(F.xxhash64("id", "h"))
     texts = rows.select(vertex.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stage(_sets(texts, n), "shingle-sets")
+    sets = stage(_sets(texts, n, _WORD_BYTES), "shingle-sets")
     keyed = sets.where("key is not null")
     same = (F.any_value(c).alias(c) for c in ("size", "buckets", "sig"))
     owners = stage(keyed.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n_copies"), *same), "set-owners")
     first = owners.select(F.col("owner").alias("id"), "size", "buckets", "sig")
-    clusters = connected_components(links(first, threshold))
+    clusters = connected_components(links(first, texts, n, threshold))
 
     sized = clusters.join(first.select("id", "size"), "id")
     blocks = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = stage(placed, "clusters")
+    placed = stage(clusters.join(blocks, "label"), "clusters")
 
-    pair = F.explode(_block_pairs(F.col("blocks"), F.col("block"))).alias("p")
+    pair = F.explode(block_pairs(F.col("blocks"), F.lit(0), F.lit(True), F.col("id"))).alias("p")
     tasks = texts.join(placed.hint("shuffle_hash"), "id").select(F.col("label").alias("cluster"), pair, "id", "text")
     tasks = tasks.select("cluster", "p.i", "p.j", "p.side", "id", "text")
     found = stage(_linked(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "id"), n, threshold), "links")

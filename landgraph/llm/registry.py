@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, merkle, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, linededup, merkle, neardup, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = (
     warc.op8_warc_archives,
     fingerprint.op9_document_fingerprints,
     packing.op10_best_fit_packing,
+    neardup.op11_minhash_neardup,
     merkle.op12_merkle_manifest,
 )
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_benchmark_decontamination": decontam.OP7_SQL,
         "op8_warc_archives": warc.OP8_SQL,
+        "op11_minhash_neardup": neardup.OP11_SQL,
         "op12_merkle_manifest": merkle.OP12_SQL,
     }

@@ -135,10 +135,10 @@ def test_what_shares_buckets_only_is_pruned_before_clusters_are_made(spark, monk
     frame = spark.createDataFrame([(i, t, 1, "") for i, t in docs], SCHEMA)
     made = {}
     plain = J.links
-    monkeypatch.setattr(J, "links", lambda first, threshold: made.setdefault("links", plain(first, threshold)))
+    monkeypatch.setattr(J, "links", lambda *a: made.setdefault("links", plain(*a)))
     got = J.near_duplicates(frame).collect()
     assert {x.doc_id: (x.class_id, x.n_links, x.n_copies) for x in got} == by_hand(docs)
-    stars = [x for x in J._sets(frame.select("doc_id", "text"), J.N).collect()]
+    stars = [x for x in J._sets(frame.select("doc_id", "text"), J.N, J._WORD_BYTES).collect()]
     shared = {b for x in stars for b in x.buckets if sum(b in y.buckets for y in stars) > 5}
     assert shared  # buckets of many
     assert all(u // 10 == v // 10 for u, v in made["links"].collect())
