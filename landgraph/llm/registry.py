@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, merkle, neardup, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
+from . import decontam, fingerprint, hardneg, linededup, merkle, neardup, ngramjoin, packing, preference, sharding, toxicity, urlfilter, warc
 
 QUERIES = (
     toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = (
     packing.op10_best_fit_packing,
     neardup.op11_minhash_neardup,
     merkle.op12_merkle_manifest,
+    hardneg.op13_hard_negatives,
 )
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc_archives": warc.OP8_SQL,
         "op11_minhash_neardup": neardup.OP11_SQL,
         "op12_merkle_manifest": merkle.OP12_SQL,
+        "op13_hard_negatives": hardneg.OP13_SQL,
     }
