@@ -17,7 +17,9 @@ at an offset.  Its length depends on the capacity alone.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -35,7 +37,12 @@ _tokenizers: dict = {}
 _STOP = re.compile(r"[.,](?<=[a-zA-Z][.,])")  # looks for the stop first: that is quicker
 
 
-#: Texts whose parts tell whether a tokenizer works on parts.
+#: What a tokenizer has to be, by its own definition, to be given parts of texts: normalizers that only compose, collapse white space and
+#: lower-case, and words that are a run of letters, a digit or a run of other signs.
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+_WORDS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Texts on which such a tokenizer has to give its own ids by parts, too.
 PROBES = ("The Quick BROWN fox. It's  here, there.\nAB.cd x.y", "A.b,c 12.5 (Ünï.) don't\t...", "one two three", " Zz zZ ZZ zz ")
 
 
@@ -43,12 +50,23 @@ def _chunks(text: str) -> list[str]:
     return _STOP.sub(r" \g<0>", (text.lower() if text.isascii() else text).replace("\n", " ")).split(" ")
 
 
+def works_on_parts(definition: dict) -> bool:
+    """Whether a tokenizer with this definition lower-cases, drops white space and never joins what it
+    separates, nor a letter and the full stop or comma after it, but for added tokens."""
+    norm, split, model = (definition.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    norms = norm.get("normalizers", [norm])
+    known = all(n in _NORMALIZERS for n in norms) and {"type": "Lowercase"} in norms
+    known = known and split.get("type") == "Sequence" and split.get("pretokenizers") == [_WORDS, _BYTES]
+    known = known and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix"))
+    return known and not definition.get("truncation") and not definition.get("padding") and all(t["content"].strip() and t["content"].isascii() for t in definition.get("added_tokens", []))
+
+
 class _Encoder:
     """Encodes texts by way of a bounded memory of the ids of their space-separated chunks.
 
-    A tokenizer with word ends that lower-cases, drops white space and never joins what it separates, nor a
-    letter and the full stop or comma after it, gives a text the ids of such parts (``PROBES`` show if it is
-    one; any other encodes whole texts).  Parts that are not in the memory are encoded together, by the
+    A tokenizer whose definition says that it ``works_on_parts`` gives a text the ids of such parts, unless the text may hold one of its added
+    tokens, of which one part without white space is looked for in any case of letters.  Such texts, and all texts of
+    any other tokenizer, are encoded whole.  Parts that are not in the memory are encoded together, by the
     quickest way that gives the tokenizer's own ids: ASCII lower-case words need only its model, other words
     no separation, the rest all of it.  A full memory becomes the old one, from which what is used again is
     taken over.
@@ -64,7 +82,9 @@ class _Encoder:
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = getattr(self.whole.model, "end_of_word_suffix", None)
-        self.by_chunk = bool(suffix) and all(self.separable(p) for p in PROBES)
+        definition = json.loads(self.whole.to_str())
+        self.added = [max(t["content"].lower().split(), key=len) for t in definition["added_tokens"] if t["content"].strip()]
+        self.by_chunk = works_on_parts(definition) and all(self.separable(p) for p in PROBES)
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = self.by_chunk and token.endswith(suffix)
@@ -94,9 +114,23 @@ class _Encoder:
         if words:
             self.memo.update(zip(words, how(*args, words), strict=True))
 
+    def may_hold_added(self, text: str) -> bool:
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return any(a in low for a in self.added)
+
+    def wholly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:  # a tokenizer for which white space counts
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.by_chunk:
+            return self.wholly(texts)
+        held = [self.may_hold_added(t) for t in texts]
+        if any(held):
+            whole, parted = iter(self.wholly([t for t, h in zip(texts, held, strict=True) if h])), iter(self.by_parts([t for t, h in zip(texts, held, strict=True) if not h]))
+            return [next(whole if h else parted) for h in held]
+        return self.by_parts(texts)
+
+    def by_parts(self, texts: list[str]) -> list[bytes]:
         chunks = [_chunks(t) for t in texts]
         new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:  # what is used again moves from the old memory to the new

@@ -121,3 +121,29 @@ def test_tokenizers_of_another_make(spark, tmp_path, lower, split):
     texts = ["AB ab a. aB, C", "Ab.cd", "", "  ab\n\nAB a.b"]
     out = P.best_fit_pack(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), path).collect()
     assert {x.doc_id: np.frombuffer(bytes(x.ids), "<u4").tolist() for x in out} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("added", [["new york"], ["USA"], ["new york", "USA", "u.s.", "The"], []])
+def test_added_tokens(tmp_path, added):
+    """Plain and case-sensitive ones, which parts of a text would miss or find where the whole does not."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(P.tokenizer_path())
+    tok.add_tokens([AddedToken(a, normalized=n) for a in added for n in (a != "USA",)])
+    tok.save(path := f"{tmp_path}/tokenizer.json")
+    encode = P._Encoder(path)
+    assert encode.by_chunk
+    texts = ["In New  York now", "the usa and the USA", "u.s. and U.S. new\nyork", "<|ENDOFTEXT|> or <|endoftext|>x", "a clean text, of words.", "\u212aelvin usa", "newyork", ""]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encode(texts) == want and encode(texts[::-1]) == want[::-1]
+
+
+def test_only_known_definitions_work_on_parts():
+    import json
+
+    from tokenizers import Tokenizer
+
+    known = json.loads(Tokenizer.from_file(P.tokenizer_path()).to_str())
+    assert P.works_on_parts(known)
+    other = [{"normalizer": None}, {"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**known["model"], "dropout": 0.1}}, {"added_tokens": [{"content": "é"}]}, {"model": {"type": "WordPiece"}}]
+    assert not any(P.works_on_parts(known | x) for x in other)
