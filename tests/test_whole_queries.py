@@ -28,4 +28,4 @@ def test_components_of_all_events(spark):
 
 def test_search_by_joins_of_the_whole_raster(spark):
     got, _ = agree(spark, "lcp_by_joins_whole")
-    assert len(got) == 24 * 24
+    assert len(got) == 3 * 24 * 24
