@@ -10,6 +10,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,15 @@ from ..functions import kernels as K
 from ..graph import GridGraph
 from ..raster import vertex
 from . import algebra
+from .borders import border_search
 from .solve import conjugate_gradient
 from .store import materialize
+from .tiles import Tiling
 
 #: Edges of a graph that is broadcast to the tasks of a kernel; beyond it, joins are used.
 KERNEL_EDGES, DENSE_VERTICES = 200_000, 2_500
-#: Beyond it, vertices of a tile that is searched at once, and sources that are searched from together.
-TILE_VERTICES, SOURCE_PART = 16_384, 256
+#: Beyond it, vertices of a tile that is searched at once.
+TILE_VERTICES = 2_304
 _RESULT = "src long, dst long, distance double"
 
 
@@ -109,7 +112,7 @@ class LCPDistance(Distance):
     """Least-cost paths; an edge costs the reciprocal of its weight.
 
     ``bellman-ford`` searches from the sources only: in the tasks over a broadcast graph if that is
-    small, else tile by tile (``tile`` vertices each).  ``floyd-warshall`` does all pairs of a
+    small, else over the borders of tiles (of ``tile`` vertices each), and only in tiles that hold targets inside of them.  ``floyd-warshall`` does all pairs of a
     small graph in one task; ``diagonal="roundtrip"`` gives the cheapest way back for d(i, i).
     """
 
@@ -130,7 +133,7 @@ class LCPDistance(Distance):
                 raise ValueError(f"floyd-warshall is for up to {DENSE_VERTICES} vertices")
             return self._all_pairs(graph.nv, edges, start, targets)
         if edges is None:
-            return _only(frontier_search(graph.edges(), start, tile=self.tile), targets)
+            return frontier_search(graph.edges(), start, tile=self.tile, width=getattr(graph, "width", None), targets=targets)
         n = graph.nv
 
         def run(parts):
@@ -162,66 +165,10 @@ def _tasks(df: DataFrame) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
 
 
-def _search_tile(labels: pd.DataFrame, edges: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """From the labels (src, dst, distance, fresh) of a tile's vertices and the edges (from, to, cost) that
-    leave them: the labels that became shorter, and proposals for vertices of other tiles."""
-    empty = pd.DataFrame({"src": [], "dst": [], "distance": [], "inside": []}).astype({"src": "int64", "dst": "int64", "inside": bool})
-    if not len(labels) or not len(edges):
-        return empty
-    names = np.unique(np.concatenate([labels["dst"], edges["from"]]))
-    order = np.argsort(edges["from"].to_numpy(), kind="stable")
-    origin, to, cost = (edges[c].to_numpy()[order] for c in ("from", "to", "cost"))
-    start = np.searchsorted(origin, names).tolist()
-    start = np.array([*start, len(origin)])
-    at = np.searchsorted(names, to)
-    here = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == to)
-    tail = np.searchsorted(names, origin)
-    out = []
-    for src, part in labels.groupby("src"):
-        known = np.full(len(names), np.inf)
-        place = np.searchsorted(names, part["dst"])
-        known[place] = part["distance"]
-        best = K.settle(start, np.where(here, at, -1), cost, known, place[part["fresh"].to_numpy()], limit)
-        shorter = best < known
-        moved = shorter.copy()
-        moved[place[part["fresh"].to_numpy()]] = True
-        away = moved[tail] & ~here & (best[tail] + cost <= limit)
-        found = pd.DataFrame({"dst": to[away], "distance": (best[tail] + cost)[away]}).groupby("dst", as_index=False).min()
-        out.append(pd.DataFrame({"src": src, "dst": names[shorter], "distance": best[shorter], "inside": True}))
-        out.append(pd.DataFrame({"src": src, "dst": found["dst"].astype("int64"), "distance": found["distance"], "inside": False}))
-    return pd.concat(out)[["src", "dst", "distance", "inside"]]
-
-
-def frontier_search(edges: DataFrame, sources: DataFrame, max_distance: float | None = None, max_rounds: int = 1_000_000, tile: int = TILE_VERTICES) -> DataFrame:
-    """Shortest paths from all sources at once, tile by tile.
-
-    A tile holds ``tile`` consecutive vertex ids, on a grid some rows.  In a round each tile with labels
-    that became shorter from outside settles all of its vertices, in a task for each tile and some sources,
-    and proposes distances to the vertices its edges lead to.  So the number of rounds grows with the tiles
-    that a path crosses, not with its edges.
-    """
-    tile_of = lambda c: F.floor(F.col(c) / tile)
-    costs = edges.select(tile_of("src").alias("tile"), F.col("src").alias("from"), F.col("dst").alias("to"), (1.0 / F.col("weight")).alias("cost"))
-    costs = materialize(costs, "costs")
-    start = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh"))
-    best, limit = materialize(start, "distances"), float("inf") if max_distance is None else max_distance
-    parts = -(-best.count() // SOURCE_PART) or 1
-
-    def settle(labels: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
-        return _search_tile(labels, local, limit)
-
-    for _ in range(max_rounds):
-        if best.where("fresh").isEmpty():
-            return best.select("src", "dst", "distance")
-        dealt = best.withColumns({"tile": tile_of("dst"), "part": F.pmod(F.xxhash64("src"), F.lit(parts))})
-        active = dealt.where("fresh").select("tile", "part").distinct()
-        labels, to = dealt.join(active, ["tile", "part"], "left_semi"), active.toDF("to_tile", "to_part")
-        local = costs.join(to, F.col("tile") == F.col("to_tile")).select("to_tile", "to_part", "from", "to", "cost")
-        found = labels.groupBy("tile", "part").cogroup(local.groupBy("to_tile", "to_part")).applyInPandas(settle, "src long, dst long, distance double, inside boolean")
-        both = best.select("src", "dst", "distance", F.lit(True).alias("inside")).unionByName(found)
-        merged = both.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min(F.when(F.col("inside"), F.col("distance"))).alias("settled"))
-        best = materialize(merged.select("src", "dst", "distance", (F.col("settled").isNull() | (F.col("distance") < F.col("settled"))).alias("fresh")), "distances")
-    raise RuntimeError(f"distances still change after {max_rounds} rounds")
+def frontier_search(edges: DataFrame, sources: DataFrame, max_distance: float | None = None, max_rounds: int = 1_000_000, tile: int = TILE_VERTICES, width: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Shortest paths from all sources at once over the borders of tiles of some ``tile`` vertices: square ones of a raster
+    ``width`` wide, else of consecutive ids (``borders.border_search``)."""
+    return border_search(edges, sources, Tiling(max(1, isqrt(tile)), width), targets, max_distance, max_rounds)
 
 
 @dataclass(frozen=True)

@@ -25,8 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def materialize(df: DataFrame, name: str = "round") -> DataFrame:
-    """Write and read back: cuts the lineage, and survives the loss of executors."""
+def materialize_at(df: DataFrame, name: str = "round") -> tuple[DataFrame, str]:
+    """Write and read back: cuts the lineage, and survives the loss of executors.  Also where it was written."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str = "round") -> DataFrame:
+    return materialize_at(df, name)[0]
