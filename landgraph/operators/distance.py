@@ -22,6 +22,8 @@ from ..graph import GridGraph
 from ..raster import vertex
 from . import algebra
 from .borders import border_search
+from .direct import SIDE as TILE_SIDE
+from .direct import factorize
 from .solve import conjugate_gradient
 from .store import materialize
 from .tiles import Tiling
@@ -175,8 +177,9 @@ def frontier_search(edges: DataFrame, sources: DataFrame, max_distance: float |
 class ResistanceDistance(Distance):
     """Effective resistance between vertices of an undirected graph.
 
-    ``solver``: None is dense in one task; "cg" solves one system for each vertex asked for, by
-    joins; "auto" takes the first for small graphs.  An asymmetric graph raises ``ValueError``
+    ``solver``: None is dense in one task; "cg" and "direct" solve one system for each vertex asked for, by
+    joins and by nested dissection (of square tiles of a raster); "auto" is dense for small graphs, else direct for
+    rasters and cg for others.  An asymmetric graph raises ``ValueError``
     unless ``symmetrize``.  ``disconnected="pinv"`` gives finite values between components.
     """
 
@@ -195,12 +198,14 @@ class ResistanceDistance(Distance):
         start = _everyone(graph) if sources is None else sources.distinct()
         solver = self.solver or "dense"
         if solver == "auto":
-            solver = "dense" if graph.nv <= DENSE_VERTICES else "cg"
+            solver = "dense" if graph.nv <= DENSE_VERTICES else "direct" if isinstance(graph, GridGraph) else "cg"
         if solver == "dense":
             if graph.nv > DENSE_VERTICES:
                 raise ValueError(f"dense resistance is for up to {DENSE_VERTICES} vertices; use solver='cg'")
             return _only(self._dense(both, graph.nv, start), targets)
-        return self._by_cg(both, graph, start, targets)
+        if solver not in ("cg", "direct"):
+            raise ValueError("solver is one of dense, cg, direct, auto")
+        return self._by_solves(both, graph, start, targets, solver)
 
     def _dense(self, edges, n, start):
         how, table = self.disconnected, edges.toPandas()
@@ -216,7 +221,7 @@ class ResistanceDistance(Distance):
 
         return start.coalesce(1).mapInPandas(run, _RESULT)
 
-    def _by_cg(self, edges, graph, start, targets):
+    def _by_solves(self, edges, graph, start, targets, solver):
         """Each component's greatest vertex is grounded; solutions for S and T give R = u_ii + u_jj - 2 u_ij."""
         labels = algebra.components(edges, _everyone(graph))
         ground = labels.groupBy("label").agg(F.max("id").alias("ground"))
@@ -225,7 +230,11 @@ class ResistanceDistance(Distance):
         asked = materialize(start.unionByName(goal).distinct().join(labels, "id"), "asked")
         lap = materialize(algebra.submatrix(algebra.laplacian(edges), free, free), "grounded")
         basis = asked.join(free.select("id"), "id", "left_semi").select("id", F.col("id").alias("rhs"), F.lit(1.0).alias("value"))
-        u = materialize(conjugate_gradient(lap, basis, self.rtol), "potentials")
+        if solver == "direct":
+            found = factorize(lap, Tiling.of_graph(graph, TILE_SIDE)).solve(basis)
+        else:
+            found = conjugate_gradient(lap, basis, self.rtol)
+        u = materialize(found.join(asked.select("id"), "id", "left_semi"), "potentials")
         own = u.where("id = rhs").select("id", F.col("value").alias("own"))
         a = start.join(asked, "id").join(own, "id", "left").select(F.col("id").alias("src"), "label", F.coalesce("own", F.lit(0.0)).alias("a"))
         b = goal.join(asked, "id").join(own, "id", "left").select(F.col("id").alias("dst"), "label", F.coalesce("own", F.lit(0.0)).alias("b"))

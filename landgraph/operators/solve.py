@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .direct import factorize
 from .store import materialize
+from .tiles import Tiling
 
 DENSE_LIMIT = 2_000
 #: Unknowns of a block of the preconditioner, and right-hand sides that it is applied to together.
@@ -90,13 +92,17 @@ def dense_solve(matrix: DataFrame, rhs: DataFrame) -> DataFrame:
     return left.groupBy("one").cogroup(right.groupBy("one")).applyInPandas(run, "id long, rhs long, value double")
 
 
-def linear_solve(matrix: DataFrame, rhs: DataFrame, solver: str = "auto", rtol: float = 1e-6, maxiter: int = 100_000) -> DataFrame:
-    """(id, [rhs,] value) with matrix x = rhs; ``solver`` is "cg", "dense" or "auto" (by size)."""
-    if solver not in ("auto", "cg", "dense"):
-        raise ValueError("solver is one of auto, cg, dense")
+def linear_solve(matrix: DataFrame, rhs: DataFrame, solver: str = "auto", rtol: float = 1e-6, maxiter: int = 100_000, tiling: Tiling | None = None) -> DataFrame:
+    """(id, [rhs,] value) with matrix x = rhs; ``solver`` is "cg", "direct" (nested dissection of ``tiling``),
+    "dense" or "auto" (the last by size, else the first)."""
+    if solver not in ("auto", "cg", "dense", "direct"):
+        raise ValueError("solver is one of auto, cg, direct, dense")
     one = "rhs" not in rhs.columns
     many = rhs.withColumn("rhs", F.lit(0).cast("long")) if one else rhs
     if solver == "auto":
         solver = "dense" if matrix.select("src").distinct().count() <= DENSE_LIMIT else "cg"
-    out = dense_solve(matrix, many) if solver == "dense" else conjugate_gradient(matrix, many, rtol, maxiter)
+    if solver == "direct":
+        out = factorize(matrix, tiling).solve(many)
+    else:
+        out = dense_solve(matrix, many) if solver == "dense" else conjugate_gradient(matrix, many, rtol, maxiter)
     return out.drop("rhs") if one else out
