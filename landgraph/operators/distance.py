@@ -22,9 +22,9 @@ from ..graph import GridGraph
 from ..raster import vertex
 from . import algebra
 from .borders import border_search
-from .direct import SIDE as TILE_SIDE
-from .direct import factorize
-from .solve import conjugate_gradient
+from .direct import SIDE as FRONT_SIDE
+from .solve import TILE_SIDE as BLOCK_SIDE
+from .solve import Solver, linear_solve
 from .store import materialize
 from .tiles import Tiling
 
@@ -177,13 +177,13 @@ def frontier_search(edges: DataFrame, sources: DataFrame, max_distance: float |
 class ResistanceDistance(Distance):
     """Effective resistance between vertices of an undirected graph.
 
-    ``solver``: None is dense in one task; "cg" and "direct" solve one system for each vertex asked for, by
-    joins and by nested dissection (of square tiles of a raster); "auto" is dense for small graphs, else direct for
+    ``solver``: None is dense in one task; "cg", "amg" and "direct" (of square tiles of a raster), or a function as
+    ``linear_solve`` takes one, solve one system for each vertex asked for; "auto" is dense for small graphs, else direct for
     rasters and cg for others.  An asymmetric graph raises ``ValueError``
     unless ``symmetrize``.  ``disconnected="pinv"`` gives finite values between components.
     """
 
-    solver: str | None = None
+    solver: str | Solver | None = None
     symmetrize: bool = False
     disconnected: str = "inf"
     rtol: float = 1e-9
@@ -203,8 +203,8 @@ class ResistanceDistance(Distance):
             if graph.nv > DENSE_VERTICES:
                 raise ValueError(f"dense resistance is for up to {DENSE_VERTICES} vertices; use solver='cg'")
             return _only(self._dense(both, graph.nv, start), targets)
-        if solver not in ("cg", "direct"):
-            raise ValueError("solver is one of dense, cg, direct, auto")
+        if not callable(solver) and solver not in ("cg", "amg", "direct"):
+            raise ValueError("solver is one of dense, cg, amg, direct, auto, or a function")
         return self._by_solves(both, graph, start, targets, solver)
 
     def _dense(self, edges, n, start):
@@ -230,10 +230,8 @@ class ResistanceDistance(Distance):
         asked = materialize(start.unionByName(goal).distinct().join(labels, "id"), "asked")
         lap = materialize(algebra.submatrix(algebra.laplacian(edges), free, free), "grounded")
         basis = asked.join(free.select("id"), "id", "left_semi").select("id", F.col("id").alias("rhs"), F.lit(1.0).alias("value"))
-        if solver == "direct":
-            found = factorize(lap, Tiling.of_graph(graph, TILE_SIDE)).solve(basis)
-        else:
-            found = conjugate_gradient(lap, basis, self.rtol)
+        tiling = Tiling.of_graph(graph, FRONT_SIDE if solver == "direct" else BLOCK_SIDE)
+        found = linear_solve(lap, basis, solver, self.rtol, tiling=tiling)
         u = materialize(found.join(asked.select("id"), "id", "left_semi"), "potentials")
         own = u.where("id = rhs").select("id", F.col("value").alias("own"))
         a = start.join(asked, "id").join(own, "id", "left").select(F.col("id").alias("src"), "label", F.coalesce("own", F.lit(0.0)).alias("a"))

@@ -1,41 +1,69 @@
-"""Linear systems: conjugate gradients over edge tables with block preconditioning, dense solves in a task."""
+"""Linear systems: preconditioned conjugate gradients over edge tables, dense solves in a task, and a choice of all solvers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .direct import factorize
+from .multigrid import multigrid
 from .store import materialize
 from .tiles import Tiling
 
 DENSE_LIMIT = 2_000
-#: Unknowns of a block of the preconditioner, and right-hand sides that it is applied to together.
-TILE, SIDES = 512, 1_024
+#: The side of the tiles whose blocks make a preconditioner, and right-hand sides that it is applied to together.
+TILE_SIDE, SIDES = 16, 1_024
+#: From (rhs, id, r) and a number of parts to (rhs, id, z).
+Preconditioner = Callable[[DataFrame, int], DataFrame]
+#: From a matrix (src, dst, weight) and right-hand sides (id, rhs, value) to (id, rhs, value).
+Solver = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _packed_block(tile: tuple, block: pd.DataFrame) -> pd.DataFrame:
+    """One row for a tile: its unknowns and the inverse of its block (src, dst, weight) of the matrix."""
+    ids = np.unique(block["src"])
+    a = np.zeros((len(ids), len(ids)))
+    np.add.at(a, (np.searchsorted(ids, block["src"]), np.searchsorted(ids, block["dst"])), block["weight"])
+    return pd.DataFrame({"of_tile": [tile[0]], "ids": [ids], "inverse": [np.linalg.inv(a).tobytes()]})
 
 
-def _solve_tile(residuals: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """(rhs, id, z): the residuals (rhs, id, r) of a tile divided by its block (src, dst, weight) of the matrix."""
-    if not len(residuals):
+def _divide(residuals: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    """(rhs, id, z): the residuals (rhs, id, r) of a tile times the inverse of its block."""
+    if not len(residuals) or not len(blocks):
         return pd.DataFrame({"rhs": [], "id": [], "z": []}).astype({"rhs": "int64", "id": "int64"})
-    ids, columns = np.unique(block["src"]), np.unique(residuals["rhs"])
-    a, r = np.zeros((len(ids), len(ids))), np.zeros((len(ids), len(columns)))
-    np.add.at(a, (np.searchsorted(ids, block["src"]), np.searchsorted(ids, block["dst"])), block["weight"])
+    ids, columns = np.asarray(blocks["ids"].iloc[0]), np.unique(residuals["rhs"])
+    r = np.zeros((len(ids), len(columns)))
     np.add.at(r, (np.searchsorted(ids, residuals["id"]), np.searchsorted(columns, residuals["rhs"])), residuals["r"])
-    z = np.linalg.solve(a, r)
+    z = np.frombuffer(blocks["inverse"].iloc[0]).reshape(len(ids), -1) @ r
     return pd.DataFrame({"rhs": np.tile(columns, len(ids)), "id": np.repeat(ids, len(columns)), "z": z.ravel()})
 
 
-def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, maxiter: int = 100_000, tile: int = TILE) -> DataFrame:
+def block_inverses(matrix: DataFrame, tiling: Tiling) -> Preconditioner:
+    """The blocks of the tiles of a matrix, each inverted once in a task, as a preconditioner."""
+    tile = tiling.tile
+    own = matrix.where(tile(F.col("src")) == tile(F.col("dst"))).withColumn("tile", tile(F.col("src")))
+    blocks = materialize(own.groupBy("tile").applyInPandas(_packed_block, "of_tile long, ids array<long>, inverse binary"), "blocks")
+
+    def divided(residuals: DataFrame, parts: int) -> DataFrame:
+        dealt = residuals.select("rhs", "id", "r", tile(F.col("id")).alias("tile"), F.pmod(F.xxhash64("rhs"), F.lit(parts)).cast("int").alias("part"))
+        sent = blocks.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return dealt.groupBy("tile", "part").cogroup(sent.groupBy("of_tile", "of_part")).applyInPandas(lambda r, m: _divide(r, m), "rhs long, id long, z double")
+
+    return divided
+
+
+def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, maxiter: int = 100_000, tiling: Tiling | None = None, preconditioner: Preconditioner | None = None) -> DataFrame:
     """Solve a positive definite system for all right-hand sides (id, rhs, value) at once.
 
-    Preconditioned by the blocks of ``tile`` consecutive unknowns, each divided by in a task for the block
-    and some right-hand sides; so the number of rounds grows with the blocks that lie between two
-    unknowns.  The vectors of all right-hand sides are one table keyed by (rhs, id); a round is one join
-    with the matrix and sums by ``rhs``.  The number of right-hand sides not yet solved is all the driver
-    sees.  Raises ``RuntimeError`` if ``maxiter`` rounds do not do; ``ValueError`` for a negative ``rtol``.
+    Preconditioned by ``preconditioner``, a function of a table (rhs, id, r) and a number of parts of the right-hand sides that
+    gives (rhs, id, z), as ``multigrid.multigrid`` makes one; by default by the blocks of the ``tiling``, inverted once.
+    The vectors of all right-hand sides are one table keyed by (rhs, id); a round is one join with the matrix and sums by
+    ``rhs``.  The number of right-hand sides not yet solved is all the driver sees.  Raises ``RuntimeError`` if ``maxiter``
+    rounds do not do; ``ValueError`` for a negative ``rtol``.
     """
     if rtol < 0 or maxiter < 1:
         raise ValueError("rtol must not be negative, maxiter at least 1")
@@ -43,20 +71,15 @@ def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, ma
     entries = matrix.select(F.col("src").alias("id"), F.col("dst").alias("from"), "weight")
     wanted = materialize(rhs.select("rhs").distinct(), "cg-sides")
     parts = -(-wanted.count() // SIDES) or 1
-    tile_of = lambda c: F.floor(F.col(c) / tile)
-    blocks = matrix.where(tile_of("src") == tile_of("dst")).withColumn("tile", tile_of("src"))
-    blocks = blocks.select(F.col("tile").alias("of_tile"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), "src", "dst", "weight")
+    divide = preconditioner or block_inverses(matrix, tiling or Tiling(TILE_SIDE))
 
     def divided(table: DataFrame) -> DataFrame:
-        """Add ``z``, the residual ``r`` divided by the blocks."""
-        dealt = table.select("rhs", "id", "r", tile_of("id").alias("tile"), F.pmod(F.xxhash64("rhs"), F.lit(parts)).cast("int").alias("part"))
-        z = dealt.groupBy("tile", "part").cogroup(blocks.groupBy("of_tile", "of_part")).applyInPandas(lambda r, m: _solve_tile(r, m), "rhs long, id long, z double")
-        return table.join(z, ["rhs", "id"])
+        return table.join(divide(table, parts), ["rhs", "id"])
 
     # every right-hand side has a value for every unknown: that is the size of the solution
     start = wanted.crossJoin(matrix.where("src = dst").select(F.col("src").alias("id")).distinct())
     state = start.join(rhs, ["rhs", "id"], "left").select("rhs", "id", F.coalesce("value", F.lit(0.0)).alias("r"), F.lit(0.0).alias("x"))
-    state = materialize(divided(state).withColumn("p", F.col("z")), "cg")
+    state = materialize(divided(materialize(state, "cg")).withColumn("p", F.col("z")), "cg")
     goal = materialize(state.groupBy("rhs").agg(F.sum(F.col("r") * F.col("r")).alias("goal")), "cg")
     for _ in range(maxiter):
         norms = state.groupBy("rhs").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
@@ -66,8 +89,8 @@ def conjugate_gradient(matrix: DataFrame, rhs: DataFrame, rtol: float = 1e-6, ma
         joined = materialize(state.join(ap, ["rhs", "id"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0))), "cg")
         scale = joined.groupBy("rhs").agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
         alpha = F.when(F.col("pap") > 0, F.col("rz") / F.col("pap")).otherwise(0.0)
-        moved = joined.join(scale, "rhs").withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")}).drop("z", "ap", "pap")
-        moved = materialize(divided(moved), "cg")
+        moved = joined.join(scale, "rhs").select("rhs", "id", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "rz")
+        moved = materialize(divided(materialize(moved, "cg")), "cg-round")
         beta = moved.groupBy("rhs").agg(F.sum(F.col("r") * F.col("z")).alias("rz2"), F.max("rz").alias("rz1"))
         beta = beta.select("rhs", F.when(F.col("rz1") > 0, F.col("rz2") / F.col("rz1")).otherwise(0.0).alias("beta"))
         state = moved.join(beta, "rhs").withColumn("p", F.col("z") + F.col("beta") * F.col("p")).select("rhs", "id", "r", "x", "z", "p")
@@ -92,17 +115,24 @@ def dense_solve(matrix: DataFrame, rhs: DataFrame) -> DataFrame:
     return left.groupBy("one").cogroup(right.groupBy("one")).applyInPandas(run, "id long, rhs long, value double")
 
 
-def linear_solve(matrix: DataFrame, rhs: DataFrame, solver: str = "auto", rtol: float = 1e-6, maxiter: int = 100_000, tiling: Tiling | None = None) -> DataFrame:
-    """(id, [rhs,] value) with matrix x = rhs; ``solver`` is "cg", "direct" (nested dissection of ``tiling``),
-    "dense" or "auto" (the last by size, else the first)."""
-    if solver not in ("auto", "cg", "dense", "direct"):
-        raise ValueError("solver is one of auto, cg, direct, dense")
+def linear_solve(matrix: DataFrame, rhs: DataFrame, solver: str | Solver = "auto", rtol: float = 1e-6, maxiter: int = 100_000, tiling: Tiling | None = None) -> DataFrame:
+    """(id, [rhs,] value) with matrix x = rhs.
+
+    ``solver`` is "cg" (conjugate gradients, preconditioned by blocks of ``tiling``), "amg" (by multigrid), "direct" (nested
+    dissection of ``tiling``), "dense", "auto" (dense or cg, by size), or a function of the matrix and the right-hand sides.
+    """
     one = "rhs" not in rhs.columns
     many = rhs.withColumn("rhs", F.lit(0).cast("long")) if one else rhs
     if solver == "auto":
         solver = "dense" if matrix.select("src").distinct().count() <= DENSE_LIMIT else "cg"
-    if solver == "direct":
+    if callable(solver):
+        out = solver(matrix, many).select("id", "rhs", "value")
+    elif solver == "direct":
         out = factorize(matrix, tiling).solve(many)
+    elif solver == "dense":
+        out = dense_solve(matrix, many)
+    elif solver in ("cg", "amg"):
+        out = conjugate_gradient(matrix, many, rtol, maxiter, tiling, multigrid(matrix) if solver == "amg" else None)
     else:
-        out = dense_solve(matrix, many) if solver == "dense" else conjugate_gradient(matrix, many, rtol, maxiter)
+        raise ValueError("solver is one of auto, cg, amg, direct, dense, or a function")
     return out.drop("rhs") if one else out

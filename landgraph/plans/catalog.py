@@ -406,6 +406,47 @@ def resistance_cg(spark, d):
     return rounded(ResistanceDistance(solver="cg", rtol=1e-10)(Graph(undirected(trade(spark, d)), NATIONS), [0, 7], [3, 24]), "distance")
 
 
+#: Resistance between the cells of the last row: all others are eliminated one by one, each by edges between its neighbours.
+_LAST_ROW = f"""WITH RECURSIVE {EDGES}, kron(k, i, j, w) AS (
+  SELECT 0, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0.0 AS DOUBLE)
+  UNION ALL
+  SELECT any_value(k) + 1, i, j, sum(w) FROM (
+    WITH cur AS (SELECT k, i, j, w FROM kron UNION ALL SELECT x.k, e.src, e.dst, e.weight FROM (SELECT DISTINCT k FROM kron) x JOIN mean_edges e ON least(e.src, e.dst) = x.k)
+    SELECT k, i, j, w FROM cur WHERE i <> k AND j <> k
+    UNION ALL SELECT a.k, a.i, b.j, a.w * b.w / s.w FROM cur a JOIN cur b ON a.j = a.k AND b.i = b.k AND a.i <> b.j JOIN (SELECT sum(w) AS w FROM cur WHERE i = k) s ON true)
+  WHERE k < 552 GROUP BY i, j),
+row_edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT i - 552 AS src, j - 552 AS dst, w AS weight FROM kron WHERE k = 552 AND i >= 0
+  UNION ALL SELECT src - 552, dst - 552, weight FROM mean_edges WHERE least(src, dst) >= 552) GROUP BY 1, 2),
+lap AS (SELECT i, j, coalesce(CASE WHEN i = j THEN (SELECT sum(weight) FROM row_edges WHERE src = i) ELSE -weight END, 0.0) AS x
+  FROM range(23) a(i), range(23) b(j) LEFT JOIN row_edges ON src = i AND dst = j), {_inverse("lap", 23)},
+pot AS (SELECT a.i, b.j, coalesce(x, 0.0) AS x FROM range(24) a(i), range(24) b(j) LEFT JOIN inv ON inv.i = a.i AND inv.j = b.j)
+SELECT CAST(a.i + 552 AS BIGINT) AS src, CAST(b.i + 552 AS BIGINT) AS dst, round(a.x + b.x - c.x - e.x, 6) + 0.0 AS distance
+FROM pot a, pot b, pot c, pot e WHERE a.i = a.j AND b.i = b.j AND c.i = a.i AND c.j = b.i AND e.i = b.i AND e.j = a.i"""
+
+
+def _last_row(spark, d, solver: str) -> DataFrame:
+    graph = mean_grid(spark, d)
+    return rounded(ResistanceDistance(solver=solver, rtol=1e-11)(graph, nodes=list(range(graph.nv - SIDE, graph.nv))), "distance")
+
+
+@query(_LAST_ROW)
+def resistance_direct(spark, d):
+    """Over the whole raster, by nested dissection."""
+    return _last_row(spark, d, "direct")
+
+
+@query(_LAST_ROW)
+def resistance_multigrid(spark, d):
+    """Over the whole raster, by conjugate gradients with a multigrid preconditioner."""
+    return _last_row(spark, d, "amg")
+
+
+@query(_LAST_ROW)
+def resistance_blocks(spark, d):
+    """Over the whole raster, by conjugate gradients with the inverses of square blocks."""
+    return _last_row(spark, d, "cg")
+
+
 @query(f"""WITH RECURSIVE {_GROUND} SELECT CAST(i AS BIGINT) AS id, round(sum(x * (n_regionkey + 1)), 6) AS value FROM inv JOIN nation ON j = n_nationkey GROUP BY 1""")
 def linear_solve_query(spark, d):
     free = spark.range(NATIONS - 1).select("id")
