@@ -7,9 +7,9 @@
    nothing of a benchmark and serves any number of them.
 2. Each window of ``n`` consecutive words of a benchmark item gets its terms ordered from the rarest, by
    their frequency in the index.  A window with a term that never occurs is done with.
-3. The places of the rarest term, less its offset in the window, are the first candidates.  Then the lists
-   of the next terms are intersected with the places that the candidates left need: the second, the third,
-   at last all others at once.  What is left begins an exact phrase.
+3. A window is looked for in the segments that have its rarest term.  There the lists of all terms of the benchmark
+   meet it in one task: each less its offset, they are intersected from the shortest on, and what is left begins
+   an exact phrase.  Only lists are shuffled, each once; no place and no candidate is a row.
 4. With ``slop`` > 0 windows whose terms all occur within n + slop words, in any order, are found as well,
    by the places around those of the rarest term.
 
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, need, stage
 
-WINDOW, SEGMENT_TOKENS = 10, 2_000_000
+#: Words of a window, tokens of a segment, windows that a task looks for in a segment.
+WINDOW, SEGMENT_TOKENS, TASK_WINDOWS = 10, 2_000_000, 50_000
 #: A word is a run of these bytes of UTF-8: 0-9, a-z (A-Z are lower-cased) and all beyond ASCII.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -154,16 +156,37 @@ def _position(place: Column) -> Column:
     return place.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _starts(lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """(window, segment, start) in one segment: from its lists (segment, term, places) and the windows (window, need)
+    whose rarest term it has, the places that are in all lists of a window, less the offsets."""
+    windows, starts = [], []
+    if len(lists) and len(asked):
+        of = dict(zip(lists["term"], lists["places"], strict=True))
+        for window, need_ in zip(asked["window"], asked["need"], strict=True):
+            found = sorted(((of.get(r["term"]), r["offset"]) for r in need_), key=lambda x: -1 if x[0] is None else len(x[0]))
+            if found[0][0] is None:
+                continue
+            left = found[0][0]
+            left = left[(left & 0xFFFFFFFF) >= found[0][1]] - found[0][1]
+            for places, offset in found[1:]:
+                at = np.searchsorted(places, left + offset)
+                left = left[places[np.minimum(at, len(places) - 1)] == left + offset]
+                if not len(left):
+                    break
+            windows.append(np.full(len(left), window))
+            starts.append(left)
+    out = pd.DataFrame({c: np.concatenate(x).astype(np.int64) if x else np.empty(0, dtype=np.int64) for c, x in (("window", windows), ("start", starts))})
+    return out.assign(segment=int(lists["segment"].iloc[0]) if len(lists) else 0)[["window", "segment", "start"]]
+
+
 def _exact(needs: DataFrame, postings: DataFrame) -> DataFrame:
     """(window, segment, start): the places where whole windows begin."""
-    left = _first_places(needs, postings).where(_position(F.col("place")) >= F.col("offset")).select("window", "segment", (F.col("place") - F.col("offset")).alias("start"))
-    for rank, terms in ((1, 1), (2, 1), (3, None)):
-        asked = needs.select("window", F.slice("need", rank + 1, terms or 1 << 30).alias("need")).withColumn("size", F.size("need"))
-        wanted = left.join(asked, "window").select("window", "segment", "start", "size", F.explode_outer("need").alias("r"))
-        wanted = stage(wanted.select("window", "segment", "start", "size", "r.term", (F.col("start") + F.col("r.offset")).alias("place")), "wanted-places")
-        got = wanted.join(_present(wanted.where("size > 0"), postings).withColumn("here", F.lit(1)), ["segment", "term", "place"], "left")
-        left = got.groupBy("window", "segment", "start", "size").agg(F.count("here").alias("n")).where("n = size").select("window", "segment", "start")
-    return left
+    first = needs.select("window", F.col("need")[0]["term"].alias("term"), F.transform("need", lambda r: F.struct(r["term"].alias("term"), r["offset"].alias("offset"))).alias("need"))
+    parts = -(-needs.count() // TASK_WINDOWS) or 1
+    asked = postings.select("segment", "term").join(first, "term").select("segment", F.pmod(F.xxhash64("window"), F.lit(parts)).cast("int").alias("part"), "window", "need").toDF("to_segment", "to_part", "window", "need")
+    lists = postings.select("segment", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "term", "places")
+    both = lists.groupBy("segment", "part").cogroup(asked.groupBy("to_segment", "to_part"))
+    return both.applyInPandas(_starts, "window long, segment long, start long")
 
 
 def _near(needs: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
@@ -210,7 +233,7 @@ def find(index: Index, benchmark: DataFrame, n: int = WINDOW, slop: int = 0, ite
     phrases = windows(benchmark, n, item_column, item_text).withColumn("window", F.monotonically_increasing_id())
     phrases = stage(phrases, "phrases")
     terms = phrases.select(F.explode("terms").alias("term")).distinct()
-    postings = stage(index.postings.join(terms, "term", "left_semi"), "benchmark-postings", compression="zstd")
+    postings = index.postings.join(stage(terms, "benchmark-terms"), "term", "left_semi")
     needs = stage(_ordered(phrases, postings), "phrase-terms")
     sizes = needs.select("window", F.size("need").alias("size"))
     found = _exact(needs, postings).join(sizes, "window").select("window", "segment", "start", (F.col("start") + F.col("size")).alias("end"), F.lit(True).alias("exact"))
