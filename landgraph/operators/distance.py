@@ -21,8 +21,10 @@ from ..functions import kernels as K
 from ..graph import GridGraph
 from ..raster import vertex
 from . import algebra
+from .allpairs import BLOCK, all_pairs, pairs
 from .borders import border_search
 from .direct import SIDE as FRONT_SIDE
+from .direct import factorize
 from .solve import TILE_SIDE as BLOCK_SIDE
 from .solve import Solver, linear_solve
 from .store import materialize
@@ -114,8 +116,8 @@ class LCPDistance(Distance):
     """Least-cost paths; an edge costs the reciprocal of its weight.
 
     ``bellman-ford`` searches from the sources only: in the tasks over a broadcast graph if that is
-    small, else over the borders of tiles (of ``tile`` vertices each), and only in tiles that hold targets inside of them.  ``floyd-warshall`` does all pairs of a
-    small graph in one task; ``diagonal="roundtrip"`` gives the cheapest way back for d(i, i).
+    small, else over the borders of tiles (of ``tile`` vertices each), and only in tiles that hold targets inside of them.  ``floyd-warshall`` does all pairs by
+    blocks of the matrix; ``diagonal="roundtrip"`` gives the cheapest way back for d(i, i).
     """
 
     algorithm: str = "bellman-ford"
@@ -129,11 +131,13 @@ class LCPDistance(Distance):
 
     def between(self, graph, sources, targets):
         start = _everyone(graph) if sources is None else sources.distinct()
-        edges = None if self.kernel is False else _collected(graph)
         if self.algorithm == "floyd-warshall":
-            if edges is None or graph.nv > DENSE_VERTICES:
-                raise ValueError(f"floyd-warshall is for up to {DENSE_VERTICES} vertices")
-            return self._all_pairs(graph.nv, edges, start, targets)
+            blocks = all_pairs(graph.edges(), graph.nv, self.diagonal == "roundtrip")
+            if sources is None:
+                return _only(pairs(blocks, graph.nv), targets)
+            blocks = blocks.join(start.select(F.floor(F.col("id") / BLOCK).alias("i")).distinct(), "i", "left_semi").select("i", "j", "d")
+            return _only(pairs(blocks, graph.nv).join(start.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "distance"), targets)
+        edges = None if self.kernel is False else _collected(graph)
         if edges is None:
             return frontier_search(graph.edges(), start, tile=self.tile, width=getattr(graph, "width", None), targets=targets)
         n = graph.nv
@@ -148,20 +152,6 @@ class LCPDistance(Distance):
 
         return _only(start.repartition(_tasks(start)).mapInPandas(run, _RESULT), targets)
 
-    def _all_pairs(self, n, edges, start, targets):
-        roundtrip = self.diagonal == "roundtrip"
-
-        def run(parts):
-            d = None
-            for part in parts:
-                if d is None:
-                    d = K.floyd_warshall(K.dense(*edges, n), roundtrip)
-                for s in part["id"]:
-                    at = np.flatnonzero(np.isfinite(d[int(s)]))
-                    yield pd.DataFrame({"src": s, "dst": at, "distance": d[int(s)][at]})
-
-        return _only(start.coalesce(1).mapInPandas(run, _RESULT), targets)
-
 
 def _tasks(df: DataFrame) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
@@ -246,14 +236,15 @@ class RSPDistance(Distance):
     """Expected cost of randomised shortest paths at inverse temperature ``theta``.
 
     ``cost`` is a column function of the weight (default -log) or a table (src, dst, cost).  Only
-    the targets asked for are solved: dense in the tasks for small graphs, else by sums over walks
-    (``method="walks"``), which converge for costs that are not negative.  Vertices without a way
-    out reach nothing but themselves.
+    the targets asked for are solved, twice each with one sparse factor (``method="direct"``: nested dissection of square tiles
+    of a raster, else of consecutive ids), whatever the size and the signs of costs; "dense" does so in
+    the tasks for small graphs, "walks" by sums over walks, which converge for costs that are not negative.
+    Vertices without a way out reach nothing but themselves.
     """
 
     theta: float
     cost: Callable[[Column], Column] | DataFrame | None = None
-    method: str = "auto"
+    method: str = "direct"
     rtol: float = 1e-12
 
     def cost_edges(self, graph) -> DataFrame:
@@ -266,8 +257,12 @@ class RSPDistance(Distance):
     def between(self, graph, sources, targets):
         goal = _everyone(graph) if targets is None else targets.distinct()
         table, n = self.cost_edges(graph), graph.nv
-        method = self.method if self.method != "auto" else "dense" if n <= DENSE_VERTICES else "walks"
-        found = self._dense(table, n, goal) if method == "dense" else self._walks(table, goal)
+        if self.method == "direct":
+            found = self._direct(graph, table, goal)
+        elif self.method in ("dense", "walks"):
+            found = self._dense(table, n, goal) if self.method == "dense" else self._walks(table, goal)
+        else:
+            raise ValueError("method is one of direct, dense, walks")
         return found if sources is None else found.join(sources.distinct().withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "distance")
 
     def _dense(self, table, n, goal):
@@ -288,14 +283,33 @@ class RSPDistance(Distance):
 
         return goal.repartition(min(8, _tasks(goal))).mapInPandas(run, _RESULT)
 
+    def _steps(self, table) -> DataFrame:
+        """(to, id, w, cost): W, the random walk's probabilities times exp(-theta cost)."""
+        total = algebra.degree(table.select("src", "dst", "weight")).withColumnRenamed("id", "src")
+        w = (F.col("weight") / F.col("degree") * F.exp(-self.theta * F.col("cost"))).alias("w")
+        return materialize(table.join(total, "src").select(F.col("src").alias("to"), F.col("dst").alias("id"), w, "cost"), "walk")
+
+    def _direct(self, graph, table, goal):
+        """(I - W) z = e_t and (I - W) y = (C W) z, both for all targets, with one factor."""
+        steps = self._steps(materialize(table, "costs"))
+        matrix = steps.select(F.col("to").alias("src"), F.col("id").alias("dst"), (-F.col("w")).alias("weight"))
+        matrix = matrix.unionByName(_everyone(graph).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")))
+        factor = factorize(matrix, Tiling.of_graph(graph, FRONT_SIDE), definite=False)
+        z = materialize(factor.solve(goal.select("id", F.col("id").alias("rhs"), F.lit(1.0).alias("value"))), "walks")
+        paid = z.join(steps, "id").groupBy(F.col("to").alias("id"), "rhs").agg(F.sum(F.col("cost") * F.col("w") * F.col("value")).alias("value"))
+        y = factor.solve(paid).withColumnRenamed("value", "y")
+        return self._minus_own(z.where("value > 0").join(y, ["id", "rhs"], "left").select(F.col("id").alias("src"), F.col("rhs").alias("dst"), (F.coalesce("y", F.lit(0.0)) / F.col("value")).alias("d")))
+
+    def _minus_own(self, d: DataFrame) -> DataFrame:
+        own = d.where("src = dst").select("dst", F.col("d").alias("own"))
+        return d.join(own, "dst").select("src", "dst", (F.col("d") - F.col("own")).alias("distance"))
+
     def _walks(self, table, goal):
         """z = e_t + W z and y = (C W) z + W y, both for all targets, until they no longer grow."""
         table = materialize(table, "costs")
         if not table.where("cost < 0").isEmpty():
             raise ValueError("sums over walks need costs of at least zero")
-        total = algebra.degree(table.select("src", "dst", "weight")).withColumnRenamed("id", "src")
-        steps = table.join(total, "src").select(F.col("src").alias("to"), F.col("dst").alias("id"), (F.col("weight") / F.col("degree") * F.exp(-self.theta * F.col("cost"))).alias("w"), "cost")
-        steps = materialize(steps, "walk")
+        steps = self._steps(table)
         new = goal.select("id", F.col("id").alias("t"), F.lit(1.0).alias("z"), F.lit(0.0).alias("y"))
         total = materialize(new, "walks")
         while True:
@@ -305,6 +319,4 @@ class RSPDistance(Distance):
             left = new.join(total.select("id", "t", F.col("z").alias("zz"), F.col("y").alias("yy")), ["id", "t"])
             if left.where((F.col("z") > self.rtol * F.col("zz")) | (F.col("y") > self.rtol * F.col("yy"))).isEmpty():
                 break
-        d = total.where("z > 0").select(F.col("id").alias("src"), F.col("t").alias("dst"), (F.col("y") / F.col("z")).alias("d"))
-        own = d.where("src = dst").select("dst", F.col("d").alias("own"))
-        return d.join(own, "dst").select("src", "dst", (F.col("d") - F.col("own")).alias("distance"))
+        return self._minus_own(total.where("z > 0").select(F.col("id").alias("src"), F.col("t").alias("dst"), (F.col("y") / F.col("z")).alias("d")))
