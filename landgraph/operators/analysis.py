@@ -3,7 +3,7 @@
 The raster is cut into tiles: cores of ``batch_size`` windows and the same buffer.  Tiles are dealt
 to tasks as rows of cells; a task cuts the windows out of the dense tile.  A tile is of bounded
 size, so memory does not depend on the raster, and cells are repeated for few tiles instead of for
-every window that covers them.
+every window that covers them.  Any ``Distance`` serves that defines ``in_windows``.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..functions.proximity import Custom
 from ..raster import Raster, padded_shape
-from .distance import Distance, EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance
+from .distance import Distance
 from .windows import WindowSpec
 
 
@@ -85,25 +84,6 @@ def _cut(tile: np.ndarray, spec: WindowSpec) -> np.ndarray:
     return views.reshape(-1, spec.total, spec.total)
 
 
-def window_distances(metric: Distance, p: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
-    """Distances from the centre of each window of ``p``, and the adjoint of their gradient."""
-    n, h, w = p.shape
-    row, col = h // 2, w // 2
-    if isinstance(metric, EuclideanDistance):
-        d = np.hypot(np.arange(h)[:, None] - row, np.arange(w)[None, :] - col)
-        return np.broadcast_to(d, p.shape), np.zeros_like
-    if isinstance(metric, LCPDistance):
-        d = K.window_lcp(p, row, col)
-        return d, lambda g: K.window_lcp_adjoint(p, d, g)
-    if isinstance(metric, ResistanceDistance):
-        parts = [K.window_resistance(x, row * w + col) for x in p]
-        return np.array([d for d, _, _ in parts]), lambda g: np.array([K.window_resistance_adjoint(x, v, at, y) for x, (_, v, at), y in zip(p, parts, g, strict=True)])
-    if isinstance(metric, RSPDistance) and metric.cost is None:
-        d = np.array([K.window_rsp(x, row * w + col, metric.theta) for x in p])
-        return d, lambda g: np.array([K.window_rsp_adjoint(x, row * w + col, metric.theta, y) for x, y in zip(p, g, strict=True)])
-    raise ValueError(f"{metric} has no kernel for windows")
-
-
 def _proximities(proximity, d: np.ndarray, core: slice) -> np.ndarray:
     with np.errstate(over="ignore", invalid="ignore"):
         k = np.where(np.isfinite(d), proximity.value(np.where(np.isfinite(d), d, 1.0)), 0.0)
@@ -120,7 +100,7 @@ class ConnectivityAnalysis(WindowedAnalysis):
 
         def one(tile: int, q: np.ndarray, p: np.ndarray) -> pd.DataFrame:
             qs, ps = _cut(q, spec), _cut(p, spec)
-            k = _proximities(proximity, window_distances(metric, ps)[0], core)
+            k = _proximities(proximity, metric.in_windows(ps)[0], core)
             c = (qs[:, core, core].sum(axis=(1, 2)) * (k * qs).sum(axis=(1, 2))) if q_weighted else k.sum(axis=(1, 2))
             return pd.DataFrame({"window_id": [tile], "connectivity": [float(c.sum())]})
 
@@ -151,7 +131,7 @@ class SensitivityAnalysis(WindowedAnalysis):
             out = np.zeros_like(q)
             if inside:
                 qs, ps = _cut(q, spec)[inside], _cut(p, spec)[inside]
-                d, adjoint = window_distances(metric, ps)
+                d, adjoint = metric.in_windows(ps)
                 k, mass = _proximities(proximity, d, core), qs[:, core, core].sum(axis=(1, 2))[:, None, None]
                 if var == "quality":
                     g = mass * k if q_weighted else np.zeros_like(k)

@@ -30,6 +30,7 @@ from .solve import Solver, linear_solve
 from .store import materialize
 from .tiles import Tiling
 
+Adjoint = Callable[[np.ndarray], np.ndarray]
 #: Edges of a graph that is broadcast to the tasks of a kernel; beyond it, joins are used.
 KERNEL_EDGES, DENSE_VERTICES = 200_000, 2_500
 #: Beyond it, vertices of a tile that is searched at once.
@@ -70,6 +71,11 @@ class Distance(ABC):
     def between(self, graph, sources: DataFrame | None, targets: DataFrame | None) -> DataFrame:
         """(src, dst, distance) of all sources and targets, tables of ``id``."""
 
+    def in_windows(self, p: np.ndarray) -> tuple[np.ndarray, Adjoint]:
+        """For windowed analyses: distances from the centre of each window of the permeabilities ``p`` (windows, rows,
+        columns) to its cells (inf: none), and the adjoint: from the gradient by distances to that by permeabilities."""
+        raise ValueError(f"{self} has no kernel for windows: it does not define in_windows")
+
 
 def _everyone(graph) -> DataFrame:
     return graph.edges().sparkSession.range(graph.nv).select("id")
@@ -99,6 +105,11 @@ class EuclideanDistance(Distance):
         both = sides[0].crossJoin(sides[1])  # the full table is what was asked for; see ``euclidean_within``
         return both.select("src", "dst", F.hypot(F.col("src_r") - F.col("dst_r"), F.col("src_c") - F.col("dst_c")).alias("distance"))
 
+    def in_windows(self, p):
+        _, h, w = p.shape
+        d = np.hypot(np.arange(h)[:, None] - h // 2, np.arange(w)[None, :] - w // 2)
+        return np.broadcast_to(d, p.shape), np.zeros_like
+
 
 def euclidean_within(cells: DataFrame, limit: int, width: int) -> DataFrame:
     """Pairs of cells (row, col) less than ``limit`` apart, by a join of bins instead of all pairs."""
@@ -152,6 +163,10 @@ class LCPDistance(Distance):
 
         return _only(start.repartition(_tasks(start)).mapInPandas(run, _RESULT), targets)
 
+    def in_windows(self, p):
+        d = K.window_lcp(p, p.shape[1] // 2, p.shape[2] // 2)
+        return d, lambda g: K.window_lcp_adjoint(p, d, g)
+
 
 def _tasks(df: DataFrame) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
@@ -230,6 +245,12 @@ class ResistanceDistance(Distance):
         pairs = a.join(b, "label").join(cross, ["src", "dst"], "left")
         return pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("a") + F.col("b") - 2 * F.coalesce("value", F.lit(0.0))).alias("distance"))
 
+    def in_windows(self, p):
+        _, h, w = p.shape
+        parts = [K.window_resistance(x, h // 2 * w + w // 2) for x in p]
+        adjoint = lambda g: np.array([K.window_resistance_adjoint(x, v, at, y) for x, (_, v, at), y in zip(p, parts, g, strict=True)])
+        return np.array([d for d, _, _ in parts]), adjoint
+
 
 @dataclass(frozen=True)
 class RSPDistance(Distance):
@@ -320,3 +341,11 @@ class RSPDistance(Distance):
             if left.where((F.col("z") > self.rtol * F.col("zz")) | (F.col("y") > self.rtol * F.col("yy"))).isEmpty():
                 break
         return self._minus_own(total.where("z > 0").select(F.col("id").alias("src"), F.col("t").alias("dst"), (F.col("y") / F.col("z")).alias("d")))
+
+    def in_windows(self, p):
+        if self.cost is not None:
+            raise ValueError("windows take the default cost of randomised paths")
+        _, h, w = p.shape
+        at = h // 2 * w + w // 2
+        adjoint = lambda g: np.array([K.window_rsp_adjoint(x, at, self.theta, y) for x, y in zip(p, g, strict=True)])
+        return np.array([K.window_rsp(x, at, self.theta) for x in p]), adjoint

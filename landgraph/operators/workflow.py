@@ -36,10 +36,47 @@ def elasticity(sensitivity: DataFrame, permeability: Raster) -> DataFrame:
     return sensitivity.join(p, ["row", "col"]).select("row", "col", F.nanvl(F.col("sensitivity") * F.col("value"), F.lit(0.0)).alias("elasticity"))
 
 
+#: Bins of a histogram, and how often it is refined.
+BINS, REFINED = 2_048, 3
+
+
+def quantiles(cells: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """(share, cut): exact, interpolated quantiles of the values that are not null, one row for each share; a plan, no action.
+
+    The values whose ranks are asked for are closed in on by histograms: of the values left for a rank the bin is
+    kept that holds it, with its least and greatest value, ``REFINED`` times; then the different values left are counted.  No
+    task sees more than the bins, or the different values of one bin of the last histogram.
+    """
+    values = cells.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    of = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    at = F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")
+    exact = F.col("share") * (F.col("n") - 1)
+    below, part = F.floor(exact), exact - F.floor(exact)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), below.alias("rank"), (1 - part).alias("part")), F.struct(F.lit(1).alias("end"), (below + 1).alias("rank"), part.alias("part")))).alias("r")
+    asked = of.where("n > 0").select("n", "low", "high", at).select("share", ends, "low", "high")
+    asked = asked.select("share", "r.end", "r.part", "r.rank", "low", "high").where("part > 0")
+    key = ("share", "end", "part", "rank")
+
+    def holding(counted: DataFrame, by: str) -> DataFrame:
+        """The row of each rank in which it lies, with the rank within that row."""
+        before = F.sum("n").over(W.partitionBy(*key).orderBy(by)) - F.col("n")
+        met = counted.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        return met.withColumn("rank", F.col("rank") - F.col("before"))
+
+    for _ in range(REFINED):
+        left = values.join(F.broadcast(asked), (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))  # two rows a share
+        wide = F.col("high") - F.col("low")
+        place = F.when(wide > 0, F.least(F.floor((F.col("v") - F.col("low")) / wide * BINS), F.lit(BINS - 1))).otherwise(0)
+        bins = left.groupBy(*key, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        asked = holding(bins, "bin").select(*key, "low", "high")
+    left = values.join(F.broadcast(asked), (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+    found = holding(left.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n")), "v")
+    return found.groupBy("share").agg(F.sum(F.col("part") * F.col("v")).alias("cut"))
+
+
 def above_percentile(cells: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """The rows whose ``column`` is at least its ``share`` quantile (exact, interpolated)."""
-    cut = cells.agg(F.percentile(column, F.lit(share))).first()[0]
-    return cells.where(F.col(column) >= F.lit(cut))
+    return cells.join(F.broadcast(quantiles(cells, column, [share]).select(F.col("cut").alias("_cut"))), F.col(column) >= F.col("_cut")).drop("_cut")
 
 
 def sample_cells(cells: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -113,8 +150,9 @@ def fit_figures(df: DataFrame, observed: str = "observed", predicted: str = "pre
 def clipped_log(cells: DataFrame, column: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Add ``clipped``: the logarithm of positive values between two of its quantiles."""
     logs = cells.withColumn("clipped", F.when(F.col(column) > 0, F.log(column)))
-    a, b = logs.agg(F.percentile("clipped", F.lit(low)), F.percentile("clipped", F.lit(high))).first()
-    return logs.withColumn("clipped", F.when(F.col("clipped").isNotNull(), F.least(F.greatest("clipped", F.lit(a)), F.lit(b))))
+    cuts = quantiles(logs, "clipped", [low, high]).agg(F.min("cut").alias("_a"), F.max("cut").alias("_b"))
+    clipped = F.when(F.col("clipped").isNotNull(), F.least(F.greatest("clipped", F.col("_a")), F.col("_b")))
+    return logs.crossJoin(F.broadcast(cuts)).withColumn("clipped", clipped).drop("_a", "_b")
 
 
 def squared_sum(distances: DataFrame) -> DataFrame:

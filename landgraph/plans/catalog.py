@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..functions.proximity import Exponential, Threshold, TruncatedExponential
 from ..graph import QUEEN, Graph, GridGraph, mean_weight
 from ..operators import algebra, landmarks, windows, workflow
 from ..operators.analysis import ConnectivityAnalysis, SensitivityAnalysis
-from ..operators.distance import EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
+from ..operators.distance import Distance, EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
 from ..operators.solve import linear_solve
 from ..raster import Raster, coord_to_index, index_to_coord
 
@@ -426,7 +427,7 @@ FROM pot a, pot b, pot c, pot e WHERE a.i = a.j AND b.i = b.j AND c.i = a.i AND
 
 def _last_row(spark, d, solver: str) -> DataFrame:
     graph = mean_grid(spark, d)
-    return rounded(ResistanceDistance(solver=solver, rtol=1e-11)(graph, nodes=list(range(graph.nv - SIDE, graph.nv))), "distance")
+    return rounded(ResistanceDistance(solver=solver, rtol=1e-10)(graph, nodes=list(range(graph.nv - SIDE, graph.nv))), "distance")
 
 
 @query(_LAST_ROW)
@@ -574,6 +575,29 @@ def connectivity_lcp(spark, d):
     return rounded(ConnectivityAnalysis(q, p, LCPDistance(), TruncatedExponential(3.0, 6.0), 2, 5).run(), "connectivity")
 
 
+class LargerStep(Distance):
+    """A user's own metric: the larger of the differences of rows and columns, which permeability plays no part in."""
+
+    def between(self, graph, sources, targets):
+        everyone = graph.edges().sparkSession.range(graph.nv).select("id")
+        at = lambda side, c: (everyone if side is None else side).select(F.col("id").alias(c))
+        places = [(F.floor(F.col(c) / graph.width), F.pmod(F.col(c), F.lit(graph.width))) for c in ("src", "dst")]
+        apart = [F.abs(a - b) for a, b in zip(*places, strict=True)]
+        return at(sources, "src").crossJoin(at(targets, "dst")).select("src", "dst", F.greatest(*apart).cast("double").alias("distance"))
+
+    def in_windows(self, p):
+        _, h, w = p.shape
+        d = np.maximum(np.abs(np.arange(h) - h // 2)[:, None], np.abs(np.arange(w) - w // 2)[None, :]).astype(float)
+        return np.broadcast_to(d, p.shape), np.zeros_like
+
+
+@query(f"""WITH {RAST} SELECT round(sum(a.q * b.q * exp(-greatest(abs(a.r - b.r), abs(a.c - b.c)) / 2)), 6) AS connectivity FROM rast a, rast b
+WHERE a.r BETWEEN 3 AND 20 AND a.c BETWEEN 3 AND 20 AND abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 AND (a.r <> b.r OR a.c <> b.c)""")
+def connectivity_own_metric(spark, d):
+    q, p = both_rasters(spark, d)
+    return rounded(ConnectivityAnalysis(q, p, LargerStep(), Exponential(2.0), 3, 6).run(), "connectivity")
+
+
 _EUCLID_GRADIENT = f"""{RAST}, pair AS (SELECT a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc, a.q AS aq, b.q AS bq,
   exp(-sqrt(CAST((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS DOUBLE)) / 2) AS k FROM rast a, rast b
   WHERE abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 AND (a.r <> b.r OR a.c <> b.c) AND a.r BETWEEN 3 AND 20 AND a.c BETWEEN 3 AND 20),
@@ -607,11 +631,10 @@ def sensitivity_rsp(spark, d):
 # --- landmarks and workflow (N, X) ------------------------------------------------------------
 
 
-@query(f"""WITH {RAST} SELECT t.r AS "row", t.c AS "col", round(sum(rast.p), 6) AS value FROM rast t JOIN rast ON abs(rast.r - t.r) <= 2 AND abs(rast.c - t.c) <= 2
-WHERE t.r % 5 = 0 AND t.c % 7 = 0 GROUP BY 1, 2""")
+@query(f"""WITH {RAST} SELECT t.r AS "row", t.c AS "col", round(sum(rast.p), 6) AS value FROM rast t JOIN rast ON abs(rast.r - t.r) <= 2 AND abs(rast.c - t.c) <= 2 GROUP BY 1, 2""")
 def sum_neighborhood(spark, d):
     r = rast(spark, d)
-    return rounded(landmarks.sum_neighborhood(r, r.cells.where("row % 5 = 0 and col % 7 = 0"), 2), "value")
+    return rounded(landmarks.sum_neighborhood(r, r.cells, 2), "value")
 
 
 @query(f'WITH {RAST} SELECT CAST(r // 3 * 3 + 1 AS INTEGER) AS "row", CAST(c // 3 * 3 + 1 AS INTEGER) AS "col", round(sum(p) / 9, 6) AS value FROM rast GROUP BY 1, 2')
