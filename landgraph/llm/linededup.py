@@ -82,7 +82,7 @@ def _keys(line: Column, table: Column, size: int) -> Column:
 
     def key(h: Column) -> Column:
         rarity = F.get(table, h.bitwiseAND(F.lit(size - 1)).cast("int"))
-        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.coalesce(rarity, F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))  # never null, so sorted as plain numbers
 
     return F.sort_array(F.transform(_words(line), key))
 
@@ -183,8 +183,7 @@ def _in_short_lists(lines: DataFrame, threshold: float) -> DataFrame:
     first = (F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - _EPS) + 1).cast("int")
     shorter = _short_postings(lines.withColumn("prefix", F.slice("prefix", F.lit(1), first)), "a")
     a, b = (F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab")
-    # lists are short, so a hashed partition is no larger than the others; sorting the postings would cost more than joining them
-    pairs = _short_postings(lines, "b").join(shorter.hint("shuffle_hash"), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
+    pairs = shorter.join(_short_postings(lines, "b"), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
     pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     return pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in _LINE)).distinct()
 
