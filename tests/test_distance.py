@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from landgraph.functions import kernels as K
 from landgraph.graph import Graph, GridGraph, mean_weight
 from landgraph.operators import algebra
+from landgraph.operators import borders as B
 from landgraph.operators import distance as D
 from landgraph.operators import solve as S
 from landgraph.operators.distance import EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
@@ -89,7 +90,7 @@ def test_searches_agree_and_unreachable_is_absent(spark):
 @pytest.mark.parametrize("tile,part", [(7, 256), (12, 2), (1000, 256)])
 def test_search_by_tiles(spark, monkeypatch, tile, part):
     """Paths that leave tiles and come back, one-way edges, several sources to a task."""
-    monkeypatch.setattr(D, "SOURCE_PART", part)
+    monkeypatch.setattr(B, "SOURCE_PART", part)
     p = np.random.default_rng(8).random((6, 6)) + 0.05
     p[1::2, 1:] = 0.01  # a comb: the cheap ways go around
     p[3, :] = 0
@@ -103,10 +104,10 @@ def test_search_by_tiles(spark, monkeypatch, tile, part):
     assert np.allclose(matrix(LCPDistance(kernel=False, tile=6)(ring), 20), matrix(LCPDistance()(ring), 20))
 
 
-@pytest.mark.parametrize("tile,sides", [(9, 1024), (20, 3)])
-def test_resistance_by_blocks(spark, monkeypatch, tile, sides):
+@pytest.mark.parametrize("side,sides", [(3, 1024), (5, 3)])
+def test_resistance_by_blocks(spark, monkeypatch, side, sides):
     monkeypatch.setattr(S, "SIDES", sides)
-    monkeypatch.setattr(S.conjugate_gradient, "__defaults__", (1e-6, 100_000, tile))
+    monkeypatch.setattr(D, "BLOCK_SIDE", side)
     _, g = grid(spark, 8)
     nodes = [0, 5, 17, 40, 63]
     a, b = (matrix(ResistanceDistance(**how)(g, nodes=nodes), 64)[np.ix_(nodes, nodes)] for how in ({}, {"solver": "cg"}))
