@@ -259,13 +259,13 @@ class RSPDistance(Distance):
     ``cost`` is a column function of the weight (default -log) or a table (src, dst, cost).  Only
     the targets asked for are solved, twice each with one sparse factor (``method="direct"``: nested dissection of square tiles
     of a raster, else of consecutive ids), whatever the size and the signs of costs; "dense" does so in
-    the tasks for small graphs, "walks" by sums over walks, which converge for costs that are not negative.
+    the tasks, and "auto" takes it for small graphs; "walks" are sums over walks, which converge for costs that are not negative.
     Vertices without a way out reach nothing but themselves.
     """
 
     theta: float
     cost: Callable[[Column], Column] | DataFrame | None = None
-    method: str = "direct"
+    method: str = "auto"
     rtol: float = 1e-12
 
     def cost_edges(self, graph) -> DataFrame:
@@ -278,12 +278,13 @@ class RSPDistance(Distance):
     def between(self, graph, sources, targets):
         goal = _everyone(graph) if targets is None else targets.distinct()
         table, n = self.cost_edges(graph), graph.nv
-        if self.method == "direct":
+        method = ("dense" if n <= DENSE_VERTICES else "direct") if self.method == "auto" else self.method
+        if method == "direct":
             found = self._direct(graph, table, goal)
-        elif self.method in ("dense", "walks"):
-            found = self._dense(table, n, goal) if self.method == "dense" else self._walks(table, goal)
+        elif method in ("dense", "walks"):
+            found = self._dense(table, n, goal) if method == "dense" else self._walks(table, goal)
         else:
-            raise ValueError("method is one of direct, dense, walks")
+            raise ValueError("method is one of auto, direct, dense, walks")
         return found if sources is None else found.join(sources.distinct().withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "distance")
 
     def _dense(self, table, n, goal):

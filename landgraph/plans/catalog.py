@@ -466,7 +466,7 @@ e AS (SELECT zcz.i, zcz.j, y / x AS d FROM zcz JOIN inv ON inv.i = zcz.i AND inv
 @query(f"""WITH RECURSIVE {_WALK} SELECT CAST(e.i AS BIGINT) AS src, CAST(e.j AS BIGINT) AS dst, round(e.d - o.d, 6) + 0.0 AS distance
 FROM e JOIN e o ON o.i = e.j AND o.j = e.j WHERE e.j IN (2, 11)""")
 def rsp_to_targets(spark, d):
-    return rounded(RSPDistance(0.5)(Graph(trade(spark, d), NATIONS), targets=[2, 11]), "distance")
+    return rounded(RSPDistance(0.5, method="direct")(Graph(trade(spark, d), NATIONS), targets=[2, 11]), "distance")
 
 
 @query(f"""WITH RECURSIVE {_WALK} SELECT CAST(e.i AS BIGINT) AS src, CAST(e.j AS BIGINT) AS dst, round(e.d - o.d, 6) + 0.0 AS distance

@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..raster import Raster
 
 
-def read_csv_raster(spark: SparkSession, path: str, separator: str = ",", nodata: str = "keep") -> Raster:
-    """A dense matrix without a header: one line for each row.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of one text file, lines from 0, read in splits by many tasks.
 
-    Lines need their number, so a file is read whole by one task, as its text.
+    The lines of each split are counted first, and those of the splits before it are added to a line's place in its own.
     """
+    table = spark.read.text(path)
+    if len(files := table.inputFiles()) != 1:
+        raise ValueError(f"{path} names {len(files)} files; lines are numbered within one")
+    # a split is read in order and by one task, so within it these ids go up by one
+    lines = table.select(F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("split")) - F.col("n")  # a row for each split
+    return lines.join(F.broadcast(counts.select("split", (before - F.col("first")).alias("shift"))), "split").select((F.col("at") + F.col("shift")).alias("line"), "text")
 
-    def parse(parts):
-        for part in parts:
-            for content in part["content"]:
-                rows = [line.split(separator) for line in bytes(content).decode().splitlines() if line.strip()]
-                a = np.array([[float(x) if x.strip() not in ("", "NA") else np.nan for x in r] for r in rows])
-                i, j = np.indices(a.shape)
-                yield pd.DataFrame({"row": i.ravel(), "col": j.ravel(), "value": a.ravel()})
 
-    return Raster.of(spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row int, col int, value double"), nodata=nodata)
+def read_csv_raster(spark: SparkSession, path: str, separator: str = ",", nodata: str = "keep") -> Raster:
+    """A dense matrix without a header: one line of one file for each row, read by as many tasks as the file has splits.
+
+    Empty fields and NA are NaN.  A blank line is a row without cells.
+    """
+    field = F.trim("field")
+    value = F.when(field.isin("", "NA"), float("nan")).otherwise(field.cast("double"))
+    fields = numbered_lines(spark, path).where(F.trim("text") != "").select(F.col("line").cast("int").alias("row"), F.posexplode(F.split("text", F.lit(re.escape(separator)))).alias("col", "field"))
+    return Raster.of(fields.select("row", "col", value.alias("value")), nodata=nodata)
 
 
 def read_npy_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +65,7 @@ def read_cells(spark: SparkSession, path: str, nodata: str = "keep") -> Raster:
 
 
 def write_cells(raster: Raster, path: str, tile: int = 1024) -> None:
-    """Parquet, partitioned by rows of tiles, so windows read only what they cover."""
+    """Parquet, partitioned by rows of tiles (``band``), of which a reader that filters by it reads only some."""
     raster.cells.withColumn("band", F.floor(F.col("row") / tile).cast("int")).write.partitionBy("band").parquet(path)
 
 

@@ -84,6 +84,42 @@ def test_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 12
 
 
+def test_csv_in_splits(spark, tmp_path):
+    a = np.round(np.random.default_rng(3).random((300, 17)), 5)
+    lines = [",".join(map(str, r)) for r in a]
+    lines[7], lines[40] = "", " , NA,," + ",".join(map(str, a[40, 3:]))
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        r = io.read_csv_raster(spark, str(tmp_path / "a.csv"))
+        assert r.shape == (300, 17) and io.numbered_lines(spark, str(tmp_path / "a.csv")).rdd.getNumPartitions() > 5
+        got = np.full((300, 17), -1.0)
+        for x in r.cells.collect():
+            got[x.row, x.col] = x.value
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    a[7], a[40, :3] = -1.0, np.nan
+    assert np.array_equal(got, a, equal_nan=True)
+    (tmp_path / "two").mkdir()
+    for n in "ab":
+        (tmp_path / "two" / f"{n}.csv").write_text("1,2\n")
+    with pytest.raises(ValueError):
+        io.read_csv_raster(spark, str(tmp_path / "two"))
+    (tmp_path / "semi.csv").write_text("1|2\n3|4\n")
+    assert io.read_csv_raster(spark, str(tmp_path / "semi.csv"), "|").shape == (2, 2)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.95, 1.0])
+def test_quantiles(spark, share, monkeypatch):
+    monkeypatch.setattr(X, "BINS", 4)
+    values = [1.0] * 9 + [2.5, -3.0, 1e9, 7.0, 7.0, 8.25, 0.1, 0.2, 0.3] + [None]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    got = X.quantiles(frame, "x", [share]).collect()
+    assert [x.share for x in got] == [share] and got[0].cut == pytest.approx(np.quantile(values[:-1], share), rel=1e-12)
+    assert X.quantiles(frame.where("x is null"), "x", [share]).count() == 0
+
+
 def test_rescoring_stream(spark, tmp_path):
     spec = WindowSpec((8, 8), 3, 1)
     r = raster(spark, np.zeros((8, 8)))
