@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.proximity import Exponential, Threshold, TruncatedExponential
 from ..graph import QUEEN, Graph, GridGraph, mean_weight
 from ..operators import algebra, landmarks, windows, workflow
+from ..operators.adjoint import path_sum_gradient
 from ..operators.analysis import ConnectivityAnalysis, SensitivityAnalysis
 from ..operators.distance import Distance, EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
 from ..operators.solve import linear_solve
@@ -381,6 +382,17 @@ def average_path_length(spark, d):
     return rounded(workflow.average_path_length(found, NATIONS), "average_path_length")
 
 
+@query(f"""WITH RECURSIVE {_FW}, used AS (
+  SELECT src, dst, weight, (SELECT count(*) FROM fw a, fw b, fw p WHERE a.k = 24 AND b.k = 24 AND p.k = 24 AND a.j = src AND b.i = dst AND p.i = a.i AND p.j = b.j
+    AND isfinite(p.d) AND abs(a.d + 1 / weight + b.d - p.d) < 1e-12) AS n FROM trade WHERE src <> dst)
+SELECT src, dst, round(-n / (weight * weight) / 625, 6) + 0.0 AS gradient FROM used WHERE n > 0""")
+def average_path_length_gradient(spark, d):
+    """By the weight of each edge that shortest paths use."""
+    graph = Graph(trade(spark, d), NATIONS)
+    found = path_sum_gradient(graph.edges(), LCPDistance()(graph))
+    return rounded(found.withColumn("gradient", F.col("gradient") / float(NATIONS**2)), "gradient")
+
+
 def _inverse(table: str, n: int) -> str:
     """Gauss-Jordan inversion of (i, j, x), one pivot a step."""
     return f"""gj(k, i, j, x) AS (SELECT CAST(-1 AS BIGINT), i, j, x FROM {table}

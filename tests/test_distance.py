@@ -157,14 +157,15 @@ def test_rsp_with_negative_costs_is_dense_only(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no golden raster here")
-def test_rsp_golden_raster(spark):
+@pytest.mark.parametrize("method", ["dense", "direct"])
+def test_rsp_golden_raster(spark, method):
     raster = read_csv_raster(spark, str(DATA / "raster.csv"))
     golden = np.loadtxt(DATA / "distances.csv", delimiter=",")
     target = int(np.ravel_multi_index((18, 5), golden.shape))
     g = GridGraph(Raster(raster.cells.where("value > 0"), *raster.shape))
     labels = algebra.components(g.edges())
     keep = labels.join(labels.where(F.col("id") == target).select("label"), "label", "left_semi")
-    found = RSPDistance(0.01)(Graph(algebra.prune(g.edges(), keep), g.nv), keep, [target])
+    found = RSPDistance(0.01, method=method)(Graph(algebra.prune(g.edges(), keep), g.nv), keep, [target])
     got = np.full(golden.size, np.nan)
     for r in found.collect():
         got[r.src] = r.distance
