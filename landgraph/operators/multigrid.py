@@ -1,7 +1,7 @@
 """Algebraic multigrid for symmetric positive definite edge tables, as a preconditioner.
 
-Setup: vertices are put together around roots, of which no two are within two strong edges of each other (roots are those
-whose hash is the largest so near, found by joins, round after round until all are placed).  The constant on each
+Setup: vertices are put together around roots, those whose hash is the largest within two strong edges, found by joins; vertices
+not adjacent to an aggregate then find roots among themselves, round after round, until all are placed.  The constant on each
 such aggregate, smoothed once by Jacobi, gives the prolongation P, and the next level's matrix is P' A P, two joins.
 Levels go on until ``COARSE`` unknowns are left, whose inverse is dense.
 
