@@ -19,6 +19,7 @@ from ..operators.adjoint import path_sum_gradient
 from ..operators.analysis import ConnectivityAnalysis, SensitivityAnalysis
 from ..operators.distance import Distance, EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
 from ..operators.solve import linear_solve
+from ..operators.store import materialize
 from ..raster import Raster, coord_to_index, index_to_coord
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +63,13 @@ def rast(spark: SparkSession, d: str, measure: str = "p") -> Raster:
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, weight): quantity from suppliers' to customers' nations, over the largest."""
+    """(src, dst, weight): quantity from suppliers' to customers' nations, over the largest.  The sums are stored: plans over
+    this table read at most a row for each pair of nations, not the tables again."""
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    flow = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    flow = flow.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    sold = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").cast("long").alias("src"), "l_quantity")
+    bought = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("long").alias("dst"))
+    flow = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.sum("l_quantity").alias("weight"))
+    flow = materialize(flow, "trade")
     top = flow.agg(F.max("weight").alias("top")).withColumn("k", F.lit(0))
     return flow.withColumn("k", F.lit(0)).join(F.broadcast(top), "k").select("src", "dst", (F.col("weight") / F.col("top")).alias("weight"))
 
@@ -189,13 +193,15 @@ def triu(spark, d):
 UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS DOUBLE) FROM nation""")
 def set_at(spark, d):
     new = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"), F.col("n_regionkey").cast("double").alias("weight"))
-    old = trade(spark, d).where("src <> dst").unionByName(trade(spark, d).where("src = dst"))
+    flow = trade(spark, d)
+    old = flow.where("src <> dst").unionByName(flow.where("src = dst"))
     return rounded(algebra.set_at(old, new), "weight")
 
 
 @query(f"WITH {TRADE} SELECT src, dst, round(weight * 2, 6) AS weight FROM trade")
 def canonicalize(spark, d):
-    return rounded(algebra.canonicalize(trade(spark, d).unionByName(trade(spark, d))), "weight")
+    flow = trade(spark, d)
+    return rounded(algebra.canonicalize(flow.unionByName(flow)), "weight")
 
 
 @query(f"WITH {TRADE} SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS weight FROM trade")
@@ -205,7 +211,8 @@ def row_normalize(spark, d):
 
 @query(f"WITH {TRADE} SELECT a.src, a.dst, round(a.weight * b.weight, 6) AS weight FROM trade a JOIN trade b ON a.src = b.dst AND a.dst = b.src")
 def hadamard(spark, d):
-    return rounded(algebra.hadamard(trade(spark, d), algebra.transpose(trade(spark, d))), "weight")
+    flow = trade(spark, d)
+    return rounded(algebra.hadamard(flow, algebra.transpose(flow)), "weight")
 
 
 @query(f"WITH {TRADE} SELECT dst AS src, src AS dst, round(weight, 6) AS weight FROM trade")

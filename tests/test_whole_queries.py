@@ -29,3 +29,9 @@ def test_components_of_all_events(spark):
 def test_search_by_joins_of_the_whole_raster(spark):
     got, _ = agree(spark, "lcp_by_joins_whole")
     assert len(got) == 3 * 24 * 24
+
+
+def test_the_flow_between_nations_is_summed_once(spark):
+    """What is made of it reads the stored sums, however often, and no table of lines again."""
+    files = catalog.trade(spark, TABLES).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
