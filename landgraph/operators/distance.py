@@ -35,6 +35,8 @@ Adjoint = Callable[[np.ndarray], np.ndarray]
 KERNEL_EDGES, DENSE_VERTICES = 200_000, 2_500
 #: Beyond it, vertices of a tile that is searched at once.
 TILE_VERTICES = 2_304
+#: Products of a squaring of the matrix of walks, beyond which walks go on by the steps at hand; squarings without convergence.
+WALK_PRODUCTS, WALK_DOUBLINGS = 5_000_000, 64
 _RESULT = "src long, dst long, distance double"
 
 
@@ -252,6 +254,20 @@ class ResistanceDistance(Distance):
         return np.array([d for d, _, _ in parts]), adjoint
 
 
+def _products(steps: DataFrame) -> int:
+    """How many products of entries make the square of a matrix (to, id, ...)."""
+    rows, columns = steps.groupBy(F.col("to").alias("at")).agg(F.count(F.lit(1)).alias("a")), steps.groupBy(F.col("id").alias("at")).agg(F.count(F.lit(1)).alias("b"))
+    return rows.join(columns, "at").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+
+def _squared(steps: DataFrame) -> DataFrame:
+    """From (to, id, w, c), the matrix of walks of m steps and its derivative by costs, to those of 2 m steps."""
+    first = steps.select("to", F.col("id").alias("at"), "w", "c")
+    then = steps.select(F.col("to").alias("at"), "id", F.col("w").alias("w2"), F.col("c").alias("c2"))
+    w, c = F.sum(F.col("w") * F.col("w2")), F.sum(F.col("c") * F.col("w2") + F.col("w") * F.col("c2"))
+    return first.join(then, "at").groupBy("to", "id").agg(w.alias("w"), c.alias("c"))
+
+
 @dataclass(frozen=True)
 class RSPDistance(Distance):
     """Expected cost of randomised shortest paths at inverse temperature ``theta``.
@@ -259,7 +275,7 @@ class RSPDistance(Distance):
     ``cost`` is a column function of the weight (default -log) or a table (src, dst, cost).  Only
     the targets asked for are solved, twice each with one sparse factor (``method="direct"``: nested dissection of square tiles
     of a raster, else of consecutive ids), whatever the size and the signs of costs; "dense" does so in
-    the tasks, and "auto" takes it for small graphs; "walks" are sums over walks, which converge for costs that are not negative.
+    the tasks, and "auto" takes it for small graphs; "walks" are sums over walks, which converge for costs that are not negative; of small graphs twice as long ones a round.
     Vertices without a way out reach nothing but themselves.
     """
 
@@ -327,21 +343,28 @@ class RSPDistance(Distance):
         return d.join(own, "dst").select("src", "dst", (F.col("d") - F.col("own")).alias("distance"))
 
     def _walks(self, table, goal):
-        """z = e_t + W z and y = (C W) z + W y, both for all targets, until they no longer grow."""
+        """z = sum of W^k e_t and y = sum of its derivatives by costs, both for all targets, until they no longer grow.
+
+        The matrix of walks of m steps is squared as long as that takes at most ``WALK_PRODUCTS`` products, so the sums over
+        2 m steps come from those over m; after that a round adds m steps.
+        """
         table = materialize(table, "costs")
         if not table.where("cost < 0").isEmpty():
             raise ValueError("sums over walks need costs of at least zero")
-        steps = self._steps(table)
-        new = goal.select("id", F.col("id").alias("t"), F.lit(1.0).alias("z"), F.lit(0.0).alias("y"))
-        total = materialize(new, "walks")
-        while True:
-            new = new.join(steps, "id").groupBy(F.col("to").alias("id"), "t").agg(F.sum(F.col("w") * F.col("z")).alias("z"), F.sum(F.col("w") * (F.col("y") + F.col("cost") * F.col("z"))).alias("y"))
-            new = materialize(new, "walks")
+        steps = self._steps(table).select("to", "id", "w", (F.col("cost") * F.col("w")).alias("c"))
+        part = total = materialize(goal.select("id", F.col("id").alias("t"), F.lit(1.0).alias("z"), F.lit(0.0).alias("y")), "walks")
+        squared = 0
+        while squared <= WALK_DOUBLINGS:
+            onward = part.join(steps, "id").groupBy(F.col("to").alias("id"), "t")
+            new = materialize(onward.agg(F.sum(F.col("w") * F.col("z")).alias("z"), F.sum(F.col("w") * F.col("y") + F.col("c") * F.col("z")).alias("y")), "walks")
             total = materialize(total.unionByName(new).groupBy("id", "t").agg(F.sum("z").alias("z"), F.sum("y").alias("y")), "walks")
             left = new.join(total.select("id", "t", F.col("z").alias("zz"), F.col("y").alias("yy")), ["id", "t"])
             if left.where((F.col("z") > self.rtol * F.col("zz")) | (F.col("y") > self.rtol * F.col("yy"))).isEmpty():
-                break
-        return self._minus_own(total.where("z > 0").select(F.col("id").alias("src"), F.col("t").alias("dst"), (F.col("y") / F.col("z")).alias("d")))
+                return self._minus_own(total.where("z > 0").select(F.col("id").alias("src"), F.col("t").alias("dst"), (F.col("y") / F.col("z")).alias("d")))
+            part = new
+            if _products(steps) <= WALK_PRODUCTS:
+                part, steps, squared = total, materialize(_squared(steps), "walk"), squared + 1
+        raise ValueError("the sums over walks do not converge: some walks never end and cost nothing")
 
     def in_windows(self, p):
         if self.cost is not None:

@@ -13,6 +13,7 @@ from landgraph.operators import borders as B
 from landgraph.operators import distance as D
 from landgraph.operators import solve as S
 from landgraph.operators.distance import EuclideanDistance, LCPDistance, ResistanceDistance, RSPDistance, euclidean_within
+from landgraph.operators.store import materialize
 from landgraph.raster import Raster
 from landgraph.sources.io import read_csv_raster
 
@@ -149,6 +150,41 @@ def test_rsp_golden_row(spark):
     assert np.allclose(matrix(RSPDistance(2.0, cost=table)(g), 4), d)
 
 
+def walks_in_few_tables(spark, monkeypatch, weights, theta):
+    """Sums over walks to 1 and 4 agree with the dense way, and make fewer than 60 tables."""
+    tables, n, g = [], len(weights), Graph.from_array(spark, weights.tolist())
+
+    def counted(df, name="round"):
+        tables.append(name)
+        assert len(tables) < 60
+        return materialize(df, name)
+
+    monkeypatch.setattr(D, "materialize", counted)
+    got = matrix(RSPDistance(theta, method="walks")(g, targets=[1, 4]), n)
+    assert np.allclose(got[:, [1, 4]], matrix(RSPDistance(theta, method="dense")(g, targets=[1, 4]), n)[:, [1, 4]], atol=1e-8)
+
+
+def test_walks_that_hardly_end_take_few_rounds(spark, monkeypatch):
+    """Weights near one, as between nations of large tables: walks of thousands of steps still count."""
+    weights = 1 - 0.01 * np.random.default_rng(4).random((6, 6))
+    weights[5] = [0, 0, 0, 0, 0.9, 0]
+    walks_in_few_tables(spark, monkeypatch, weights, 0.5)
+
+
+@pytest.mark.parametrize("products", [0, 200])
+def test_walks_go_on_where_the_matrix_would_grow(spark, monkeypatch, products):
+    monkeypatch.setattr(D, "WALK_PRODUCTS", products)
+    i, weights = np.arange(12), np.zeros((12, 12))
+    weights[i, (i + 1) % 12], weights[i, i - 1] = 0.4, 0.5
+    walks_in_few_tables(spark, monkeypatch, weights, 2.0)
+
+
+def test_walks_without_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(D, "WALK_DOUBLINGS", 3)
+    with pytest.raises(ValueError, match="never end"):
+        RSPDistance(1.0, method="walks")(Graph.from_array(spark, [[0, 1], [1, 0]]))
+
+
 def test_rsp_with_negative_costs_is_dense_only(spark):
     g = Graph.from_array(spark, [[0, 1.2, 0], [1.5, 0, 1.2], [0, 1.5, 0]])
     assert RSPDistance(1.0)(g).count() > 0
