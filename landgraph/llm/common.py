@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 _local_root: str | None = None
 #: Stands for a null id (see ``told_apart``).
 NO_ID = -(2**63)
+_kept: dict[Hashable, Any] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,6 +66,26 @@ def bounded_batches(spark: SparkSession, rows: int = 512, bytes_: int = 16 << 20
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next tasks, as a tokenizer and its memory of words.
+
+    Workers live on from one operator to the next, so there is one such thing at a time: what an earlier operator left goes first.
+    """
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Give back what this Python worker keeps, and the memory that its allocators hold of earlier tasks."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

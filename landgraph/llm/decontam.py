@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, need, stage
+from .common import bounded_batches, let_go, need, stage
 
 #: Words of a window, tokens of a segment, windows that a task looks for in a segment.
 WINDOW, SEGMENT_TOKENS, TASK_WINDOWS = 10, 2_000_000, 50_000
@@ -101,6 +101,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         numbers = count(TaskContext.get().partitionId() << 32)
         made = _Segment(next(numbers))
         for batch in batches:
@@ -112,6 +113,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                     made = _Segment(next(numbers))
         if made.sizes:
             yield from made.batches(key_type, schema.names)
+        del made
+        let_go()
 
     rows = stage(docs.select(id_column, text_column).mapInArrow(run, schema), "postings", compression="zstd")
     documents = rows.where("term is null").select(*_ROW, "id", F.col("n").alias("n_words"))

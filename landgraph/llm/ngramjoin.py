@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, need, real_id, shuffle_partitions, stage, told_apart
+from .common import bounded_batches, let_go, need, real_id, shuffle_partitions, stage, told_apart
 from .components import connected_components
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -190,6 +190,7 @@ def _sets(docs: DataFrame, n: int, table: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
+        let_go()
         for batch in batches:
             keys, sizes, names, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():

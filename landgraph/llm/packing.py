@@ -30,10 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, gapless_rank, need, stage
+from .common import bounded_batches, gapless_rank, kept, need, stage
 
 CAPACITY, END_ID, MEMO = 4096, 1, 550_000
-_tokenizers: dict = {}
 _STOP = re.compile(r"[.,](?<=[a-zA-Z][.,])")  # looks for the stop first: that is quicker
 
 
@@ -155,9 +154,7 @@ def _cut(ids, at: np.ndarray) -> list[bytes]:
 
 
 def _encoder(path: str) -> _Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = _Encoder(path)
-    return _tokenizers[path]
+    return kept(("encoder", path), lambda: _Encoder(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

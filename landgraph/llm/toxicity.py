@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, need
+from .common import bounded_batches, kept, let_go, need
 from .ngramjoin import shingles, signature
 
 #: Learning reads at most so many labelled rows, those with the smallest hash of their id, and of these no
@@ -49,7 +49,6 @@ ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SAMPLES, MEMO = 200 << 10, 32 << 10, 400_0
 FOLDS, THRESHOLDS = 3, (1, 3, 5, 7, 9, 12, 16)
 PREDICT, SURPRISE, MOST = 0.7, 26.0, 0.6
 _SEPARATORS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_scorers: dict = {}
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -169,11 +168,7 @@ class _Scorer:
 
 
 def scorer(d: Dictionaries) -> _Scorer:
-    key = (hash(d.ordinary), hash(d.toxic), d.window)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = _Scorer(d)
-    return _scorers[key]
+    return kept(("scorer", hash(d.ordinary), hash(d.toxic), d.window), lambda: _Scorer(d))
 
 
 def _dictionaries(texts: Sequence[str], labels: Sequence[int], fold: int | None, window: int) -> Dictionaries:
@@ -287,10 +282,11 @@ _PART = "fold int, features array<double>, labels array<double>, ordinary binary
 
 def _learn_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The features of a fold; for the fold after the last, the dictionaries of all rows."""
+    let_go()
     rows = rows.sort_values("_id")
     texts, labels = rows["text"].tolist(), rows["label"].tolist()
-    kept = distinct_texts(texts, labels)
-    texts, labels, fold = [texts[i] for i in kept], [labels[i] for i in kept], int(key[0])
+    first = distinct_texts(texts, labels)
+    texts, labels, fold = [texts[i] for i in first], [labels[i] for i in first], int(key[0])
     if fold < FOLDS:
         x, y = _fold_features(texts, labels, fold, WINDOW)
         return pd.DataFrame([[fold, x.ravel(), y, None, None, None]], columns=["fold", "features", "labels", "ordinary", "toxic", "carrier"])
