@@ -111,7 +111,11 @@ def told_apart(texts: DataFrame) -> DataFrame:
     text = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     given = F.col("id").cast("long")
     texts = texts.withColumns({"id": F.coalesce(given, F.lit(NO_ID)), "_none": given.isNull()})
-    many = texts.where(F.col("id") != NO_ID).groupBy("id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("id", F.lit(True).alias("_many"))
+    repeated = stage(texts.groupBy("id").count().where((F.col("count") > 1) | (F.col("id") == NO_ID)).select("id"), "repeated-ids")
+    if repeated.isEmpty():  # as a rule; so far no text was read
+        return texts.withColumn("h", F.lit(0).cast("long")).drop("_none")
+    again = texts.join(repeated.where(F.col("id") != NO_ID), "id", "left_semi")
+    many = again.groupBy("id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("id", F.lit(True).alias("_many"))
     many = stage(many, "repeated-ids")
     odd = F.lit(1).cast("long")
     least = F.when(F.col("id") == NO_ID, F.when(F.col("_none"), text.bitwiseAND(F.lit(-2).cast("long"))).otherwise(text.bitwiseOR(odd)))

@@ -38,7 +38,6 @@ WIDE = 96
 _EPS = 1e-9
 #: A line: its document's id, the hash that tells texts of one id apart, its number.
 _LINE = ("id", "h", "no")
-_PAIR = [f"{s}{c}" for s in "ab" for c in _LINE]
 
 
 def _power_of_two(n: int, most: int) -> int:
@@ -98,8 +97,9 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def owners(texts: DataFrame, threshold: float) -> DataFrame:
-    """(id, h, no, n, odd, odd_b, prefix): the first line of each set of tokens, with the set's size, the
-    parities of its tokens' bits (one word of 64, for sets above ``WIDE`` that word and a part of it) and its prefix."""
+    """(id, h, no, n, odd, odd_b, prefix, u): the first line of each set of tokens, with the set's size, the
+    parities of its tokens' bits (one word of 64, for sets above ``WIDE`` that word and a part of it), its prefix
+    and a number of its own, which stands for it in postings and pairs."""
     table, size = rarity_table(texts)
     lines = _lines(texts).withColumn("order", table.scalar())  # Catalyst puts the array into the expression, not into rows
     keyed = lines.select(*_LINE, _keys(F.col("line"), F.col("order"), size).alias("k"))
@@ -116,7 +116,7 @@ def owners(texts: DataFrame, threshold: float) -> DataFrame:
         F.slice("k", F.lit(1), (n - F.ceil(n * threshold - _EPS) + 1).cast("int")).alias("prefix"),
     )
     first = keyed.select(F.xxhash64("k").alias("set"), F.hash("k").alias("set_b"), line.alias("r")).groupBy("set", "set_b").agg(F.min("r").alias("r"))
-    return stage(first.select("r.*"), "line-owners")
+    return stage(first.select("r.*", F.monotonically_increasing_id().alias("u")), "line-owners")
 
 
 def _earlier() -> Column:
@@ -134,10 +134,10 @@ def _differ() -> Column:
 def _may_match(threshold: float) -> Column:
     """The three filters, for rows of a and b that share a token."""
     an, bn, ap, bp = (F.col(c) for c in ("an", "bn", "apos", "bpos"))
-    least = _alpha(an, bn, threshold)
+    least = (an + bn) * (threshold / (1 + threshold)) - _EPS  # not rounded up, which is the same for whole numbers of tokens
     length = F.least(an, bn) >= F.greatest(an, bn) * threshold - _EPS
     behind = F.least(ap, bp) + F.least(an - ap, bn - bp)  # at most so many tokens match before, and from here on
-    return length & (behind >= least) & (_differ() <= an + bn - 2 * least)
+    return length & (behind >= least) & (_differ() <= an + bn - 2 * _alpha(an, bn, threshold))
 
 
 def _is_long(t: Column) -> Column:
@@ -146,21 +146,28 @@ def _is_long(t: Column) -> Column:
 
 
 def _short_postings(lines: DataFrame, side: str) -> DataFrame:
-    """The postings of the tokens of prefixes that have short lists; columns but the token are named after ``side``."""
-    named = (F.col(c).alias(f"{side}{c}") for c in (*_LINE, "n", "odd", "odd_b"))
-    return lines.select(*named, F.posexplode("prefix").alias(f"{side}pos", "t")).where(~_is_long(F.col("t")))
+    """The postings of the tokens of prefixes that have short lists; columns but the token are named after ``side``.
+    The set's size and the token's place share a number (see ``_unpacked``), as there are very many of these rows."""
+    places = lines.select("u", "n", "odd", "odd_b", F.posexplode("prefix").alias("pos", "t")).where(~_is_long(F.col("t")))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    return places.select("t", packed.alias(f"{side}at"), *(F.col(c).alias(f"{side}{c}") for c in ("u", "odd", "odd_b")))
+
+
+def _unpacked(pairs: DataFrame) -> DataFrame:
+    n, pos = (lambda s: F.shiftright(f"{s}at", 32).alias(f"{s}n")), (lambda s: F.col(f"{s}at").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{s}pos"))
+    return pairs.select("*", *(f(s) for f in (n, pos) for s in "ab"))
 
 
 def _long_postings(lines: DataFrame) -> DataFrame:
     """The postings of the other tokens: a line, ``pos``, ``t``, and all such tokens of its prefix, ``long``."""
     some = lines.where(_is_long(F.element_at("prefix", -1)))  # a prefix is sorted by rarity
     placed = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda r: _is_long(r["t"]))
-    rows = some.withColumn("placed", placed).select(*_LINE, "n", "odd", "odd_b", F.transform("placed", lambda r: r["t"]).alias("long"), F.explode("placed").alias("r"))
-    return stage(rows.select(*_LINE, "n", "odd", "odd_b", "long", "r.pos", "r.t"), "long-postings")
+    rows = some.withColumn("placed", placed).select("u", *_LINE, "n", "odd", "odd_b", F.transform("placed", lambda r: r["t"]).alias("long"), F.explode("placed").alias("r"))
+    return stage(rows.select("u", *_LINE, "n", "odd", "odd_b", "long", "r.pos", "r.t"), "long-postings")
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
-    return postings.select("t", *(F.col(c).alias(f"{side}{c}") for c in postings.columns if c != "t"))
+    return postings.select(*(F.col(c) if c == "t" else F.col(c).alias(f"{side}{c}") for c in postings.columns))
 
 
 def _likely(long: DataFrame, threshold: float) -> DataFrame:
@@ -170,29 +177,28 @@ def _likely(long: DataFrame, threshold: float) -> DataFrame:
     The leaders of a list are the first lines of ``LEADERS`` random parts of it.
     """
     dealt = long.withColumn("part", F.pmod(F.xxhash64("t", *_LINE), F.lit(LEADERS)).cast("int"))
-    leaders = dealt.groupBy("t", "part").agg(F.min(F.struct(*_LINE, "n", "odd", "odd_b", "pos")).alias("r")).select("t", "r.*")
+    leaders = dealt.groupBy("t", "part").agg(F.min(F.struct(*_LINE, "u", "n", "odd", "odd_b", "pos")).alias("r")).select("t", "r.*")
     own = long.where((F.col("t") == F.element_at("long", 1)) | (F.col("t") == F.element_at("long", -1)))
     pairs = _side(leaders, "a").join(_side(own.drop("long"), "b"), "t").where(_earlier() & _may_match(threshold))
     slack = _differ() - (F.col("an") + F.col("bn") - 2 * _alpha(F.col("an"), F.col("bn"), threshold))
-    best = pairs.groupBy(*(f"b{c}" for c in _LINE)).agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE))).alias("r"))
-    return best.select(*(f"r.a{c}" for c in _LINE), *(f"b{c}" for c in _LINE))
+    best = pairs.groupBy("bu").agg(F.min(F.struct(slack, *(f"a{c}" for c in _LINE), "au")).alias("r"))
+    return best.select("r.au", "bu")
 
 
 def _in_short_lists(lines: DataFrame, threshold: float) -> DataFrame:
     """All pairs that share a token of short lists and pass the filters, each by the shorter line's part of its prefix."""
     first = (F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - _EPS) + 1).cast("int")
     shorter = _short_postings(lines.withColumn("prefix", F.slice("prefix", F.lit(1), first)), "a")
-    a, b = (F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab")
-    pairs = shorter.join(_short_postings(lines, "b"), "t").where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (a != b))
-    pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in _LINE)).distinct()
+    pairs = _unpacked(shorter.join(_short_postings(lines, "b"), "t"))
+    pairs = pairs.where((F.col("an") <= F.col("bn")) & _may_match(threshold) & (F.col("au") != F.col("bu")))
+    return pairs.select(F.least("au", "bu").alias("au"), F.greatest("au", "bu").alias("bu")).distinct()
 
 
 def _in_long_lists(long: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
     """All pairs of lines in long lists and later ones, not yet ``done``, that pass the filters, by their first common token."""
-    later = long.join(done, [*_LINE], "left_anti")
+    later = long.join(done, "u", "left_anti")
     once = F.element_at(F.array_intersect("along", "blong"), 1) == F.col("t")
-    return _side(long, "a").join(_side(later, "b"), "t").where(_earlier() & _may_match(threshold) & once).select(*_PAIR)
+    return _side(long, "a").join(_side(later, "b"), "t").where(_earlier() & _may_match(threshold) & once).select("au", "bu")
 
 
 def _among(rows: DataFrame, columns: tuple[str, ...]) -> Column:
@@ -205,33 +211,33 @@ def _among(rows: DataFrame, columns: tuple[str, ...]) -> Column:
     return F.coalesce(F.get(bits, F.shiftright(place, 6).cast("int")).bitwiseAND(bit), F.lit(0).cast("long")) != 0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(id, h, no) of the later lines of those pairs that are similar.
+def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(u) of the later lines of those pairs that are similar.
 
     The tokens of all lines of pairs are taken from the texts once more; filters of hashes of their
     documents and of themselves spare the others the join.
     """
     pairs = stage(pairs, "line-pairs")
     if pairs.isEmpty():
-        return pairs.select(*(F.col(f"b{c}").alias(c) for c in _LINE))
-    ends = F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in _LINE)) for s in "ab"))
-    ends = stage(pairs.select(F.explode(ends).alias("r")).select("r.*").distinct(), "pair-ends")
+        return pairs.select(F.col("bu").alias("u"))
+    ends = lines.select("u", *_LINE).join(pairs.select(F.explode(F.array("au", "bu")).alias("u")).distinct(), "u", "left_semi")
+    ends = stage(ends, "pair-ends")
     in_docs, in_lines = _among(ends, ("id", "h")), _among(ends, _LINE)
-    sets = _lines(texts.where(in_docs)).where(in_lines).join(ends, [*_LINE], "left_semi").select(*_LINE, _words(F.col("line")).alias("k"))
+    sets = _lines(texts.where(in_docs)).where(in_lines).join(ends, [*_LINE]).select("u", *_LINE, _words(F.col("line")).alias("k"))
     sets = stage(sets.dropDuplicates([*_LINE]), "line-sets")
     for s in "ab":
-        pairs = pairs.join(sets.select(*(F.col(c).alias(f"{s}{c}") for c in _LINE), F.col("k").alias(f"{s}k")), [f"{s}{c}" for c in _LINE])
+        pairs = pairs.join(_side(sets, s), f"{s}u")
     same = F.size(F.array_intersect("ak", "bk"))
     found = pairs.where(same >= (F.size("ak") + F.size("bk") - same) * threshold - _EPS)
-    return stage(found.select(*(F.col(f"b{c}").alias(c) for c in _LINE)).distinct(), "later-lines")
+    return stage(found.select(F.when(_earlier(), F.col("bu")).otherwise(F.col("au")).alias("u")).distinct(), "later-lines")
 
 
 def similar_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(id, h, no) of the owners that an earlier owner is similar to."""
+    """(u) of the owners that an earlier owner is similar to."""
     long = _long_postings(lines)
     likely = stage(_likely(long, threshold), "line-pairs")
-    done = _verified(_in_short_lists(lines, threshold).unionByName(likely).distinct(), texts, threshold)
-    return done.unionByName(_verified(_in_long_lists(long, done, threshold), texts, threshold))
+    done = _verified(_in_short_lists(lines, threshold).unionByName(likely).distinct(), lines, texts, threshold)
+    return done.unionByName(_verified(_in_long_lists(long, done, threshold), lines, texts, threshold))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -248,7 +254,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     rows = told_apart(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), rest))
     texts = rows.select("id", "h", "text")
     lines = owners(texts, threshold)
-    kept = lines.select(*_LINE).join(similar_lines(texts, lines, threshold), [*_LINE], "left_anti")
+    kept = lines.select("u", *_LINE).join(similar_lines(texts, lines, threshold), "u", "left_anti")
     kept = kept.groupBy("id", "h").agg(F.sort_array(F.collect_list("no")).alias("kept"))
     whole = rows.join(kept.hint("shuffle_hash"), ["id", "h"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     whole = whole.withColumn("lines", F.split("text", "\n"))

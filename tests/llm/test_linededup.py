@@ -84,3 +84,21 @@ def test_rows_that_repeat_an_id_with_other_texts(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.dedup_lines(spark.createDataFrame([(1, "a b", "", "")], SCHEMA).coalesce(1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_postings_are_narrow(spark):
+    """A posting of a short list is five numbers: its line stands there as one, its set's size and its place share one."""
+    lines = L.owners(spark.createDataFrame([(1, 0, "a b c d e\nf g h i j"), (2, 0, "k l m n o")], "id long, h long, text string"), 0.8)
+    assert lines.count() == lines.select("u").distinct().count() == 3
+    places = L._short_postings(lines, "a")
+    assert sorted(places.columns) == ["aat", "aodd", "aodd_b", "au", "t"]
+    got = L._unpacked(places.join(L._short_postings(lines, "b"), "t")).where("au = bu").select("an", "apos", "bn", "bpos").distinct().collect()
+    assert sorted(map(tuple, got)) == [(5, 0, 5, 0), (5, 1, 5, 1)]
+
+
+def test_distinct_ids_are_told_apart_without_reading_texts(spark):
+    from landgraph.llm.common import told_apart
+
+    texts = told_apart(spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string"))
+    assert texts.where("h <> 0").isEmpty()
+    assert "xxhash64" not in texts.select("h")._jdf.queryExecution().optimizedPlan().toString()
