@@ -142,7 +142,7 @@ def _may_match(threshold: float) -> Column:
 
 def _is_long(t: Column) -> Column:
     """Whether the token, a key of ``_keys``, may have a long list."""
-    return F.shiftright(t, 56) >= _rarity_class(LONG + 1)
+    return t >= F.shiftleft(_rarity_class(LONG + 1).cast("long"), 56)
 
 
 def _short_postings(lines: DataFrame, side: str) -> DataFrame:
@@ -160,10 +160,10 @@ def _unpacked(pairs: DataFrame) -> DataFrame:
 
 def _long_postings(lines: DataFrame) -> DataFrame:
     """The postings of the other tokens: a line, ``pos``, ``t``, and all such tokens of its prefix, ``long``."""
-    some = lines.where(_is_long(F.element_at("prefix", -1)))  # a prefix is sorted by rarity
-    placed = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda r: _is_long(r["t"]))
-    rows = some.withColumn("placed", placed).select("u", *_LINE, "n", "odd", "odd_b", F.transform("placed", lambda r: r["t"]).alias("long"), F.explode("placed").alias("r"))
-    return stage(rows.select("u", *_LINE, "n", "odd", "odd_b", "long", "r.pos", "r.t"), "long-postings")
+    some = lines.where(_is_long(F.element_at("prefix", -1)))  # a prefix is sorted by rarity, so these tokens are its end
+    columns = ("u", *_LINE, "n", "odd", "odd_b", "long")
+    rows = some.withColumn("long", F.filter("prefix", _is_long)).select(*columns, F.size("prefix").alias("p"), F.posexplode("long").alias("pos", "t"))
+    return stage(rows.select(*columns, (F.col("p") - F.size("long") + F.col("pos")).alias("pos"), "t"), "long-postings")
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
@@ -232,6 +232,17 @@ def _verified(pairs: DataFrame, lines: DataFrame, texts: DataFrame, threshold: f
     return stage(found.select(F.when(_earlier(), F.col("bu")).otherwise(F.col("au")).alias("u")).distinct(), "later-lines")
 
 
+def _numbers_by_document(lines: DataFrame) -> DataFrame:
+    """(id, h, kept): the sorted numbers of the lines (id, h, no), each once.  They are first put together as the bits
+    of words of 64, one number that a hash aggregate updates in place, so that hardly more than a row a document is collected."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no").bitwiseAND(F.lit(63)))
+    words = lines.repartition("id", "h").groupBy("id", "h", F.shiftright("no", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    words = words.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
+    there = lambda r: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(r["bits"], i) == 1)
+    numbers = F.transform("words", lambda r: F.transform(there(r), lambda i: r["at"] * 64 + i))
+    return words.select("id", "h", F.flatten(numbers).alias("kept"))
+
+
 def similar_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(u) of the owners that an earlier owner is similar to."""
     long = _long_postings(lines)
@@ -255,8 +266,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     texts = rows.select("id", "h", "text")
     lines = owners(texts, threshold)
     kept = lines.select("u", *_LINE).join(similar_lines(texts, lines, threshold), "u", "left_anti")
-    kept = kept.groupBy("id", "h").agg(F.sort_array(F.collect_list("no")).alias("kept"))
-    whole = rows.join(kept.hint("shuffle_hash"), ["id", "h"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    whole = rows.join(_numbers_by_document(kept).hint("shuffle_hash"), ["id", "h"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     whole = whole.withColumn("lines", F.split("text", "\n"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
     stay = F.transform(F.sort_array(F.concat("kept", blank)), lambda i: F.get("lines", i))

@@ -102,3 +102,14 @@ def test_distinct_ids_are_told_apart_without_reading_texts(spark):
     texts = told_apart(spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string"))
     assert texts.where("h <> 0").isEmpty()
     assert "xxhash64" not in texts.select("h")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_numbers_are_put_together_as_bits(spark):
+    """The numbers of a document come back sorted, and only words of 64 of them are collected, which a hash aggregate makes."""
+    numbers = {(1, 0): [0, 31, 32, 63, 64, 127, 700], (1, 5): [2], (2, 0): list(range(200))}
+    rows = spark.createDataFrame([(i, h, n) for (i, h), all_ in numbers.items() for n in reversed(all_)], "id long, h long, no int")
+    got = L._numbers_by_document(rows)
+    assert dict(got.dtypes)["kept"] == "array<int>"
+    assert {(x.id, x.h): x.kept for x in got.collect()} == numbers
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[id" in plan and "bit_or" in plan and "collect_list(no" not in plan
